@@ -83,13 +83,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit fingerprint of each word's bytes."""
-        n = len(self.data)
-        power, inverse = powers(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + U(1)) * power[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) << U(48)))
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the byte ranges start:end."""
+    n = len(data)
+    power, inverse = powers(n)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((data.astype(np.uint64) + U(1)) * power[:n], out=total[1:])
+    h = (total[end] - total[start]) * inverse[start]
+    return mix(h ^ ((end - start).astype(np.uint64) << U(48)))
 
 
 _POWERS: list[np.ndarray] = []
