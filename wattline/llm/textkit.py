@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from wattline.llm.common import worker_cache
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 M1, M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -97,21 +99,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h ^ ((end - start).astype(np.uint64) << U(48)))
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n + 1:
+    """BASE**i and BASE**-i modulo 2**64, kept for the life of the process."""
+    held = worker_cache()
+    if "powers" not in held or len(held["powers"][0]) < n + 1:
         size = max(n + 1, SLICE_BYTES + 1)
-        inv = U(pow(int(BASE), -1, 1 << 64))
         out = []
-        for b in (BASE, inv):
+        for b in (BASE, U(pow(int(BASE), -1, 1 << 64))):
             x = np.full(size, b, np.uint64)
             x[0] = 1
             out.append(np.cumprod(x))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+        held["powers"] = tuple(out)
+    return held["powers"]
 
 
 def rolling(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -38,7 +38,7 @@ BITS = 16
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 18
 MAGIC = b"WMX1"
-HEAD = struct.Struct("<4sBxxxQQ")
+HEAD = "<4sBxxxQQ"
 END_ID = 2
 #: Units remembered by a worker.
 MEMO_UNITS = 1_500_000
@@ -49,10 +49,10 @@ class WaveletShard:
 
     def __init__(self, image: bytes):
         self.image = image
-        magic, self.bits, self.n, docs = HEAD.unpack_from(image, 0)
+        magic, self.bits, self.n, docs = struct.unpack_from(HEAD, image, 0)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        at = HEAD.size
+        at = struct.calcsize(HEAD)
         self.doc_ids = np.frombuffer(image, "<i8", docs, at)
         self.doc_len = np.frombuffer(image, "<u8", docs, at + 8 * docs)
         at += 16 * docs
@@ -84,7 +84,7 @@ class WaveletShard:
             zeros.append(len(low))
             seq = np.concatenate([low, seq[bit]])
         place = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u8")
-        return b"".join([HEAD.pack(MAGIC, bits, n, len(doc_ids)), np.asarray(doc_ids).astype("<i8").tobytes(), np.asarray(doc_len).astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), place.tobytes(), np.array(before, "<u8").tobytes(), *parts])
+        return b"".join([struct.pack(HEAD, MAGIC, bits, n, len(doc_ids)), np.asarray(doc_ids).astype("<i8").tobytes(), np.asarray(doc_len).astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), place.tobytes(), np.array(before, "<u8").tobytes(), *parts])
 
     def _block(self, level: int, block: int) -> np.ndarray:
         k = level * self.blocks + block
