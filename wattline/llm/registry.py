@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wattline.llm import mixing, quality, tokens, urls
+from wattline.llm import langid, mixing, quality, tokens, urls
 
 
 def queries() -> dict:
     return {
+        "op5_language_id": langid.op5,
         "op6_token_wavelet": tokens.op6,
         "op7_mix_sources": mixing.op7,
         "op9_quality_cascade": quality.op9,
