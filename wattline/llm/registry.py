@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wattline.llm import langid, mixing, quality, tokens, urls
+from wattline.llm import decontam, langid, mixing, quality, tokens, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc_derivatives": warc.op3,
         "op5_language_id": langid.op5,
         "op6_token_wavelet": tokens.op6,
         "op7_mix_sources": mixing.op7,
+        "op8_decontaminate": decontam.op8,
         "op9_quality_cascade": quality.op9,
         "op10_url_rules": urls.op10,
     }

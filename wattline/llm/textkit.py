@@ -66,10 +66,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive texts: byte ranges ``start:end`` and ``doc`` (offsets of each text's words)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray | None = None):
+        """``inside``: 256 flags of the bytes that make words, if not all but white space."""
         n = len(data)
         self.data, self.off = data, off
-        word = ~_LUT[data]
+        word = ~_LUT[data] if inside is None else inside[data]
         edge = off[(off > 0) & (off < n)]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
