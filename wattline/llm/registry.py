@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wattline.llm import decontam, langid, mixing, quality, tokens, urls, warc
+from wattline.llm import decontam, langid, mixing, neardup, quality, tokens, urls, warc
 
 
 def queries() -> dict:
     return {
         "op3_warc_derivatives": warc.op3,
+        "op4_minhash_neardup": neardup.op4,
         "op5_language_id": langid.op5,
         "op6_token_wavelet": tokens.op6,
         "op7_mix_sources": mixing.op7,
