@@ -7,8 +7,9 @@ fingerprints aggregated map-side.  Representatives meet in band buckets:
 1. every member is paired with its bucket's smallest member (a star, never all
    pairs); pairs that pass the signature estimate are confirmed on full sets;
 2. links become components by alternating large-star and small-star;
-3. in buckets that still hold several components, members outside the largest
-   one are paired with members of other components, which completes the links.
+3. documents in buckets that still hold several components go through an exact
+   prefix filter: those of different components that share one of their rarest
+   shingles are paired and confirmed, which completes the links.
 
 The bands miss a pair at the threshold with probability under ``MISS``; the
 signature estimate drops such a pair only five standard deviations below it.
@@ -170,6 +171,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def prefixes(docs: DataFrame, text: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """(id, n, item, left): the rarest shingles of each of ``docs`` (id, n) of which any pair at the threshold shares one.
+
+    With o = ceil(t * n), two sets that share o items share one among the first
+    n - o + 1 of each in a common order; the order is by number of holders.  Items
+    of one holder count towards the length and are never shared, so they are left out.
+    ``left`` counts the items from this one on: no pair shares more than the smaller
+    ``left`` at the first item that it shares.
+    """
+
+    def items(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.int64(batch.column(0)[i].as_py()), len(got))), pa.array(got)], names=["id", "item"])
+
+    held = scratch.put(set_bytes(text.join(docs, "id", "left_semi"), plan).dropDuplicates(["id"]), "prefix-sets")
+    rows = held.mapInArrow(items, "id long, item long")
+    df = scratch.put(rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "prefix-df")
+    known = rows.join(df, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
+    room = docs.join(known, "id").withColumn("room", F.col("n") - F.ceil(F.col("n") * plan.percent / F.lit(100)) + 1 - (F.col("n") - F.size("held")))
+    own = F.col("n") - F.size("held")
+    cut = room.where("room > 0").select("id", "n", own.alias("own"), F.posexplode(F.slice("held", 1, F.col("room").cast("int"))).alias("k", "e"))
+    return scratch.put(cut.select("id", "n", F.col("e.item").alias("item"), (F.col("n") - F.col("own") - F.col("k")).alias("left")), "prefixes")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
@@ -201,10 +228,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     tagged = scratch.put(members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "tagged")
     parts = tagged.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    rest = tagged.join(mixed, "key")
-    left = rest.where("c != main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    right = rest.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))
-    across = left.join(right, "key").where((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & close(F.col("nx"), F.col("ny")))
+    open_ = scratch.put(tagged.join(mixed, "key", "left_semi").select("id", "n", "c").distinct(), "open")
+    head = prefixes(open_.select("id", "n"), text, plan, scratch).join(open_.select("id", "c"), "id")
+    head = scratch.put(head, "heads")
+    parts = head.groupBy("item", "c").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("item").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("item", "main")
+    rest = head.join(mixed, "item")
+    left = rest.where("c != main").select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("c").alias("cx"))
+    right = rest.select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))
+    enough = F.least("lx", "ly") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    across = left.join(right, "item").where(enough & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & close(F.col("nx"), F.col("ny")))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.put(likely(across, reps, plan), "pairs-2")
     if not second.isEmpty():
