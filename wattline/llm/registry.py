@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wattline.llm import decontam, langid, mixing, neardup, quality, recompress, tokens, urls, warc
+from wattline.llm import decontam, langid, mixing, neardup, quality, recompress, suffixes, tokens, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_recompression_dedup": recompress.op1,
+        "op2_suffix_array_dedup": suffixes.op2,
         "op3_warc_derivatives": warc.op3,
         "op4_minhash_neardup": neardup.op4,
         "op5_language_id": langid.op5,
