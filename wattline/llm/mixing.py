@@ -112,54 +112,87 @@ def min_cost_flow(supply: dict, quota: dict, max_repeat: int) -> dict:
     return {key: arcs[k ^ 1][1] for key, k in routes.items()}
 
 
-def mix(
-    docs: DataFrame,
-    members: Column,
-    size: Column,
-    *,
-    id_col: str = "doc_id",
-    weight_cycle: Sequence[float] = (5, 2, 1),
-    share: float = 1.5,
-    max_repeat: int = 2,
-    seed: str = "mix",
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """One row per document: id, members, size, copies, taken, and for each source of it size and target.
-
-    ``members`` is an array<string> column; null entries name the null source.
-    Sources are weighted in code-point order, null last, by repeating ``weight_cycle``.
-    Returned columns: id_col, ``keep``, members, size, copies, taken,
-    plan array<struct<source,source_size,target>>.
-    """
+def _ranked(docs: DataFrame, members: Column, size: Column, id_col: str, weight_cycle: Sequence[float], share: float, max_repeat: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with pattern, size, order key, whole and extra uses; plan with one row a pattern)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    base = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size"), F.substring(h, 1, 16).alias("h"))
+    base = docs.select(F.col(id_col).alias("id"), _members(members).alias("members"), size.cast("long").alias("size"), _order(id_col, seed).alias("h"))
     base = scratch.put(base.withColumn("bucket", F.substring("h", 1, BUCKET_HEX)), "sizes")
     found = base.groupBy("members").agg(F.sum("size").alias("n")).collect()
     supply = {tuple(r.members): int(r.n or 0) for r in found}
     sources = sorted({s for p in supply for s in p}, key=lambda s: (s is None, s or ""))
     weights = {s: float(weight_cycle[i % len(weight_cycle)]) for i, s in enumerate(sources)}
     sizes = {s: sum(n for p, n in supply.items() if s in p) for s in sources}
-    target = dict(zip(sources, quotas([sizes[s] for s in sources], [weights[s] for s in sources], share, max_repeat), strict=True)) if sources else {}
+    target = dict(zip(sources, quotas([sizes[s] for s in sources], [weights[s] for s in sources], share, max_repeat), strict=True))
     flow = min_cost_flow({p: n for p, n in supply.items() if n}, {s: round(t) for s, t in target.items()}, max_repeat)
     routed = {p: sum(flow.get((p, s), 0) for s in p) for p in supply}
 
     plan_type = "members array<string>, words long, routed long, plan array<struct<source:string,source_size:long,target:double>>"
     plan = spark.createDataFrame([(list(p), supply[p], routed[p], [(s, sizes[s], float(target[s])) for s in p]) for p in supply], plan_type)
-    null_safe = lambda c: F.to_json(F.struct(F.col(c).alias("m")), {"ignoreNullFields": "false"})
-    base = base.withColumn("pattern", null_safe("members"))
-    plan = plan.withColumn("pattern", null_safe("members")).drop("members")
+    plan = plan.withColumn("pattern", _pattern("members")).drop("members")
+    whole = F.when(F.col("words") > 0, F.floor(F.col("routed") / F.col("words"))).otherwise(F.lit(0)).cast("long")
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("routed") - F.col("whole") * F.col("words"))
+    base = base.withColumn("pattern", _pattern("members"))
     buckets = base.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket").join(plan, "pattern")
-    within = Window.partitionBy("pattern", "bucket").orderBy("h", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("pattern", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = base.withColumn("run", F.sum("size").over(within)).join(buckets, ["pattern", "bucket"])
-    whole = F.when(F.col("words") > 0, F.floor(F.col("routed") / F.col("words"))).otherwise(F.lit(0)).cast("long")
     middle = 2 * (F.col("before") + F.col("run")) - F.col("size")
-    extra = (middle <= 2 * (F.col("routed") - whole * F.col("words"))) & (F.col("size") > 0) & (F.col("routed") > whole * F.col("words"))
-    copies = F.when(F.col("size") > 0, whole + F.when(extra, 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn("copies", copies).select(id_col, *keep, "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "plan")
+    extra = (middle <= 2 * F.col("rest")) & (F.col("size") > 0) & (F.col("rest") > 0)
+    return rows.withColumn("extra", extra), plan
+
+
+def _members(members: Column) -> Column:
+    return F.array_sort(F.array_distinct(members))
+
+
+def _order(id_col: str, seed: str) -> Column:
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16)
+
+
+def _pattern(members) -> Column:
+    return F.to_json(F.struct(F.col(members).alias("m") if isinstance(members, str) else members.alias("m")), {"ignoreNullFields": "false"})
+
+
+#: Sources weigh 5, 2, 1, repeating, and share 150 % of all sizes; no document is used more than twice.
+PRODUCTION = {"weight_cycle": (5, 2, 1), "share": 1.5, "max_repeat": 2, "seed": "mix"}
+
+
+def mix(docs: DataFrame, members: Column, size: Column, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row per document: id, members, size, copies, taken and plan array<struct<source,source_size,target>>.
+
+    ``members`` is an array<string> column; null entries name the null source.
+    Sources are weighted in code-point order, null last, by repeating ``weight_cycle``.
+    """
+    rows, _ = _ranked(docs, members, size, id_col, **(PRODUCTION | how))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra"), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
+    return rows.withColumn("copies", copies).select(F.col("id").alias(id_col), "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "plan")
+
+
+def mixed(docs: DataFrame, members: Column, size: Column, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, columns as given.
+
+    The documents of a pattern's last, partial use are those up to one order key, so
+    a row a pattern decides all: texts are not shuffled.
+    """
+    how = PRODUCTION | how
+    rows, plan = _ranked(docs, members, size, id_col, **how)
+    key = lambda i, n: F.struct(F.col("h"), F.col(i).alias("id"), F.col(n).alias("size"))
+    last = rows.where("extra").groupBy("pattern").agg(F.max(key("id", "size")).alias("last"))
+    rule = Scratch(docs.sparkSession, "mix").put(plan.select("pattern", "whole").join(last, "pattern", "left"), "rule")
+    if rule.count() <= BROADCAST_PATTERNS:
+        rule = F.broadcast(rule)
+    given = [F.col(c) for c in docs.columns]
+    hidden = docs.select(F.struct(*given).alias("__row"), F.col(id_col).alias("__id"), _pattern(_members(members)).alias("pattern"), size.cast("long").alias("__size"), _order(id_col, how["seed"]).alias("h"))
+    met = hidden.join(rule, "pattern")
+    extra = F.coalesce(key("__id", "__size") <= F.col("last"), F.lit(False))
+    copies = F.when(F.col("__size") > 0, F.col("whole") + F.when(extra, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
+    return met.select("__row", F.explode(F.array_repeat(F.lit(1), copies)).alias("__use")).select("__row.*")
+
+
+#: Patterns whose rule is broadcast; with more it is joined.
+BROADCAST_PATTERNS = 20_000
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
