@@ -17,7 +17,7 @@ from wattline.llm.common import worker_cache
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 M1, M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
