@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from wattline.plans import relations, series  # noqa: F401
+from wattline.plans import relations, series, workflows  # noqa: F401
 from wattline.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
