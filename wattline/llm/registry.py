@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattline.llm import decontam, langid, mixing, neardup, quality, recompress, suffixes, tokens, urls, warc
+from wattline.llm import decontam, langid, mixing, neardup, quality, recompress, sql, suffixes, tokens, urls, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": urls.op10_sql()}
+    return {
+        "op1_recompression_dedup": sql.OP1,
+        "op2_suffix_array_dedup": sql.OP2,
+        "op4_minhash_neardup": sql.OP4,
+        "op7_mix_sources": sql.op7(),
+        "op9_quality_cascade": sql.op9(),
+        "op10_url_rules": urls.op10_sql(),
+    }
