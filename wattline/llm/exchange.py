@@ -118,10 +118,9 @@ def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, first,
     """Two exchanges and a last pass; each argument but the frames makes its worker from the number of reducers."""
     rows, groups, size = dealt(docs, id_col, text_col)
     reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry) >> 20)
-    one = rows.groupBy("g").applyInArrow(first(reducers), ENTRIES)
-    got = scratch.put(reduce_by(one, reduce_first), "answers-1")
+    # No frame of a finished round stays referenced: Spark then deletes its shuffle files.
+    got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first), "answers-1")
     scratch.release()
-    two = with_answers(rows, got, second(reducers), ENTRIES)
-    got = got.unionByName(scratch.put(reduce_by(two, reduce_second), "answers-2"))
+    got = got.unionByName(scratch.put(reduce_by(with_answers(rows, got, second(reducers), ENTRIES), reduce_second), "answers-2"))
     scratch.release()
     return with_answers(rows, got, last(reducers), schema)

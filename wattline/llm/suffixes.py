@@ -3,18 +3,20 @@
 Texts are bytes; a byte goes if a ``WINDOW``-byte string that covers it also
 starts earlier.  Each window is filed under the smallest fingerprint of the
 ``GRAM``-byte strings in it; windows in a row under the same one form a piece.
-Groups of documents send each distinct piece once to the shard of its
-fingerprint, so equal windows meet in one shard.  A shard builds the suffix array
-of its pieces by induced sorting; neighbours that share ``WINDOW`` bytes, by the
-permuted common prefixes, are equal windows, and the earliest of them stays.
+Groups of documents first exchange fingerprints of pieces: of equal ones the
+earliest counts, the others go.  Where different pieces share a fingerprint their
+earliest holders send them to its shard, so equal windows meet in one shard.  It
+builds the suffix array of its pieces by induced sorting; neighbours that share
+``WINDOW`` bytes, by the permuted common prefixes, are equal windows, and the
+earliest of them stays.
 
 Fingerprints with more than ``HOT`` pieces in all are dealt window by window, by
 the window's own fingerprint, so no shard has to hold them alone.
 
 Defined cases: null and empty texts have no bytes; windows never cross documents;
 rows with equal ids count as one document's parts in order of text; null ids come
-last; repeated rows, extra columns and empty tables are fine.  Within a group
-pieces are told apart by 64-bit fingerprints, between groups by their bytes.
+last; repeated rows, extra columns and empty tables are fine.  Whole pieces are
+told apart by 64-bit fingerprints of content and place, windows by their bytes.
 """
 
 from __future__ import annotations
@@ -100,26 +102,26 @@ class Pieces:
             content.append(mix((total[s + runs + WINDOW - 1] - total[s]) * inverse[s] ^ runs.astype(U), 4))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.wins, self.key = cat(start, np.int64), cat(wins, np.int64), cat(key, U)
-        _, first, inverse = np.unique(cat(content, U) ^ mix(self.key, 5), return_index=True, return_inverse=True)
-        #: First pieces of their content, and for each piece whether it is one.
-        self.first = np.sort(first)
+        self.content = cat(content, U) ^ mix(self.key, 5)
+        _, first = np.unique(self.content, return_index=True)
+        #: Whether a piece is the first of its content; those pieces, by fingerprint and content.
         self.is_first = np.zeros(len(self.start), bool)
         self.is_first[first] = True
-        self.keys, self.kinds = np.unique(self.key[self.first], return_counts=True)
+        self.first = first[np.lexsort((self.content[first], self.key[first]))]
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.group.off, at, "right") - 1
 
 
 class Sent:
-    """What a group sends in the second exchange: pieces, and single windows of hot fingerprints."""
+    """What a group sends in the second exchange: pieces that it holds first, where others share their fingerprint; single windows of hot ones."""
 
     def __init__(self, p: Pieces, answers: pa.Table, reducers: int):
-        bits = flags_of(answers, 1, by_range(p.keys, reducers), np.full(len(p.keys), 2))
-        shared, hot = bits[::2], bits[1::2]
-        which = np.searchsorted(p.keys, p.key[p.first])
-        plain = p.first[(shared & ~hot)[which]]
-        of_hot = p.first[(shared & hot)[which]]
+        bits = flags_of(answers, 1, by_range(p.key[p.first], reducers), np.full(len(p.first), 3)).reshape(-1, 3)
+        #: Pieces whose content a smaller document of another group holds.
+        self.late = p.first[bits[:, 0]]
+        plain = p.first[~bits[:, 0] & bits[:, 1] & ~bits[:, 2]]
+        of_hot = np.sort(p.first[~bits[:, 0] & bits[:, 1] & bits[:, 2]])
         at, n, key = p.start[plain], p.wins[plain], p.key[plain]
         self.hot_at = np.repeat(p.start[of_hot], p.wins[of_hot]) + _ramp(p.wins[of_hot])
         if len(self.hot_at):
@@ -152,24 +154,36 @@ HEAD = "<Q"
 def _first(reducers: int):
     def work(_, tbl):
         p = Pieces(Group(tbl))
-        reducer = by_range(p.keys, reducers)
+        key, content = p.key[p.first], p.content[p.first]
+        doc = p.group.id[p.row_of(p.start[p.first])]
+        small = len(doc) == 0 or (int(doc.min()) >= 0 and int(doc.max()) < 1 << 32)
+        doc = doc.astype(np.uint32 if small else np.int64)
+        reducer = by_range(key, reducers)
         names, first = np.unique(reducer, return_index=True)
         ends = np.append(first[1:], len(reducer))
-        kinds = np.minimum(p.kinds, 65535).astype(np.uint16)
-        body = [p.keys[a:b].tobytes() + kinds[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        body = [struct.pack(HEAD, doc.itemsize) + key[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
         return pa.Table.from_arrays([pa.array([p.group.g] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(body, pa.binary())], schema=ENTRY_ARROW)
 
     return work
 
 
 def _reduce_first(senders, bodies, r):
-    """Two bits: several pieces share the fingerprint; so many that it is hot."""
-    counts = np.array([len(b) // 10 for b in bodies])
-    keys = np.concatenate([np.frombuffer(b, U, n) for b, n in zip(bodies, counts.tolist(), strict=True)])
-    kinds = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(bodies, counts.tolist(), strict=True)])
-    _, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, kinds)[inverse]
-    return answer(senders, r, 1, np.stack([total > 1, total > HOT], axis=1).ravel(), 2 * counts)
+    """Three bits: a smaller document elsewhere holds the piece; other pieces share its fingerprint; so many that it is hot."""
+    key, content, doc, counts = [], [], [], []
+    for body in bodies:
+        (width,) = struct.unpack_from(HEAD, body)
+        n = (len(body) - 8) // (16 + width)
+        counts.append(n)
+        key.append(np.frombuffer(body, U, n, 8))
+        content.append(np.frombuffer(body, U, n, 8 + 8 * n))
+        doc.append(np.frombuffer(body, np.uint32 if width == 4 else np.int64, n, 8 + 16 * n).astype(np.int64))
+    key, content, doc = np.concatenate(key), np.concatenate(content), np.concatenate(doc)
+    _, at, which = np.unique(content, return_index=True, return_inverse=True)
+    low = np.full(len(at), np.iinfo(np.int64).max, np.int64)
+    np.minimum.at(low, which, doc)
+    _, owner, kinds = np.unique(key[at], return_inverse=True, return_counts=True)
+    several = kinds[owner][which]
+    return answer(senders, r, 1, np.stack([low[which] < doc, several > 1, several > HOT], axis=1).ravel(), 3 * np.array(counts))
 
 
 def _second(reducers: int):
@@ -271,7 +285,7 @@ def _removed(group: Group, answers: pa.Table, reducers: int) -> np.ndarray:
     s = Sent(p, answers, reducers)
     bits = flags_of(answers, 2, s.reducer, s.n)
     mark = np.zeros(len(group.data) + 1, np.int32)
-    again = np.flatnonzero(~p.is_first)
+    again = np.concatenate([np.flatnonzero(~p.is_first), s.late])
     np.add.at(mark, p.start[again], 1)
     np.add.at(mark, p.start[again] + p.wins[again] + WINDOW - 1, -1)
     where = (np.repeat(s.at, s.n) + _ramp(s.n))[bits]
