@@ -60,6 +60,7 @@ def test_equal_ids_and_nulls(spark):
     out = R.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
     assert sorted((r.doc_id or -1, r.n_removed, r.kept_text) for r in out) == [(-1, 0, ""), (-1, 30, ""), (5, 0, t), (5, 0, t), (7, 30, "")]
     assert R.repeats_removed(spark.createDataFrame([], DOCS)).count() == 0
+    assert [tuple(r)[1:3] for r in R.repeats_removed(spark.createDataFrame([(1, "short")], "doc_id long, text string")).collect()] == [(1, 0)]
 
 
 def test_windows_pick_by_their_words_alone():

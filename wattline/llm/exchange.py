@@ -62,12 +62,20 @@ def by_range(keys: np.ndarray, reducers: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(reducers) >> np.uint64(32)).astype(np.int64)
 
 
+def stretches(reducer: np.ndarray) -> list[tuple[int, int, int]]:
+    """(reducer, begin, end) of each stretch of equal, sorted reducers."""
+    names, first = np.unique(reducer, return_index=True)
+    return list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(reducer)][: len(names)], strict=True))
+
+
+def rows_to(g: int, names: list[int], bodies: list[bytes]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([g] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(bodies, pa.binary())], schema=ENTRY_ARROW)
+
+
 def send(g: int, reducer: np.ndarray, parts: list[np.ndarray]) -> pa.Table:
     """One row a reducer: the entries dealt to it (``reducer`` is sorted), each part as a column of bytes, one after another."""
-    names, first = np.unique(reducer, return_index=True)
-    ends = np.append(first[1:], len(reducer))
-    body = [b"".join(p[a:b].tobytes() for p in parts) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-    return pa.Table.from_arrays([pa.array([g] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(body, pa.binary())], schema=ENTRY_ARROW)
+    parted = stretches(reducer)
+    return rows_to(g, [k for k, _, _ in parted], [b"".join(p[a:b].tobytes() for p in parts) for _, a, b in parted])
 
 
 def answer(g: list[int], r: int, step: int, flags: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -82,10 +90,8 @@ def flags_of(answers: pa.Table, step: int, reducer: np.ndarray, weight: np.ndarr
     """The bits of a step in the order of the group's entries (sorted by reducer), ``weight`` bits an entry."""
     rows = answers.filter(pa.compute.equal(answers.column("step"), step)) if answers.num_rows else answers
     got = dict(zip(rows.column("r").to_pylist(), rows.column("bits").to_pylist(), strict=True))
-    names, first = np.unique(reducer, return_index=True)
-    ends = np.append(first[1:], len(reducer))
     total = np.arange(len(reducer) + 1) if weight is None else np.concatenate([[0], np.cumsum(weight)])
-    out = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=int(total[b] - total[a])) for k, a, b in zip(names.tolist(), first.tolist(), ends.tolist(), strict=True)]
+    out = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=int(total[b] - total[a])) for k, a, b in stretches(reducer)]
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 

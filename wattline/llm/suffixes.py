@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.common import Scratch, bound_batches, table
-from wattline.llm.exchange import ENTRY_ARROW, Group, answer, by_range, flags_of, rounds
+from wattline.llm.exchange import Group, answer, by_range, flags_of, rounds, rows_to, stretches
 from wattline.llm.induced import permuted_prefixes, suffix_array
 from wattline.llm.textkit import mix, powers, slices
 
@@ -158,11 +158,9 @@ def _first(reducers: int):
         doc = p.group.id[p.row_of(p.start[p.first])]
         small = len(doc) == 0 or (int(doc.min()) >= 0 and int(doc.max()) < 1 << 32)
         doc = doc.astype(np.uint32 if small else np.int64)
-        reducer = by_range(key, reducers)
-        names, first = np.unique(reducer, return_index=True)
-        ends = np.append(first[1:], len(reducer))
-        body = [struct.pack(HEAD, doc.itemsize) + key[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array([p.group.g] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(body, pa.binary())], schema=ENTRY_ARROW)
+        parted = stretches(by_range(key, reducers))
+        body = [struct.pack(HEAD, doc.itemsize) + key[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].tobytes() for _, a, b in parted]
+        return rows_to(p.group.g, [k for k, _, _ in parted], body)
 
     return work
 
@@ -191,13 +189,12 @@ def _second(reducers: int):
         p = Pieces(group)
         s = Sent(p, answers, reducers)
         size = s.n + WINDOW - 1
-        names, first = np.unique(s.reducer, return_index=True)
-        ends, body = np.append(first[1:], len(s.reducer)), []
+        parted, body = stretches(s.reducer), []
         doc = group.id[p.row_of(s.at)]
-        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+        for _, a, b in parted:
             text = group.data[np.repeat(s.at[a:b], size[a:b]) + _ramp(size[a:b])]
             body.append(b"".join([struct.pack(HEAD, b - a), s.key[a:b].tobytes(), doc[a:b].tobytes(), s.at[a:b].tobytes(), s.n[a:b].astype(np.uint32).tobytes(), text.tobytes()]))
-        return pa.Table.from_arrays([pa.array([group.g] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(body, pa.binary())], schema=ENTRY_ARROW)
+        return rows_to(group.g, [k for k, _, _ in parted], body)
 
     return work
 
