@@ -20,8 +20,8 @@ from wattline.llm.common import Scratch, shuffle_parts
 from wattline.llm.textkit import buffers
 
 GROUP_BYTES = 8 << 20
-#: Reducers hold about a million entries each; there are at least so many.
-LEAST_REDUCERS = 24
+#: Reducers hold about a quarter of a million entries each; there are at least so many.
+LEAST_REDUCERS = 48
 ENTRIES = "g int, r int, body binary"
 ANSWERS = "g int, step int, r int, bits binary"
 ENTRY_ARROW = pa.schema([("g", pa.int32()), ("r", pa.int32()), ("body", pa.binary())])
@@ -123,7 +123,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.
 def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, first, reduce_first, second, reduce_second, last, schema: str, bytes_per_entry: float) -> DataFrame:
     """Two exchanges and a last pass; each argument but the frames makes its worker from the number of reducers."""
     rows, groups, size = dealt(docs, id_col, text_col)
-    reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry) >> 20)
+    reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry) >> 18)
     # No frame of a finished round stays referenced: Spark then deletes its shuffle files.
     got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first), "answers-1")
     scratch.release()
