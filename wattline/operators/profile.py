@@ -90,8 +90,8 @@ def reference_days(target: DataFrame, history: DataFrame, series: str, day: str,
     pairs = target.select(series, day).distinct().withColumn("weekend", weekend(day)).join(h, series)
     same = F.col("weekend") == F.col("r_weekend")
     n = F.sum(same.cast("int")).over(Window.partitionBy(series, day))
-    keep = F.lit(True) if solar else (same | (n < least))
-    return pairs.where(F.lit(True)).withColumn("n_same", n).where(keep).select(series, day, "r_day")
+    keep = F.lit(True) if solar else (same | (F.col("n_same") < least))
+    return pairs.withColumn("n_same", n).where(keep).select(series, day, "r_day")
 
 
 def daily_outlier(calibration: DataFrame, target: DataFrame, series: str, score: str) -> DataFrame:
