@@ -38,7 +38,7 @@ VERSION = "WARC/1.0"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 BLOCK_TAGS = "address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split()
 
-_SKIP = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>"
+_SKIP = r"(?is)<(?:!--.*?-->|(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|!doctype[^>]*>)"
 _BREAK = r"(?i)</?(?:%s)\b[^>]*>" % "|".join(BLOCK_TAGS)
 _TAG = r"</?[a-zA-Z][^>]*>"
 _TITLE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -54,19 +54,21 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def page_text(page: str) -> str:
-    """Visible text: blocks on lines of their own, runs of white space as one space, entities resolved."""
-    page = re.sub(_SKIP, " ", page)
-    page = re.sub(r"\s+", " ", page)
-    page = html.unescape(re.sub(_TAG, "", re.sub(_BREAK, "\n", page)))
-    lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in page.split("\n"))
+def visible(page: str) -> str:
+    """The page without comments, scripts, styles and doctype."""
+    return re.sub(_SKIP, " ", page)
+
+
+def page_text(bare: str) -> str:
+    """Text of a ``visible`` page: blocks on lines of their own, runs of white space as one space, entities resolved."""
+    bare = html.unescape(re.sub(_TAG, "", re.sub(_BREAK, "\n", " ".join(bare.split()))))
+    lines = (" ".join(x.split()) for x in bare.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def page_facts(page: str, url: str | None) -> dict:
-    """Title, language and links as metadata records hold them."""
-    bare = re.sub(_SKIP, " ", page)
-    title, lang = re.search(_TITLE, bare), re.search(_LANG, page)
+def page_facts(bare: str, url: str | None) -> dict:
+    """Title, language and links of a ``visible`` page as metadata records hold them."""
+    title, lang = re.search(_TITLE, bare), re.search(_LANG, bare)
     links = []
     for tag, a, b, c in re.findall(_LINK, bare):
         target = html.unescape(a or b or c).strip()
@@ -134,7 +136,8 @@ def derive(source: Record) -> tuple[Record, Record, dict, str]:
     """(metadata record, conversion record, facts, text) of a response record."""
     head, payload = http_parts(source.block)
     page, url = payload.decode("utf-8", "replace"), source.headers.get("WARC-Target-URI")
-    facts, text = page_facts(page, url), page_text(page)
+    bare = visible(page)
+    facts, text = page_facts(bare, url), page_text(bare)
     sid = source.headers["WARC-Record-ID"]
     shared = {"WARC-Date": source.headers.get("WARC-Date", ""), **({"WARC-Target-URI": url} if url is not None else {}), "WARC-Refers-To": sid}
     facts |= {"payload_digest": digest(payload), "payload_length": len(payload)}
