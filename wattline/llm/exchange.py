@@ -95,8 +95,8 @@ def flags_of(answers: pa.Table, step: int, reducer: np.ndarray, weight: np.ndarr
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 
-def reduce_by(entries: DataFrame, work: Callable[[list[int], list[bytes], int], pa.Table]) -> DataFrame:
-    """Run ``work(senders, bodies, reducer)`` for each reducer."""
+def reduce_by(entries: DataFrame, work: Callable[[list[int], list[bytes], int], pa.Table], reducers: int) -> DataFrame:
+    """Run ``work(senders, bodies, reducer)`` for each reducer; small inputs may be much work, so partitions are not merged by size."""
 
     def run(key, table):
         bodies = [b.as_py() for b in table.column("body")]
@@ -104,7 +104,7 @@ def reduce_by(entries: DataFrame, work: Callable[[list[int], list[bytes], int],
         order = sorted(range(len(senders)), key=senders.__getitem__)
         return work([senders[i] for i in order], [bodies[i] for i in order], key[0].as_py())
 
-    return entries.groupBy("r").applyInArrow(run, ANSWERS)
+    return entries.repartition(reducers, "r").groupBy("r").applyInArrow(run, ANSWERS)
 
 
 def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -125,8 +125,8 @@ def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, first,
     rows, groups, size = dealt(docs, id_col, text_col)
     reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry) >> 18)
     # No frame of a finished round stays referenced: Spark then deletes its shuffle files.
-    got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first), "answers-1")
+    got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first, reducers), "answers-1")
     scratch.release()
-    got = got.unionByName(scratch.put(reduce_by(with_answers(rows, got, second(reducers), ENTRIES), reduce_second), "answers-2"))
+    got = got.unionByName(scratch.put(reduce_by(with_answers(rows, got, second(reducers), ENTRIES), reduce_second, reducers), "answers-2"))
     scratch.release()
     return with_answers(rows, got, last(reducers), schema)

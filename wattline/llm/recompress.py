@@ -146,7 +146,7 @@ def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
             best[live] = np.minimum(best[live], k[i[live] + step])
             step += 1
             live = live[i[live] + step < j[live]]
-        key[at] = best | U(1)
+        key[at] = mix(best, 33) | U(1)
         open_ = open_[~some]
     return key
 

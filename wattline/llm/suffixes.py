@@ -98,7 +98,7 @@ class Pieces:
             runs = np.add.reduceat(ok, s) if len(s) else np.zeros(0, np.int64)
             start.append(s + base)
             wins.append(runs.astype(np.int64))
-            key.append(h[at[s]])
+            key.append(mix(h[at[s]], 7))  # smallest fingerprints are small: spread them again
             content.append(mix((total[s + runs + WINDOW - 1] - total[s]) * inverse[s] ^ runs.astype(U), 4))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.wins, self.key = cat(start, np.int64), cat(wins, np.int64), cat(key, U)
