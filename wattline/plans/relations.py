@@ -388,14 +388,24 @@ def rpca_scores(spark, sf):
     return models.rpca_scores(days, quantile=0.95)
 
 
-@query()
+@query("""WITH u AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+st AS (SELECT label, d, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY 1, 2), z AS (SELECT label, vec_id, d, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM u JOIN st USING (label, d)),
+v AS (SELECT label, vec_id, list(z ORDER BY d) AS z FROM z GROUP BY 1, 2), pr AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_distance(a.z, b.z) AS dist FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY dist, b) AS k FROM pr) WHERE k <= 20), kd AS (SELECT label, a, max(dist) AS kd FROM nn GROUP BY 1, 2),
+rd AS (SELECT nn.label, nn.a, 1 / (avg(greatest(nn.dist, kd.kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.label = nn.label AND kd.a = nn.b GROUP BY 1, 2),
+lf AS (SELECT nn.label, nn.a, avg(o.lrd) / any_value(s.lrd) AS lof FROM nn JOIN rd o ON o.label = nn.label AND o.a = nn.b JOIN rd s ON s.label = nn.label AND s.a = nn.a GROUP BY 1, 2),
+th AS (SELECT label, -quantile_cont(-lof, 0.005) AS lim FROM lf GROUP BY 1), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT e.label, e.vec_id, round(lof, 5) AS lof, lof > lim AS is_anomaly, CASE WHEN n <= 20 THEN 'insufficient_rows' ELSE 'ok' END AS status FROM embeddings e JOIN n USING (label) LEFT JOIN lf ON lf.label = e.label AND a = vec_id AND n > 20 LEFT JOIN th ON th.label = e.label AND n > 20""")
 def lof_scores(spark, sf):
-    return models.lof(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    got = models.lof(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    return got.withColumn("lof", F.round(F.when(~F.isnan("lof"), F.col("lof")), 5))
 
 
 @query()
 def change_points(spark, sf):
-    return models.change_points(hourly(spark, sf).select("series_id", "slot", "p"), ["series_id"], "slot", "p")
+    step = F.when(F.col("slot") >= (FIRST + LAST) // 2, F.col("p") / 10 + 60).otherwise(F.col("p") / 10)
+    edge = hourly(spark, sf).where(F.col("slot").between((FIRST + LAST) // 2 - 96, (FIRST + LAST) // 2 + 24))
+    return models.change_points(edge.select("series_id", "slot", step.alias("p")), ["series_id"], "slot", "p")
 
 
 @query()
