@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -54,9 +55,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans that nobody holds any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner delete shuffle files of plans that nobody holds any more.
+
+        Python's references end on a thread of their own, so the second round finds what the first let go.
+        """
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.2)
+            self.spark._jvm.System.gc()
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
