@@ -27,24 +27,28 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _slots(c: np.ndarray) -> np.ndarray:
     """Rank of each entry among equal ones before it."""
-    order = np.argsort(c, kind="stable")
+    n = len(c)
+    order = np.argsort(c, kind="stable")  # a radix sort for 16-bit symbols
     sorted_ = c[order]
-    first = np.ones(len(c), bool)
-    first[1:] = sorted_[1:] != sorted_[:-1]
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))
-    rank = np.empty(len(c), np.int64)
-    rank[order] = np.arange(len(c)) - begin
+    head = np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1
+    rank = np.empty(n, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    if len(head):
+        begin = np.concatenate([[0], head])
+        rank[order] = at - np.repeat(begin, np.diff(np.append(begin, n))).astype(np.int32)
+    else:
+        rank[order] = at
     return rank
 
 
 def _induce(t: np.ndarray, s: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The array that ``seeds`` (leftmost S suffixes, in order within first symbols) induce."""
     n = len(t)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     c = t[seeds]
     count = np.bincount(c, minlength=len(bounds) - 1)
     order = np.argsort(c, kind="stable")
-    sa[bounds[c[order] + 1] - count[c[order]] + _slots(c[order])] = seeds[order]
+    sa[bounds[c[order].astype(np.int64) + 1] - count[c[order]] + _slots(c[order])] = seeds[order]
     head = bounds[:-1].copy()
     i, size = 0, 64
     while i < n:
@@ -96,10 +100,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text) + 1
     if n == 1:
         return np.zeros(0, np.int64)
-    t = np.zeros(n, np.int64)
+    t = np.zeros(n, np.uint16 if int(text.max()) < 1 << 16 else np.int32)
     t[:-1] = text
     s = _types(t)
-    bounds = np.zeros(int(t.max()) + 2, np.int64)
+    bounds = np.zeros(int(t.max()) + 2, np.int32)
     np.cumsum(np.bincount(t), out=bounds[1:])
     left = np.zeros(n, bool)
     left[1:] = s[1:] & ~s[:-1]

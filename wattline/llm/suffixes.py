@@ -37,7 +37,7 @@ WINDOW = 100
 GRAM = 32
 HOT = 4096
 #: Bytes of a suffix array; one fingerprint's pieces stay together.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 U = np.uint64
 
 
