@@ -35,6 +35,8 @@ class Limits:
     max_repeat_percent: int = 50
     max_symbols_per_100_words: int = 30
     max_dup_line_percent: int = 30
+    #: Fewer duplicate lines than this never reject: short documents may repeat one.
+    min_dup_lines: int = 3
     min_mean_word: float = 2.0
     max_mean_word: float = 20.0
     max_upper_percent: int = 60
@@ -67,7 +69,7 @@ RULES: dict[str, Rule] = {
     "repeated_windows": Rule(("n_words", "n_repeat_words"), lambda f, x: 100 * f["n_repeat_words"] > x.max_repeat_percent * f["n_words"]),
     "symbols": Rule(("n_words", "n_symbols"), lambda f, x: 100 * f["n_symbols"] > x.max_symbols_per_100_words * f["n_words"]),
     "mean_word": Rule(("n_words", "word_chars"), lambda f, x: (f["word_chars"] < x.min_mean_word * f["n_words"]) | (f["word_chars"] > x.max_mean_word * f["n_words"])),
-    "duplicate_lines": Rule(("n_lines", "n_dup_lines"), lambda f, x: 100 * f["n_dup_lines"] > x.max_dup_line_percent * f["n_lines"]),
+    "duplicate_lines": Rule(("n_lines", "n_dup_lines"), lambda f, x: (f["n_dup_lines"] >= x.min_dup_lines) & (100 * f["n_dup_lines"] > x.max_dup_line_percent * f["n_lines"])),
     "upper_case": Rule(("n_upper", "n_lower"), lambda f, x: 100 * f["n_upper"] > x.max_upper_percent * (f["n_upper"] + f["n_lower"])),
     "letters": Rule(("n_letters", "word_chars"), lambda f, x: 100 * f["n_letters"] < x.min_letter_percent * f["word_chars"]),
 }

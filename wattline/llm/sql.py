@@ -78,6 +78,6 @@ m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
 b AS (SELECT *, n_words < {x.min_words} OR 100 * n_repeat_words > {x.max_repeat_percent} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > {x.max_symbols_per_100_words} * n_words OR word_chars < {x.min_mean_word} * n_words OR word_chars > {x.max_mean_word} * n_words
-    OR 100 * n_dup_lines > {x.max_dup_line_percent} * n_lines OR 100 * up > {x.max_upper_percent} * (up + low) OR 100 * letters < {x.min_letter_percent} * word_chars) AS kept
+    OR (n_dup_lines >= {x.min_dup_lines} AND 100 * n_dup_lines > {x.max_dup_line_percent} * n_lines) OR 100 * up > {x.max_upper_percent} * (up + low) OR 100 * letters < {x.min_letter_percent} * word_chars) AS kept
 FROM b
 """
