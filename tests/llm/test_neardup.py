@@ -80,6 +80,14 @@ def test_chain_and_odd_rows(spark):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.deduplicated(empty).count() == 0
 
 
+def test_scratch(spark, tmp_path):
+    s = Scratch(spark, "x")
+    df = s.put(spark.range(3), "t")
+    assert df.count() == 3
+    s.close()
+    assert s.put(spark.range(2), "t").count() == 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(200)] + [(5, 5)]

@@ -51,9 +51,13 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Delete all tables of this scratch space, once nothing reads them any more."""
+        self.drop("")
+
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of plans that nobody holds any more.
 
