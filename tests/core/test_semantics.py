@@ -270,14 +270,14 @@ def csv(*stamps):
 
 
 def test_day_folders_and_archives(spark, tmp_path):
-    for day, stamps in (("01_02_2024", ["2024-02-01T00:00:00Z", "junk"]), ("02_02_2024", ["2024-02-01T00:00:00Z", "2024-02-02T00:05:00Z"])):
+    for day, stamps in (("01_02_2024", ["2024-02-01T00:00:00Z", "junk"]), ("02_02_2024", ["2024-01-31T23:55:00Z", "2024-02-01T00:00:00Z", "2024-02-02T00:05:00Z"])):
         (tmp_path / "raw" / day).mkdir(parents=True)
         (tmp_path / "raw" / day / "dev_1.csv").write_text(csv(*stamps))
     rows = readers.day_folders(spark, str(tmp_path / "raw"))
     got = readers.merged(rows).collect()
     assert len(got) == 2 and {r.series_id for r in got} == {"dev_1"} and {str(r.folder_date) for r in got} == {"2024-02-01", "2024-02-02"}
     m = readers.merge_manifest(rows).first()
-    assert (m.n_rows, m.n_bad_timestamp_rows_dropped, m.n_days_present, m.n_days_missing) == (3, 1, 2, 0)
+    assert (m.n_rows, m.n_bad_timestamp_rows_dropped, m.n_days_present, m.n_days_missing) == (4, 1, 3, 0)
     arch = tmp_path / "arch"
     arch.mkdir()
     with zipfile.ZipFile(arch / "a.zip", "w") as z:
@@ -292,6 +292,30 @@ def test_day_folders_and_archives(spark, tmp_path):
         list(readers.archive_members("x.rar", b""))
 
 
+def test_workflow_rules(spark):
+    from wattline.operators import workflow
+
+    assert workflow.Profile(0, 10, 10, 12, 20).problems() == [] and len(workflow.Profile(0, 10, 5, 12, 20, 4, 9).problems()) == 2
+    base = spark.createDataFrame([("a", i) for i in range(9)], "k string, slot long")
+    got = workflow.scoring_frame(base.where("slot < 6"), base.where("slot >= 6"), ["k"], "slot", 2)
+    assert [(r.slot, r.split) for r in got.orderBy("slot").collect()] == [(4, "baseline"), (5, "baseline"), (6, "test"), (7, "test"), (8, "test")]
+    q = spark.createDataFrame([("a", 0, 10)], "k string, start long, `end` long")
+    b = spark.createDataFrame([("a", "x", 9, 12), ("a", "y", 10, 12)], "k string, event_id string, start long, `end` long")
+    kinds = workflow.compose_events(q, b, ["k"], 4).collect()
+    assert sorted((r.kind, r.event_id) for r in kinds if r.event_id) == [("behaviour", "y")] and len(kinds) == 2
+    d = spark.createDataFrame([("a", 1), ("a", 2)], "k string, day long")
+    p = spark.createDataFrame([("a", 1, 5, 1.0), ("a", 1, 6, 3.0), ("a", 1, 9, 2.0)], "k string, day long, slot long, score double")
+    runs = workflow.anomalous_days(d, p, ["k"], "day", "slot", gap=1).collect()
+    assert sorted((r.day, r.start or -1, r.n_points or 0) for r in runs) == [(1, 5, 2), (1, 9, 1), (2, -1, 0)]
+    roll = {r.day: (r.n_points, r.max_score) for r in workflow.day_rollup(d, p, ["k"], "day", "slot").collect()}
+    assert roll == {1: (3, 3.0), 2: (0, None)}
+    g = spark.createDataFrame([("s", 1, True), ("s", 90, True), ("t", 1, True), ("u", 100, True)], "k string, slot long, real boolean")
+    gates = {r.k: r.gate for r in workflow.stale_gate(g, "k", "slot", F.col("real"), 50, most=30, train_least=1, test_least=1).collect()}
+    assert gates == {"s": "stale_baseline", "t": "no_test_rows", "u": "stale_baseline"}
+    with pytest.raises(ValueError, match="differ"):
+        workflow.required(d, p)
+
+
 def test_metadata_mappings(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"d1": {"organization": "o", "channels": [{"id": "d1_C10", "category_id": 3, "category_name": "solar", "metadata": {"rated_power": 5.0}}, {"id": "d1_C2", "category_id": null}]}}')
     meta = readers.channel_metadata(spark, str(tmp_path / "m.json"))

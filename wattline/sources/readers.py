@@ -68,9 +68,15 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One sorted series a channel: the earliest folder's row of an instant stays, unreadable instants go."""
+    """One series a channel: a folder's rows up to the last instant of earlier folders go, as do unreadable instants.
+
+    Of equal instants in one folder the row with the smallest measurements stays; files keep no row order in Spark.
+    """
+    day = F.datediff("folder_date", F.lit("1970-01-01").cast("date")).cast("long")
+    before = F.max("timestamp").over(Window.partitionBy("series_id").orderBy(day).rangeBetween(Window.unboundedPreceding, -1))
+    later = rows.where("timestamp IS NOT NULL").withColumn("__last", before).where("__last IS NULL OR timestamp > __last")
     w = Window.partitionBy("series_id", "timestamp").orderBy(F.col("folder_date").asc_nulls_last(), *[F.col(m) for m in MEASUREMENTS])
-    return rows.where("timestamp IS NOT NULL").withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    return later.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__last")
 
 
 def merge_manifest(rows: DataFrame) -> DataFrame:
