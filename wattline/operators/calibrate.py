@@ -49,6 +49,11 @@ def thresholds(rows: DataFrame, keys: Sequence[str], value: str, q: float) -> Da
     return rows.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("threshold"))
 
 
+def with_threshold(rows: DataFrame, keys: Sequence[str], value: str, is_reference: Column, q: float) -> DataFrame:
+    """Adds the reference's quantile to every row: one more window over a partitioning that calibration has anyway."""
+    return rows.withColumn("threshold", F.percentile(F.when(is_reference, F.col(value)), F.lit(q)).over(Window.partitionBy(*keys)))
+
+
 def mad(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, median absolute deviation and 95th percentile of absolute values."""
     rows = rows.select(*keys, value)

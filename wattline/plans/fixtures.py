@@ -41,8 +41,8 @@ def scores(spark: SparkSession, sf: str, q: float = 0.95) -> DataFrame:
     h = hourly(spark, sf)
     long = h.select("series_id", "slot", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("raw_score")) for m, c in (("lof", "imax"), ("mp", "imin"), ("rpca", "p"))])).alias("s")).select("s.model", "series_id", "slot", "s.raw_score")
     long = calibrate.ecdf(long, ["model", "series_id"], "raw_score", F.col("slot") < TRAIN_END, "max_percentile")
-    limits = calibrate.thresholds(long.where(F.col("slot") < TRAIN_END), ["model", "series_id"], "raw_score", q)
-    return long.join(limits, ["model", "series_id"]).withColumn("is_anomaly", F.col("raw_score") > F.col("threshold")).withColumn("available", F.lit(True))
+    long = calibrate.with_threshold(long, ["model", "series_id"], "raw_score", F.col("slot") < TRAIN_END, q)
+    return long.withColumn("is_anomaly", F.col("raw_score") > F.col("threshold")).withColumn("available", F.lit(True))
 
 
 H = f"""h AS (SELECT event_type AS series_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, avg(value) AS p, max(value) AS imax, min(value) AS imin, count(*) AS n FROM events GROUP BY 1, 2)"""

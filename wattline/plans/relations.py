@@ -36,9 +36,8 @@ _WIDE = ", ".join(f"round(max(CASE WHEN model = '{m}' THEN raw_score END), 6) AS
 
 @query(f"WITH {SCORES}, g AS (SELECT series_id, CAST(s.slot AS BIGINT) AS slot FROM (SELECT DISTINCT event_type AS series_id FROM events), range({FIRST}, {LAST}) s(slot)) SELECT g.series_id, g.slot, {_WIDE} FROM g LEFT JOIN sc USING (series_id, slot) GROUP BY 1, 2")
 def ensemble_wide(spark, sf):
-    s = scores(spark, sf)
-    grid = timegrid.full_grid(s.select("series_id").distinct(), FIRST, LAST)
-    return rounded(contract.wide(s, grid, MODELS, ["raw_score", "max_percentile", "available"]), *[f"{m}_{c}" for m in MODELS for c in ("raw_score", "max_percentile")])
+    grid = timegrid.full_grid(table(spark, sf, "events").select(F.col("event_type").alias("series_id")).distinct(), FIRST, LAST)
+    return rounded(contract.wide(scores(spark, sf), grid, MODELS, ["raw_score", "max_percentile", "available"]), *[f"{m}_{c}" for m in MODELS for c in ("raw_score", "max_percentile")])
 
 
 @query(f"""WITH {EVENTS} SELECT model, series_id, start, "end", round(top, 6) AS top, round(mean, 6) AS mean, n, substr(sha1(concat_ws('|', model, series_id, CAST(start AS VARCHAR), CAST("end" AS VARCHAR))), 1, 16) AS event_id FROM ev""")
