@@ -75,11 +75,11 @@ class WaveletShard:
         zeros, before, parts = [], [], []
         for level in range(bits):
             bit = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
-            starts = np.arange(0, n, BLOCK_BITS)
-            ones = np.add.reduceat(bit, starts, dtype=np.int64) if n else np.zeros(0, np.int64)
-            before.append(np.concatenate([[0], np.cumsum(ones)[:-1]]) if blocks else ones)
+            starts = range(0, n, BLOCK_BITS)
+            ones = [np.count_nonzero(bit[s : s + BLOCK_BITS]) for s in starts]
+            before.append(np.cumsum([0, *ones[:-1]]) if blocks else np.zeros(0, np.int64))
             packed = np.packbits(bit).tobytes()
-            parts += [zip_.compress(packed[s // 8 : s // 8 + BLOCK_BITS // 8]) for s in starts.tolist()]
+            parts += [zip_.compress(packed[s // 8 : s // 8 + BLOCK_BITS // 8]) for s in starts]
             low = seq[~bit]
             zeros.append(len(low))
             seq = np.concatenate([low, seq[bit]])
