@@ -89,3 +89,19 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_nulls_pass_through(spark, tmp_path):
+    docs, bench = corpus()
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["id", "n", "h", "pattern", "bucket", "members", "size", "rep", "key", "kept", "copies", "component_id", "item_id", "plan", "words", "whole", "last"]
+    df = spark.createDataFrame(docs + [(None, None, None, None, None)] * 2, DOCS).selectExpr("*", *[f"doc_id * {i} AS `{c}`" for i, c in enumerate(names)])
+    plain = spark.createDataFrame(docs + [(None, None, None, None, None)] * 2, DOCS)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got, want = stage(spark, df, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in want.collect())
+        assert all(r[c] == r.doc_id * i for r in rows if r.doc_id is not None for i, c in enumerate(names))
+    wide = corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path))
+    assert sorted(map(str, wide.collect())) == sorted(map(str, corpus_pipeline.STAGES[4][1](spark, plain, str(tmp_path)).collect()))
