@@ -72,7 +72,7 @@ class Scratch:
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
