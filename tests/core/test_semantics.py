@@ -76,6 +76,13 @@ def test_validity_and_splits(spark):
     assert col(parts, "part") == ["train"] * 6 + ["validation"] + ["calibration"] + ["test"] * 3
 
 
+def test_global_positions(spark):
+    keys = [(i * 7919) % 1000 for i in range(1000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    assert all(r.position == r.k for r in timegrid.global_positions(df, "k", buckets=9).collect())
+    assert timegrid.global_positions(df.where("k < 0"), "k").count() == 0
+
+
 def test_block_scores_population_deviation(spark):
     got = detect.block_scores(series(spark, [2, 4, 9]), ["series_id"], "slot", "v").orderBy("slot").collect()[-1]
     assert (got.max_error, got.mean_error) == (9, 5) and got.error_std == pytest.approx(np.std([2, 4, 9]))

@@ -69,3 +69,19 @@ def four_way(rows: DataFrame, key: str, order: str, ratios: tuple[float, float,
     n = F.count("*").over(w)
     a, b, c = (F.floor(n * F.lit(r)) for r in ratios)
     return rows.withColumn("part", F.when(k < a, "train").when(k < a + b, "validation").when(k < a + b + c, "calibration").otherwise("test"))
+
+
+def global_positions(rows: DataFrame, key: str, name: str = "position", buckets: int = 64) -> DataFrame:
+    """Position of each row by a numeric key, from 0, without one task that sorts all rows.
+
+    Quantile cuts part the rows into ranges; a range's rows are numbered on their own and shifted by the ranges before it.
+    """
+    from pyspark.sql import Window
+
+    cuts = sorted(set(rows.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.001)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    parted = rows.withColumn("__b", part)
+    before = parted.groupBy("__b").agg(F.count("*").alias("n"))
+    before = before.select("__b", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    k = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
+    return parted.withColumn("__k", k).join(F.broadcast(before), "__b").withColumn(name, F.col("__before") + F.col("__k")).drop("__b", "__k", "__before")

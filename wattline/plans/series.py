@@ -152,7 +152,8 @@ def category_plan(spark, sf):
 
 @query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) % 4 AS shard FROM supplier WHERE s_acctbal > 0")
 def shard_positions(spark, sf):
-    return table(spark, sf, "supplier").where("s_acctbal > 0").select("s_suppkey", F.pmod(F.row_number().over(Window.orderBy("s_suppkey")) - 1, F.lit(4)).cast("long").alias("shard"))
+    ranked = timegrid.global_positions(table(spark, sf, "supplier").where("s_acctbal > 0").select("s_suppkey"), "s_suppkey")
+    return ranked.select("s_suppkey", F.pmod("position", F.lit(4)).cast("long").alias("shard"))
 
 
 # calibration ---------------------------------------------------------------
