@@ -9,6 +9,7 @@ from its documents; nothing is broadcast and nothing reaches the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +23,8 @@ from wattline.llm.textkit import buffers
 GROUP_BYTES = 8 << 20
 #: Reducers hold about a quarter of a million entries each; there are at least so many.
 LEAST_REDUCERS = 48
+#: Tasks of a reduce stage; more reducers share tasks.
+MOST_TASKS = 1 << 16
 ENTRIES = "g int, r int, body binary"
 ANSWERS = "g int, step int, r int, bits binary"
 ENTRY_ARROW = pa.schema([("g", pa.int32()), ("r", pa.int32()), ("body", pa.binary())])
@@ -49,10 +52,15 @@ class Group:
         self.data, self.off = buffers(text.take(pa.array(order)))
 
 
+def growth(size: int) -> float:
+    """Beyond a terabyte of text groups and reducers grow with the root of the size, so that entries still travel in batches."""
+    return max(1.0, (size / (1 << 40)) ** 0.5)
+
+
 def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
     """(documents with their group, number of groups, bytes of text)."""
     size = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    groups = max(4 * shuffle_parts(docs.sparkSession), -(-size // GROUP_BYTES))
+    groups = max(4 * shuffle_parts(docs.sparkSession), math.ceil(size / (GROUP_BYTES * growth(size))))
     g = F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("g")
     return docs.select(g, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), groups, size
 
@@ -104,7 +112,7 @@ def reduce_by(entries: DataFrame, work: Callable[[list[int], list[bytes], int],
         order = sorted(range(len(senders)), key=senders.__getitem__)
         return work([senders[i] for i in order], [bodies[i] for i in order], key[0].as_py())
 
-    return entries.repartition(reducers, "r").groupBy("r").applyInArrow(run, ANSWERS)
+    return entries.repartition(min(reducers, MOST_TASKS), "r").groupBy("r").applyInArrow(run, ANSWERS)
 
 
 def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -123,7 +131,7 @@ def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.
 def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, first, reduce_first, second, reduce_second, last, schema: str, bytes_per_entry: float) -> DataFrame:
     """Two exchanges and a last pass; each argument but the frames makes its worker from the number of reducers."""
     rows, groups, size = dealt(docs, id_col, text_col)
-    reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry) >> 18)
+    reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry / growth(size)) >> 18)
     # No frame of a finished round stays referenced: Spark then deletes its shuffle files.
     got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first, reducers), "answers-1")
     scratch.release()
