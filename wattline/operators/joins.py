@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.operators import islands
+
 
 def buckets(rows: DataFrame, start: str, end: str, width: int, name: str = "bucket") -> DataFrame:
     """One row for each bucket of ``width`` that [start, end) touches."""
@@ -47,11 +51,43 @@ def in_all(rows: DataFrame, item: str, member: str, n: Column | int) -> DataFram
     return rows.groupBy(item).agg(F.countDistinct(member).alias("n_members")).where(F.col("n_members") == n)
 
 
+def _met(pdf: pd.DataFrame, lo: int, width: int) -> np.ndarray:
+    """For each query row of one bucket its overlaps with units, less the gaps inside it; pairs that both began earlier were counted there."""
+    s, e, kind = (pdf[c].to_numpy() for c in ("start", "end", "kind"))
+    qs, qe = s[kind == 0], e[kind == 0]
+    us, ue = s[kind == 1], e[kind == 1]
+    us, ue, later = np.sort(us), np.sort(ue), np.sort(us[us >= lo])
+    n = np.where(qs >= lo, np.searchsorted(us, qe) - np.searchsorted(ue, qs, "right"), np.searchsorted(later, qe))
+    gs, ge = s[kind == 2], e[kind == 2]
+    for at in range(lo, lo + width):
+        n -= np.where(qs < at, np.searchsorted(np.sort(ge[gs == at]), qe), 0)
+    return n
+
+
+def channels_met(events: DataFrame, groups: Sequence[str], series: str, event: str, width: int) -> DataFrame:
+    """(event, n_channels): series of its group with an event that overlaps it, itself included; ends lie after starts.
+
+    Each series is merged into disjoint units.  The units that overlap an interval
+    follow one another, so a series is counted once if the gaps between them are
+    taken off again.  Both counts add up over buckets: no pair is made.
+    """
+    by = [*groups, series]
+    units = islands.merge_intervals(events.select(*by, "start", "end"), by, "start", "end").groupBy(*by, "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    gaps = units.select(*groups, F.col("end").alias("start"), F.lead("start").over(Window.partitionBy(*by).orderBy("start")).alias("end")).where("end IS NOT NULL")
+    rows = buckets(events.select(*groups, event, "start", "end"), "start", "end", width).withColumn("kind", F.lit(0))
+    rows = rows.unionByName(buckets(units.select(*groups, "start", "end"), "start", "end", width).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = rows.unionByName(gaps.withColumn("bucket", F.floor(F.col("start") / width).cast("long")).withColumn("kind", F.lit(2)), allowMissingColumns=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({event: pdf.loc[pdf["kind"] == 0, event], "n": _met(pdf, int(pdf["bucket"].iloc[0]) * width, width)})
+
+    part = rows.groupBy(*groups, "bucket").applyInPandas(run, f"`{event}` {dict(events.dtypes)[event]}, n long")
+    return part.groupBy(event).agg(F.sum("n").alias("n_channels"))
+
+
 def common_mode(events: DataFrame, eligible: DataFrame, groups: Sequence[str], series: str, event: str, width: int, *, least: int = 3, share: float = 0.3) -> DataFrame:
     """Per event the channels of its group with an overlapping event, and whether they are common mode."""
-    other = events.select(*groups, F.col(series).alias("o_series"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    n = overlapping(events, other, groups, width).groupBy(event).agg(F.countDistinct("o_series").alias("n_channels"))
-    out = events.join(n, event).join(eligible, list(groups))
+    out = events.join(channels_met(events, groups, series, event, width), event).join(eligible, list(groups))
     return out.withColumn("common_mode", (F.col("n_channels") >= least) & (F.col("n_channels") / F.col("eligible") >= share))
 
 

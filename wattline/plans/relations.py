@@ -96,7 +96,7 @@ c AS (SELECT a.id, count(DISTINCT b.k) AS n_channels FROM iv2 a JOIN iv2 b ON a.
 SELECT CAST(iv2.region AS BIGINT) AS region, iv2.id, n_channels, eligible, n_channels >= 3 AND n_channels / eligible >= 0.02 AS common_mode FROM iv2 JOIN c USING (id) JOIN el USING (region)""")
 def common_mode(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.col("n_regionkey").cast("long").alias("region"))
-    iv = _intervals(spark, sf).where("id % 40 = 0").join(c, "k")
+    iv = _intervals(spark, sf).join(c, "k")
     eligible = iv.groupBy("region").agg(F.countDistinct("k").alias("eligible"))
     return joins.common_mode(iv, eligible, ["region"], "k", "id", 32, share=0.02).select("region", "id", "n_channels", "eligible", "common_mode")
 
@@ -106,9 +106,10 @@ u AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END)
 SELECT CAST(region AS BIGINT) AS region, min(start) AS start, max("end") AS "end", count(*) AS n_events, count(DISTINCT k) AS n_channels, max("end" - start) AS longest FROM u GROUP BY region, unit""")
 def incident_summary(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.col("n_regionkey").cast("long").alias("region"))
-    iv = _intervals(spark, sf).where("id % 40 = 0").join(c, "k")
-    units = islands.merge_intervals(iv, ["region"], "start", "end", touching=False)
-    return units.groupBy("region", "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_events"), F.countDistinct("k").alias("n_channels"), F.max(F.col("end") - F.col("start")).alias("longest")).drop("unit")
+    iv = _intervals(spark, sf).join(c, "k")
+    reach = iv.groupBy("region", "start").agg(F.max("end").alias("end"))  # intervals of one start are always one unit
+    units = islands.merge_intervals(reach, ["region"], "start", "end", touching=False).select("region", "start", "unit")
+    return iv.join(units, ["region", "start"]).groupBy("region", "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_events"), F.countDistinct("k").alias("n_channels"), F.max(F.col("end") - F.col("start")).alias("longest")).drop("unit")
 
 
 @query(f'WITH {EVENTS} SELECT ev.model, ev.series_id, ev.start, round(max(h.imax), 6) AS peak, count(*) AS n_hours FROM ev JOIN h ON h.series_id = ev.series_id AND h.slot >= ev.start AND h.slot < ev."end" GROUP BY 1, 2, 3')
