@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from tests.core.test_queries import SF, norm
-from wattline.operators import joins
+from wattline.operators import joins, profile
 from wattline.plans import relations, series, workflows  # noqa: F401
+from wattline.plans.fixtures import FIRST, FULL, LAST, PER_DAY, TRAIN_END
 from wattline.plans.registry import QUERIES, SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -41,3 +42,58 @@ def test_channels_met_counts_a_channel_once(spark):
     want = {i: len({k2 for g2, k2, _, s2, e2 in rows if g2 == g and s < e2 and e > s2}) for g, k, i, s, e in rows}
     df = spark.createDataFrame(rows, "g long, k long, id long, start long, `end` long")
     assert {r.id: r.n_channels for r in joins.channels_met(df, ["g"], "k", "id", 16).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def profiles(con):
+    """By width, series and day: each window's distance to the nearest of the baseline, other days only."""
+    f = con.sql(f"WITH {FULL} SELECT series_id, slot, p FROM f ORDER BY 1, 2").df()
+    out = {}
+    for name, part in f.groupby("series_id"):
+        x = part["p"].to_numpy(float).reshape(-1, PER_DAY)
+        for width in (4, 6):
+            w = np.lib.stride_tricks.sliding_window_view(x, width, axis=1)
+            z = (w - w.mean(-1, keepdims=True)) / w.std(-1, keepdims=True)
+            assert not (w.std(-1) <= profile.EPSILON).any()
+            for d in range(len(x)):
+                ref = np.concatenate([z[r] for r in range((TRAIN_END - FIRST) // PER_DAY) if r != d])
+                dist = np.linalg.norm(z[d][:, None] - ref[None][:, ~np.isnan(ref).any(-1)], axis=-1).min(axis=1)
+                for i in np.flatnonzero(~np.isnan(dist)):
+                    out[width, name, FIRST // PER_DAY + d, int(i)] = float(dist[i])
+    assert len({k[1] for k in out}) == 5 and len({k[2] for k in out}) == (LAST - FIRST) // PER_DAY
+    return out
+
+
+@pytest.mark.parametrize("name", ["znorm_ab_join", "lodo_calibration"])
+def test_profiles_cover_all_series_and_days(spark, profiles, name):
+    want = {k[1:]: v for k, v in profiles.items() if k[0] == 4 and (k[2] >= TRAIN_END // PER_DAY) == (name == "znorm_ab_join")}
+    got = {(r.series_id, r.day, r.start): r.distance for r in QUERIES[name](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def percentiles(profiles, width, places):
+    """Best mid-rank of the windows over each test slot among the baseline's distances of its series."""
+    best = {}
+    for s in {k[1] for k in profiles}:
+        mine = {k[2:]: round(v, places) for k, v in profiles.items() if k[:2] == (width, s)}
+        base = np.array([v for (d, _), v in mine.items() if d < TRAIN_END // PER_DAY])
+        for (d, i), v in mine.items():
+            if d >= TRAIN_END // PER_DAY:
+                pct = 100 * float((base < v - 1e-9).mean() + 0.5 * (abs(base - v) <= 1e-9).mean())
+                for h in range(i, i + width):
+                    best[s, d, h] = max(best.get((s, d, h), 0.0), pct)
+    return best
+
+
+def test_day_scores_cover_all_series_and_days(spark, profiles):
+    got = {(r.series_id, r.day, r.h): r.scale_4 for r in QUERIES["day_scores"](spark, SF).collect()}
+    want = percentiles(profiles, 4, 4)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.4 for k in want)
+
+
+def test_detector_scales_cover_all_series_and_days(spark, profiles):
+    rows = QUERIES["detector_scales"](spark, SF).collect()
+    for width in (4, 6):
+        got = {(r.series_id, r.day, r.h): r[f"scale_{width}"] for r in rows if r[f"scale_{width}"] is not None}
+        want = percentiles(profiles, width, 12)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.4 for k in want)

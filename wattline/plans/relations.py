@@ -246,9 +246,10 @@ wn AS (SELECT d3.series_id, d3.day, s.k AS start, h - s.k AS o, p, count(*) OVER
 z AS (SELECT *, (p - m) / sd AS z FROM wn WHERE c = 4)"""
 
 
-def _few_days(spark, sf):
-    f = full(spark, sf).where("series_id = 'click'")
-    return f.where((F.col("slot") < FIRST + 6 * PER_DAY) | (F.col("slot") >= LAST - 3 * PER_DAY))
+def _days(spark, sf):
+    """One row per series and day with its 24 values, and whether it is a test day."""
+    days = full(spark, sf).groupBy("series_id", "day").agg(F.sort_array(F.collect_list(F.struct("h", "p"))).alias("a"))
+    return days.select("series_id", "day", F.transform("a", lambda s: s["p"]).alias("v"), (F.col("day") >= TRAIN_END // PER_DAY).alias("q"))
 
 
 _FROM = (LAST - 3 * PER_DAY) // PER_DAY
@@ -256,17 +257,14 @@ _FROM = (LAST - 3 * PER_DAY) // PER_DAY
 
 @query(f"""WITH {_WIN}, pr AS (SELECT q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day >= {_FROM} AND r.day < {_FROM} GROUP BY 1, 2, 3, 4) SELECT day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2""")
 def znorm_ab_join(spark, sf):
-    w = profile.windows(_few_days(spark, sf), ["series_id", "day"], "h", "p", 4, PER_DAY)
-    got = profile.ab_join(w.where(F.col("day") >= _FROM), w.where(F.col("day") < _FROM), "series_id", "day", 4)
-    return got.select("day", "start", F.round("distance", 4).alias("distance"))
+    got = profile.ab_join_arrays(_days(spark, sf), "series_id", "day", "v", "q", 4)
+    return got.select("series_id", "day", "start", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""WITH {_WIN}, pr AS (SELECT q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day < {_FROM} AND r.day < {_FROM} AND q.day <> r.day GROUP BY 1, 2, 3, 4) SELECT day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2""")
 def lodo_calibration(spark, sf):
-    days = _few_days(spark, sf).where(F.col("day") < _FROM).groupBy("series_id", "day").agg(F.sort_array(F.collect_list(F.struct("h", "p"))).alias("a"))
-    days = days.select("series_id", "day", F.transform("a", lambda s: s["p"]).alias("v"), F.lit(True).alias("q"))
-    got = profile.ab_join_arrays(days, "series_id", "day", "v", "q", 4, leave_own_day_out=True)
-    return got.select("day", "start", F.round("distance", 4).alias("distance"))
+    got = profile.ab_join_arrays(_days(spark, sf).where("NOT q").withColumn("q", F.lit(True)), "series_id", "day", "v", "q", 4, leave_own_day_out=True)
+    return got.select("series_id", "day", "start", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""WITH {FULL}, d AS (SELECT DISTINCT series_id, day FROM f), x AS (SELECT *, isodow(DATE '1970-01-01' + CAST(day AS INT)) >= 6 AS we FROM d), pr AS (SELECT a.series_id, a.day, b.day AS r_day, a.we = b.we AS same, sum(CAST(a.we = b.we AS INT)) OVER (PARTITION BY a.series_id, a.day) AS n FROM x a JOIN x b USING (series_id) WHERE a.day >= {TRAIN_END // 24} AND b.day < {TRAIN_END // 24})

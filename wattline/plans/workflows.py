@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattline.operators import contract, detect, evaluate, islands, joins, timegrid, workflow
 from wattline.plans.fixtures import EVENTS, FIRST, FULL, H, LAST, MODELS, PER_DAY, SCORES, TRAIN_END, full, hourly, scores, table, with_day
 from wattline.plans.registry import query, r6, rounded
-from wattline.plans.relations import _BAND, _CONF, _FROM, _WIN, _banded, _events, _few_days
+from wattline.plans.relations import _BAND, _CONF, _FROM, _WIN, _banded, _days, _events
 from wattline.plans.series import _FLAT
 
 _TD = TRAIN_END // PER_DAY
@@ -99,16 +99,14 @@ a AS (SELECT q.day, q.start, q.day >= {_FROM} AS tgt, sqrt(greatest(8 - 2 * sum(
 m AS (SELECT day, start, tgt, round(min(d), 4) AS d FROM a GROUP BY 1, 2, 3), pc AS (SELECT t.day, t.start, (count(*) FILTER (WHERE b.d < t.d) + 0.5 * count(*) FILTER (WHERE b.d = t.d)) / count(*) * 100 AS pct FROM m t JOIN m b ON NOT b.tgt WHERE t.tgt GROUP BY 1, 2)
 SELECT day, start + k AS h, round(max(pct), 1) AS scale_4 FROM pc, (SELECT CAST(k AS BIGINT) AS k FROM range(4) t(k)) GROUP BY 1, 2""")
 def day_scores(spark, sf):
-    d = _few_days(spark, sf)
     from wattline.operators import calibrate, profile
 
-    ref = profile.windows(d.where(F.col("day") < _FROM), ["series_id", "day"], "h", "p", 4, PER_DAY)
-    query_ = profile.windows(d.where(F.col("day") >= _FROM), ["series_id", "day"], "h", "p", 4, PER_DAY)
-    base = profile.ab_join(ref, ref, "series_id", "day", 4, leave_own_day_out=True).withColumn("is_ref", F.lit(True))
-    got = profile.ab_join(query_, ref, "series_id", "day", 4).withColumn("is_ref", F.lit(False))
+    d = _days(spark, sf)
+    base = profile.ab_join_arrays(d.where("NOT q").withColumn("q", F.lit(True)), "series_id", "day", "v", "q", 4, leave_own_day_out=True).withColumn("is_ref", F.lit(True))
+    got = profile.ab_join_arrays(d, "series_id", "day", "v", "q", 4).withColumn("is_ref", F.lit(False))
     ranked = calibrate.ecdf_mid(rounded4(base.unionByName(got)), ["series_id"], "distance", F.col("is_ref")).where("NOT is_ref")
-    slots = ranked.select("day", F.explode(F.sequence(F.col("start"), F.col("start") + 3)).alias("h"), "percentile")
-    return slots.groupBy("day", "h").agg(F.round(F.max("percentile"), 1).alias("scale_4"))
+    slots = ranked.select("series_id", "day", F.explode(F.sequence(F.col("start"), F.col("start") + 3)).alias("h"), "percentile")
+    return slots.groupBy("series_id", "day", "h").agg(F.round(F.max("percentile"), 1).alias("scale_4"))
 
 
 def rounded4(df):
@@ -117,8 +115,8 @@ def rounded4(df):
 
 @query()
 def detector_scales(spark, sf):
-    d = _few_days(spark, sf)
-    return workflow.day_profile_scores(d.where(F.col("day") < _FROM), d.where(F.col("day") >= _FROM), "series_id", "day", "h", "p", (4, 6), PER_DAY)
+    f = full(spark, sf)
+    return workflow.day_profile_scores(f.where(F.col("slot") < TRAIN_END), f.where(F.col("slot") >= TRAIN_END), "series_id", "day", "h", "p", (4, 6), PER_DAY)
 
 
 @query("""SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS category, CASE WHEN s_nationkey NOT IN (0, 1, 2, 3, 4, 5, 6, 7) THEN 'unsupported_category' WHEN s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'unavailable' ELSE 'ready' END AS status FROM supplier""")
