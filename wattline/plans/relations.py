@@ -372,11 +372,9 @@ def injection_coverage(spark, sf):
 @query("""WITH RECURSIVE e AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey % 5 = 0 AND b.o_orderkey % 5 = 0 AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 60),
 c(n, u) AS (SELECT x, x FROM e UNION SELECT e.y, c.u FROM c JOIN e ON e.x = c.n) SELECT n AS node, min(u) AS unit FROM c GROUP BY 1""")
 def review_units(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey", F.floor(timegrid.epoch(F.col("o_orderdate")) / 86400).cast("long").alias("start"))
-    iv = o.withColumn("end", F.col("start") + 1)
-    other = o.select("o_custkey", F.col("o_orderkey").alias("b"), (F.col("start") - 60).alias("b_start"), (F.col("start") + 61).alias("b_end"))
-    edges = joins.overlapping(iv, other, ["o_custkey"], 64).select(F.col("o_orderkey").alias("a"), "b").where("a != b")
-    return joins.components(edges, o.select(F.col("o_orderkey").alias("node")))
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("node"), F.floor(timegrid.epoch(F.col("o_orderdate")) / 86400).cast("long").alias("start"))
+    runs = islands.islands(o, ["o_custkey"], "start", gap=60)  # neighbours within 60 days link the same orders as all pairs do
+    return runs.select("node", F.min("node").over(Window.partitionBy("o_custkey", "island")).alias("unit"))
 
 
 @query()
