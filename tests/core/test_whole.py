@@ -24,7 +24,7 @@ def con():
     return c
 
 
-CUTS = {"common_mode": " WHERE id % 40 = 0", "incident_summary": " WHERE id % 40 = 0", "review_units": " AND a.o_orderkey % 5 = 0 AND b.o_orderkey % 5 = 0"}
+CUTS = {"common_mode": " WHERE id % 40 = 0", "incident_summary": " WHERE id % 40 = 0", "review_units": " AND a.o_orderkey % 5 = 0 AND b.o_orderkey % 5 = 0", "status_backfill": " WHERE user_id % 10 = 0"}
 
 
 @pytest.mark.parametrize("name", sorted(CUTS))

@@ -35,7 +35,7 @@ def rolling_day_status(spark, sf):
 
 @query(f"WITH s AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0), g AS (SELECT user_id, CAST(d.day AS BIGINT) AS day FROM s, range({_FIRSTDAY}, {_LASTDAY}) d(day)), e AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events GROUP BY 1, 2) SELECT g.user_id, g.day, CASE WHEN e.day IS NULL THEN 'no_data' ELSE 'detected' END AS status FROM g LEFT JOIN e USING (user_id, day)")
 def status_backfill(spark, sf):
-    ev = table(spark, sf, "events").where("user_id % 10 = 0").select("user_id", F.floor(timegrid.epoch(F.col("ts")) / 86400).cast("long").alias("day")).distinct()
+    ev = table(spark, sf, "events").select("user_id", F.floor(timegrid.epoch(F.col("ts")) / 86400).cast("long").alias("day")).distinct()
     return workflow.backfill_status(ev.withColumn("status", F.lit("detected")), ev, "user_id", _FIRSTDAY, _LASTDAY)
 
 
