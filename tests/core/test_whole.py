@@ -1,5 +1,6 @@
 """Queries run over all rows: the same as DuckDB's SQL without its cut, or as a direct computation."""
 
+import datetime
 import os
 
 import duckdb
@@ -97,3 +98,13 @@ def test_detector_scales_cover_all_series_and_days(spark, profiles):
         got = {(r.series_id, r.day, r.h): r[f"scale_{width}"] for r in rows if r[f"scale_{width}"] is not None}
         want = percentiles(profiles, width, 12)
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.4 for k in want)
+
+
+def test_change_points_anywhere_in_the_month(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    begin = datetime.datetime(1970, 1, 1) + datetime.timedelta(hours=FIRST)
+    level = {"a": lambda i: 50.0 if i >= 60 else 10.0, "b": lambda i: 10.0 if i >= 650 else 50.0, "c": lambda i: 10.0}
+    rows = [(k, begin + datetime.timedelta(hours=i), f(i) + float(rng.normal(0, 0.5))) for k, f in level.items() for i in range(LAST - FIRST)]
+    spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["change_points"](spark, str(tmp_path)).collect()
+    assert sorted((r.series_id, r.slot - FIRST, round(r.shift / 10)) for r in got) == [("a", 60, 4), ("b", 650, -4)]
