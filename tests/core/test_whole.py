@@ -6,9 +6,10 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.core.test_queries import SF, norm
-from wattline.operators import joins, profile
+from wattline.operators import evaluate, joins, profile
 from wattline.plans import relations, series, workflows  # noqa: F401
 from wattline.plans.fixtures import FIRST, FULL, LAST, PER_DAY, TRAIN_END
 from wattline.plans.registry import QUERIES, SQL
@@ -108,3 +109,27 @@ def test_change_points_anywhere_in_the_month(spark, tmp_path):
     spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = QUERIES["change_points"](spark, str(tmp_path)).collect()
     assert sorted((r.series_id, r.slot - FIRST, round(r.shift / 10)) for r in got) == [("a", 60, 4), ("b", 650, -4)]
+
+
+def chosen(spark, rows, quota):
+    df = spark.createDataFrame(rows, "d string, t long, score double").repartition(3)
+    return [tuple(r) for r in evaluate.diverse(df, "d", "t", [-F.col("score"), F.col("d"), F.col("t")], quota)]
+
+
+def test_cases_after_a_hot_device(spark):
+    rows = [("hot", i, 10.0 - i / 1e4) for i in range(2500)] + [(k, 5, 1.0) for k in "abcde"]
+    assert chosen(spark, rows, 4) == [("hot", 0, 10.0), ("a", 5, 1.0), ("b", 5, 1.0), ("c", 5, 1.0)]
+    assert len(chosen(spark, rows, 9)) == 6  # every device has one case, no device has a second one 12 hours away
+
+
+@pytest.mark.parametrize("devices", [1, 3, 30])
+def test_cases_equal_a_walk_over_all_rows(spark, devices):
+    rng = np.random.default_rng(devices)
+    rows = [(f"d{d}", int(t) * 3600, float(s)) for d, t, s in zip(rng.integers(0, devices, 400), rng.integers(0, 200, 400), rng.normal(size=400), strict=True)]
+
+    class Ranked:
+        def collect(self):
+            return [dict(zip("dts", r, strict=True)) for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))]
+
+    for quota in (3, 12):
+        assert chosen(spark, rows, quota) == [tuple(r.values()) for r in evaluate.select_diverse(Ranked(), "d", "t", quota)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.scalars import stable_hex
@@ -47,9 +47,9 @@ def evenly_spaced(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
     return ranked.where((F.col("__n") <= k) | F.array_contains(wanted, F.col("position").cast("long"))).drop("__n")
 
 
-def select_diverse(ranked: DataFrame, device: str, at: str, quota: int, *, caps: Sequence[int] = (1, 2, 4), apart: int = 12 * 3600, pool: int = 2000) -> list:
-    """Greedy choice on the driver from the ``pool`` best rows: rising caps a device, ``apart`` seconds between one device's cases."""
-    rows, chosen = ranked.limit(pool).collect(), []
+def select_diverse(ranked: DataFrame, device: str, at: str, quota: int, *, caps: Sequence[int] = (1, 2, 4), apart: int = 12 * 3600) -> list:
+    """Greedy choice on the driver from rows in rank order: rising caps a device, ``apart`` seconds between one device's cases.  ``diverse`` serves large tables."""
+    rows, chosen = ranked.collect(), []
     for cap in [*caps, quota]:
         for r in rows:
             if len(chosen) == quota:
@@ -60,6 +60,43 @@ def select_diverse(ranked: DataFrame, device: str, at: str, quota: int, *, caps:
     return chosen
 
 
+def diverse(rows: DataFrame, device: str, at: str, rank: Sequence[Column], quota: int, *, caps: Sequence[int] = (1, 2, 4), apart: int = 12 * 3600) -> list[Row]:
+    """``select_diverse`` over all rows of a table, best first by ascending ``rank``.
+
+    What a device may give next depends on its own cases only: each pass takes every
+    device's best row that lies ``apart`` from its cases, by one partial aggregate.
+    Only a first pass that leaves devices over ends the choice, so at most
+    quota * quota rows reach the driver.
+    """
+    names = rows.columns
+    ranked = rows.select(F.col(device).alias("__device"), F.col(at).alias("__at"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("__rank"), F.struct(*names).alias("__row"))
+    chosen: list[Row] = []
+    taken: list[Row] = []
+    passes = 0
+    for cap in [*caps, quota]:
+        fresh: list[Row] = []
+        while passes < cap:
+            left = ranked
+            if taken:
+                t = rows.sparkSession.createDataFrame([(r["__device"], r["__at"]) for r in taken], ranked.select(F.col("__device").alias("t_device"), F.col("__at").alias("t_at")).schema)
+                left = ranked.join(F.broadcast(t), F.col("__device").eqNullSafe(F.col("t_device")) & (F.abs(F.col("__at") - F.col("t_at")) < apart), "left_anti")
+            best = left.groupBy("__device").agg(F.min(F.struct("__rank", "__at", "__row")).alias("b")).select("__device", "b.*")
+            got = best.orderBy("__rank", "__at", "__row").limit(quota).collect()
+            passes += 1
+            if not got:
+                passes = quota
+                break
+            fresh += got
+            taken += got
+            if passes == 1 and len(got) == quota:
+                break
+        fresh.sort(key=lambda r: (r["__rank"], r["__at"], r["__row"]))
+        chosen += fresh
+        if len(chosen) >= quota or passes >= quota:
+            break
+    return [r["__row"] for r in chosen[:quota]]
+
+
 def choose_positions(rows: DataFrame, key: str, score: str, id_col: str) -> DataFrame:
     """Of each key the row with the highest score and the one in the middle of the order."""
     w = Window.partitionBy(key)

@@ -411,5 +411,6 @@ def reconstruction_scores(spark, sf):
 
 @query()
 def diverse_cases(spark, sf):
-    ranked = scores(spark, sf).where("is_anomaly").select("model", "series_id", (F.col("slot") * 3600).alias("at"), "raw_score").orderBy(F.desc("raw_score"), "series_id", "at")
-    return spark.createDataFrame(evaluate.select_diverse(ranked, "series_id", "at", 12), ranked.schema)
+    cases = scores(spark, sf).where("is_anomaly").select("model", "series_id", (F.col("slot") * 3600).alias("at"), "raw_score")
+    got = evaluate.diverse(cases, "series_id", "at", [-F.col("raw_score"), F.col("series_id"), F.col("at"), F.col("model")], 12)
+    return spark.createDataFrame(got, cases.schema)
