@@ -55,3 +55,10 @@ def test_batching_never_changes_a_score():
     whole = model.logits(data, off)
     for i in range(100):
         assert (model.logits(data[off[i] : off[i + 1]], np.array([0, len(texts[i])])) == whole[i]).all()
+
+
+def test_sample_fills_up_where_texts_are_copied(spark):
+    copied = [(i, f"straße {i % 30} und kein weg", "de") for i in range(12000)]
+    docs = spark.createDataFrame([*copied, *[(20000 + i, f"the road {i}", "en") for i in range(40)]], "doc_id long, text string, lang string")
+    texts, labels = langid.sample(docs, docs.doc_id.isNotNull())
+    assert len(set(texts)) == len(texts) and labels.count("de") == 30 and labels.count("en") == 40

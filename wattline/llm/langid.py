@@ -180,9 +180,10 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[list[bytes], list[str]]:
-    """The bounded training sample: rows below a hash threshold set for each language by its count."""
+    """The bounded training sample: texts below a hash threshold set for each language by its count of distinct texts."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    texts = rows.select(lang_col, F.xxhash64(text_col).alias("h")).distinct()
+    counts = texts.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
     if not counts:
         return [], []
     scale = 1 << 30
