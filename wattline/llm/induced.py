@@ -131,7 +131,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each entry of ``sa`` the bytes it shares with the one before, up to ``most``; each has so many bytes."""
+    """For each entry of ``sa`` the bytes it shares with the one before, up to ``most``; each has so many bytes.
+
+    Neighbours in suffix order are compared directly, in no array permuted to text order."""
     out = np.zeros(len(sa), np.int64)
     words = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,))
     live = np.arange(1, len(sa))

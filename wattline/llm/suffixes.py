@@ -7,7 +7,7 @@ Groups of documents first exchange fingerprints of pieces: of equal ones the
 earliest counts, the others go.  Where different pieces share a fingerprint their
 earliest holders send them to its shard, so equal windows meet in one shard.  It
 builds the suffix array of its pieces by induced sorting; neighbours that share
-``WINDOW`` bytes, by the permuted common prefixes, are equal windows, and the
+``WINDOW`` bytes, by direct comparison with the neighbour, are equal windows, and the
 earliest of them stays.
 
 Fingerprints with more than ``HOT`` pieces in all are dealt window by window, by
