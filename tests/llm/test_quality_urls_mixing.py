@@ -77,14 +77,33 @@ def test_urls(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_index_equals_running_every_rule():
-    index = urls.RuleIndex(urls.PATTERNS, urls.ALTERNATIVES, {})
+PARTS = ["utm_x=1", "wp-login.php", "wp-login.php5", "mywp", "tag", "page", "7", "ads.", "ad.", "bads.", "xxx", "xxxl", "porn", "login", "logins", "?", "/", "&", ".", "-", "zip", "apk\n", "cgi-bin", "a", "replytocom=4", "http://", "É", "İ"]
+
+
+def test_url_index_equals_running_every_rule_whatever_token_is_filed():
+    places = [urls.literal_tokens(p) for p in urls.PATTERNS]
+    assert places[2] == [("wp",), ("login",)] and places[4] == [("porn", "xxx")] and places[7] == [("ad", "ads")] and all(places)
+    tokens = sorted({t for p in places for x in p for t in x})
     rng = random.Random(3)
-    parts = ["utm_x=1", "wp-login.php", "tag", "page", "7", "ads.", "ad.", "xxx", "porn", "login", "?", "/", "&", ".", "-", "zip", "cgi-bin", "a", "replytocom=4", "http://"]
-    for _ in range(3000):
-        u = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
-        want = next((k for k, (p, _) in enumerate(urls.PATTERNS) if re.search(p, u.lower())), None)
-        assert index.first(u) == want, u
+    for _ in range(60):
+        index = urls.RuleIndex(urls.PATTERNS, {t: rng.randrange(9) for t in tokens})
+        assert not index.always
+        for _ in range(300):
+            u = "".join(rng.choice(PARTS) for _ in range(rng.randint(1, 9)))
+            want = next((k for k, p in enumerate(urls.PATTERNS) if re.search(p, u.lower())), None)
+            assert index.first(u) == want, u
+
+
+def test_literal_tokens_are_bounded_by_the_expression():
+    assert urls.literal_tokens(r"abc") == urls.literal_tokens(r"/abc") == urls.literal_tokens(r"abc/") == urls.literal_tokens(r"/abc[a-z]?/") == []
+    assert urls.literal_tokens(r"/abc/(?:x|yz)?/") == [("abc",)]
+    assert urls.literal_tokens(r"(?i:/abc/)") == [] and urls.literal_tokens(r"[^a]abc/") == []
+
+
+def test_rarest_token_may_be_unbounded_in_the_url(spark):
+    rows = ["http://x.org/wp-login.php5", "http://y.org/wp-login/", "http://z.org/a/login/wp", None]
+    got = {r.page_id: (r.verdict, r.pattern) for r in urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert got[0] == ("block", r"/wp-login\.php") and got[1] == ("allow", None) and got[2] == ("block", r"/(login|signin)(/|\?|$)") and got[3] == ("allow", None)
 
 
 def test_mixing_targets_and_selection(spark):
