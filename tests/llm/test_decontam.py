@@ -73,3 +73,14 @@ def test_empty(spark):
     bench = spark.createDataFrame([], ITEM)
     assert D.matches(none, bench).count() == 0
     assert D.clean(docs_frame(spark, ["a b c", None]), bench).count() == 2
+
+
+def test_null_ids_copies_and_short_items(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(None, t), (4, t), (4, t), (5, "lone"), (6, None), (7, "one two")], ITEM)
+    docs = spark.createDataFrame([(1, "x " + t), (None, t), (2, "a lone word")], "doc_id long, text string")
+    rows = D.matches(docs, bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.token_start) for r in rows) == sorted([("1", "None", 1), ("1", "4", 1), ("1", "4", 1), ("None", "None", 0), ("None", "4", 0), ("None", "4", 0)])
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
+    rows = D.matches(docs, bench, shortest=1, block_bytes=40).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(d, i) for d in (1, None) for i in (None, 4, 7)} | {(2, 5)}

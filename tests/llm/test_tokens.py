@@ -54,3 +54,72 @@ def test_wavelet_queries(n, monkeypatch):
             assert w.find(t, k) == at[k]
     with pytest.raises(IndexError):
         w.find(77, 0)
+
+
+def test_null_ids_wide_ids_and_files(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(-1, "a"), (None, "b c"), (-9, "d"), (None, None)], "doc_id long, text string")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.tokenize(df, path).collect())
+    assert got == [(0, None, 1), (1, None, 3), (4, -9, 2), (6, -1, 2)]
+    with pytest.raises(ValueError):
+        tokens.WaveletShard.build(np.array([70000]), np.array([1]), np.array([1]))
+    wide = tokens.WaveletShard(tokens.WaveletShard.build(np.array([70000, 4464, 70000]), np.array([1]), np.array([3]), 17))
+    assert wide.decode().tolist() == [70000, 4464, 70000] and wide.count(70000) == 2 and wide.find(70000, 1) == 2 and wide.count(1 << 20) == 0
+    tokens.write_shards(df, path, f"file://{tmp_path}/shards", shard_tokens=2, partitions=1)
+    images = [f.read_bytes() for f in sorted((tmp_path / "shards").glob("part-*"))]
+    assert all(x.startswith(tokens.MAGIC) for x in images) and sum(tokens.WaveletShard(x).n for x in images) == 8
+
+
+def test_equal_ids_spread_over_partitions(spark):
+    path = P.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(7, f"w{i:04d} x") for i in range(500)] + [(8, "z")], "doc_id long, text string")
+    rows = sorted(tokens.tokenize(df, path, partitions=8).collect(), key=lambda r: r.start)
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+    assert len(rows) == 501 and rows[-1].doc_id == 8
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tx = texts()[:200]
+    assert not tokens.Encoder(path).by_units
+    got = {r.doc_id: r for r in tokens.tokenize(docs_frame(spark, tx), path).collect()}
+    tk = Tokenizer.from_file(path)
+    for i, t in enumerate(tx):
+        ids = tk.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def encoded(enc, tx):
+    raw = [(t or "").encode() for t in tx]
+    return enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 2)
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_units_with_one_fingerprint_keep_their_own_ids(monkeypatch, bits):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tx = texts()[:120] + ["abcdefgh abcdefghi abcdefghij", "abcdefghz 12 abcdefghiz"]
+    plain = encoded(tokens.Encoder(path), tx)
+    tk = Tokenizer.from_file(path)
+    assert plain[0].tolist() == [i for t in tx for i in tk.encode(t or "", add_special_tokens=False).ids + [2]]
+    real = tokens.Encoder._fingerprints
+    monkeypatch.setattr(tokens.Encoder, "_fingerprints", lambda *a: (real(*a) & np.uint64((1 << bits) - 1)) + np.uint64(1))
+    enc = tokens.Encoder(path)
+    for _ in range(2):
+        ids, length = encoded(enc, tx)
+        assert (ids == plain[0]).all() and (length == plain[1]).all()
+    assert enc.odd
+
+
+def test_words_that_a_polynomial_could_not_tell_apart():
+    n = 1024
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    two = "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+    ids, length = encoded(tokens.Encoder(P.path("word_bpe_49k.json")), [one, two])
+    assert ids[: length[0]].tolist() != ids[length[0] :].tolist()

@@ -9,25 +9,29 @@ by an item if some aligned window of min(item, WINDOW) tokens differs in at most
 ``allowed(...)`` places.  The masks are lossless for that: any such window holds a
 hit of one of them (a test enumerates all cases).
 
-The benchmark goes to tasks in blocks of at most ``BLOCK_BYTES`` of text; the
-number of blocks follows its measured size, so what is broadcast is bounded and
-every item is compared with every document.
-
-Defined cases: null or empty texts and items match nothing; items of fewer than
-``SHORTEST`` tokens are never reported; repeated rows match alike; equal best
-windows resolve to the first in the document; empty tables give an empty result.
+The benchmark's distinct texts, each with the ids of its items, go to tasks in
+blocks of at most ``BLOCK_BYTES``; the number of blocks follows its measured size,
+so what is broadcast is bounded and every item is compared with every document.
+A Python worker builds a block's index once.
+
+Defined cases: null or empty texts and items match nothing; null document and item
+ids are carried as nulls; items of fewer tokens than the parameter ``shortest``
+(``SHORTEST`` unless given; 1 takes in all) name no passage and are left out;
+repeated rows match alike; equal best windows resolve to the first in the document;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import bound_batches, table
+from wattline.llm.common import bound_batches, table, worker_cache
 from wattline.llm.textkit import Words, buffers, lower_ascii, mix, rolling, slices, span_hashes
 
 #: Token positions that count, from the first; each mask spans at most 10 tokens.
@@ -35,6 +39,8 @@ MASKS = ((0, 3, 4, 6, 7, 8), (0, 3, 5, 6, 7, 8), (0, 1, 2, 4, 8, 9))
 WINDOW = 16
 SHORTEST = 5
 BLOCK_BYTES = 16 << 20
+#: Bytes that an item's id counts for in a block.
+ID_BYTES = 16
 #: Hits expanded at a time.
 HITS = 1 << 18
 FILTER_BITS = 20
@@ -75,13 +81,12 @@ def masked(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
 class Index:
     """Mask hashes of a block of items, sorted, with their item and place."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        raw = [(t or "").encode() for t in texts]
+    def __init__(self, texts: list[str], shortest: int = SHORTEST):
+        raw = [t.encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         self.h, self.doc = tokens(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-        self.ids = np.array(ids, np.int64)
         n = np.diff(self.doc)
-        self.short = sorted({int(k) for k in n if SHORTEST <= k < 10})
+        self.short = sorted({int(k) for k in n if max(1, shortest) <= k < 10})
         keys, items, places = [], [], []
         for i, (a, b) in enumerate(zip(self.doc[:-1].tolist(), self.doc[1:].tolist(), strict=True)):
             if b - a in self.short:
@@ -103,7 +108,7 @@ class Index:
         self.filter[self.key >> np.uint64(64 - FILTER_BITS)] = True
 
     def find(self, h: np.ndarray, doc: np.ndarray):
-        """Yield (text, item, window start in the text, window, same tokens): the best window of each text and item."""
+        """Yield (text, item, window start in the text, window, same tokens): the best window of each text and item of the block."""
         seeds = [(rolling(h, k, 100 + k), k) for k in self.short] + [(masked(h, m, s), m[-1] + 1) for s, m in enumerate(MASKS)]
         n_doc = np.diff(doc)
         text_of = np.repeat(np.arange(len(n_doc)), n_doc)
@@ -129,7 +134,7 @@ class Index:
             if got and ((t, k) not in best or got > best[t, k]):
                 best[t, k] = got
         for (t, k), (same, start, window) in sorted(best.items()):
-            yield t, int(self.ids[k]), -start, window, same
+            yield t, k, -start, window, same
 
     @staticmethod
     def _verify(text: np.ndarray, item: np.ndarray, shift: int):
@@ -144,20 +149,29 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
-    """Broadcasts of (ids, texts), each of about half of ``block_bytes`` at most."""
+    """Broadcasts of (texts, ids of each text's items, name of the block), each of about half of ``block_bytes`` at most."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    n_bytes = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n_bytes = items.agg(F.sum(F.octet_length("t") + ID_BYTES)).first()[0] or 0
     blocks = math.ceil(2 * n_bytes / block_bytes) if n_bytes > block_bytes else 1
+    texts = items.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i"))).alias("ids"))
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        yield spark.sparkContext.broadcast(([r.i for r in part], [r.t for r in part]))
+        part = texts.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("t").collect()
+        yield spark.sparkContext.broadcast(([r.t for r in part], [[x.i for x in r.ids] for r in part], uuid.uuid4().hex))
+
+
+def index_of(shared, shortest: int) -> Index:
+    """The block's index, built once by a worker that takes task after task."""
+    held, key = worker_cache(), (shared.value[2], shortest)
+    if held.get("decontam-key") != key:
+        held["decontam-key"], held["decontam"] = key, Index(shared.value[0], shortest)
+    return held["decontam"]
 
 
 MATCHES = "item_id long, token_start long, window long, n_same long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
     """id_col, item_id, token_start, window, n_same for each contaminated document and item."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -166,30 +180,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     for shared in item_blocks(benchmark, item_col, item_text, block_bytes):
 
         def run(batches, shared=shared):
-            index = Index(*shared.value)
+            index, ids = index_of(shared, shortest), shared.value[1]
             for batch in batches:
                 data, off = buffers(batch.column(1))
                 for i, j in slices(off):
                     h, doc = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    rows = list(index.find(h, doc))
+                    rows = [(t, item, *rest) for t, k, *rest in index.find(h, doc) for item in ids[k]]
                     if rows:
                         cols = list(zip(*rows, strict=True))
-                        ids = batch.column(0).take(pa.array([i + t for t in cols[0]], pa.int64()))
-                        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, "item_id", "token_start", "window", "n_same"])
+                        own = batch.column(0).take(pa.array([i + t for t in cols[0]], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, "item_id", "token_start", "window", "n_same"])
 
         got = chosen.mapInArrow(run, f"`{id_col}` {kind}, {MATCHES}")
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, columns as given; blocks filter one after another, without a shuffle."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for shared in item_blocks(benchmark, item_col, item_text, block_bytes):
 
         def run(batches, shared=shared):
-            index = Index(*shared.value)
+            index = index_of(shared, shortest)
             for batch in batches:
                 data, off = buffers(batch.column(at))
                 for i, j in slices(off):

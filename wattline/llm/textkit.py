@@ -89,15 +89,40 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the byte ranges start:end."""
-    n = len(data)
-    power, inverse = powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + U(1)) * power[:n], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h ^ ((end - start).astype(np.uint64) << U(48)))
+def chunk_view(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one little-endian number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def chunks(view: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges as 8-byte numbers, the last filled with zeros: (numbers, first number of each range, place in its range)."""
+    n = (end - start + 7) >> 3
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(start, n) + 8 * place
+    return view[at] & _MASK[np.minimum(np.repeat(end, n) - at, 8)], first, place
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of the byte ranges start:end.
+
+    Each 8 bytes are scrambled on their own, with their place, before they are added up, so
+    no algebra of the bytes survives; ranges of one length of up to 8 bytes never collide.
+    """
+    view = chunk_view(data) if view is None else view
+    size = end - start
+    h = mix((view[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * U(0xA0761D6478BD642F), 2 * salt)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        c, first, place = chunks(view, start[long] + 8, end[long])
+        c = mix(c ^ mix(place.astype(np.uint64), 2 * salt + 1), 2 * salt + 1)
+        h[long] = mix(h[long] + np.add.reduceat(c, first), 2 * salt)
+    return h
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +140,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Fingerprints of k consecutive entries; entry i covers h[i:i+k].  Callers mask what crosses texts."""
+    """Fingerprints of k consecutive entries; entry i covers h[i:i+k].  Callers mask what crosses texts.
+
+    Blocks of doubled length are scrambled at every joint; those that k's binary digits name are joined.
+    """
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     base = U((0xD6E8FEB86659FD93 + 2 * salt) | 1)
-    x = h[:m].copy()
-    for j in range(1, k):
-        x *= base
-        x += h[j : j + m]
-    return mix(x, salt)
+    block, size, out, done = h, 1, None, 0
+    while True:
+        if k & size:
+            part = block[done : done + m]
+            out = part if out is None else mix(out * base + part, salt)
+            done += size
+        if done == k:
+            return mix(out, salt)
+        block = mix(block[:-size] * base + block[size:], salt + 1)
+        size *= 2
 
 
 def window_ok(doc: np.ndarray, k: int) -> np.ndarray:

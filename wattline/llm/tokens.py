@@ -1,25 +1,31 @@
 """Token-id output in wavelet-matrix shards.
 
 Documents are range-partitioned and sorted by id, encoded with a public tokenizer,
-and packed into shards of at most ``SHARD_TOKENS`` tokens.  A shard is one
-compressed file image: document ids and lengths, then one bit-plane per id bit.
-Planes are cut into blocks; a directory holds each block's place and the ones
-before it, so rank and select touch one block.  Access, counting and occurrence
-lookup work on the compressed image.
-
-Images are stored one a row in Parquet, so any store Spark can write to will do
-and the commit protocol covers lost executors; ``WaveletShard`` reads the same
-bytes from a plain file.
-
-Units of words are memoised per Python worker, under 64-bit fingerprints: a word's
-ids do not depend on its neighbours because the pre-tokenizer drops white space.
-
-Defined cases: null and empty texts hold only the end id; equal document ids are
-ordered by text; an empty table gives no shards; ids need at most ``BITS`` bits.
+and packed into shards of at most ``SHARD_TOKENS`` tokens (or of one longer slice).
+A shard is one compressed file: document ids and lengths, then one bit-plane per id
+bit.  Planes are cut into blocks; a directory holds each block's place and the ones
+before it, and an opened block counts its ones byte by byte, so rank and select
+touch one block and look up instead of counting.  Access, counting and occurrence
+lookup work on the compressed file.
+
+Shards are written as plain files through Spark's text writer, one record a file,
+so any store Spark can write to will do and the commit protocol covers lost
+executors.  ``read_shards`` reads the files back; ``WaveletShard`` takes one's bytes.
+
+Where the tokenizer lower-cases, drops white space and splits as ``SPLIT`` says,
+units of words are memoised per Python worker: a word's ids don't depend on its
+neighbours then.  Units are found by 64-bit fingerprints and compared byte by byte.
+Other tokenizers encode whole texts.
+
+Defined cases: null and empty texts hold only the end id; null ids are ids of their
+own and come first; equal ids are ordered by text; an empty table gives no shards;
+ids take as many bits as the largest id of the vocabulary.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import struct
 import zlib
@@ -28,28 +34,55 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm.common import Scratch, bound_batches, shuffle_parts, table, worker_cache
-from wattline.llm.textkit import Words, buffers, lower_ascii, slices, span_hashes
+from wattline.llm.textkit import Words, buffers, chunk_view, chunks, lower_ascii, slices, span_hashes
 
-BITS = 16
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 22
+#: Text that a range partition holds about; each partition is encoded by one task.
+PART_BYTES = 32 << 20
 BLOCK_BITS = 1 << 18
-MAGIC = b"WMX1"
-HEAD = "<4sBxxxQQ"
+#: Blocks that a shard keeps open.
+OPEN_BLOCKS = 64
+MAGIC = b"WMX2"
+#: Magic, bits an id, range partition, shard in it, ids of the partition before it, ids, documents, documents with a null id (the first).
+HEAD = "<4sIQQQQQQ"
 END_ID = 2
 #: Units remembered by a worker.
 MEMO_UNITS = 1_500_000
 
 
+class Block:
+    """A block of a bit-plane with its count of ones up to each byte."""
+
+    def __init__(self, raw: bytes, n: int):
+        self.bytes, self.n = np.frombuffer(raw, np.uint8), n
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bytes), dtype=np.int64)])
+
+    def bit(self, i: int) -> int:
+        return int(self.bytes[i >> 3]) >> (7 - (i & 7)) & 1
+
+    def rank(self, i: int) -> int:
+        """Ones among the first i bits."""
+        part = (int(self.bytes[i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else 0
+        return int(self.ones[i >> 3]) + part
+
+    def select(self, bit: int, k: int) -> int:
+        """Place of the k-th (from 0) bit equal to ``bit``."""
+        ahead = self.ones if bit else 8 * np.arange(len(self.ones)) - self.ones
+        byte = int(np.searchsorted(ahead, k, "right")) - 1
+        at = np.flatnonzero(np.unpackbits(self.bytes[byte : byte + 1]) == bit)
+        return 8 * byte + int(at[k - int(ahead[byte])])
+
+
 class WaveletShard:
     """A wavelet matrix over 0..2**bits-1 in one compressed image."""
 
     def __init__(self, image: bytes):
         self.image = image
-        magic, self.bits, self.n, docs = struct.unpack_from(HEAD, image, 0)
+        magic, self.bits, self.part, self.seq, self.ahead, self.n, docs, self.n_null = struct.unpack_from(HEAD, image, 0)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
         at = struct.calcsize(HEAD)
@@ -64,34 +97,41 @@ class WaveletShard:
         self.before = np.frombuffer(image, "<u8", self.bits * blocks, at).reshape(self.bits, blocks)
         self.body = at + 8 * self.bits * blocks
         self.blocks = blocks
-        self._held: tuple[int, np.ndarray] | None = None
+        self._open: dict[int, Block] = {}
 
     @staticmethod
-    def build(ids: np.ndarray, doc_ids: np.ndarray, doc_len: np.ndarray, bits: int = BITS) -> bytes:
+    def build(ids: np.ndarray, doc_ids: np.ndarray, doc_len: np.ndarray, bits: int = 16, *, part: int = 0, seq: int = 0, ahead: int = 0, n_null: int = 0) -> bytes:
         n = len(ids)
+        if n and int(ids.max()) >> bits:
+            raise ValueError(f"an id needs more than {bits} bits")
         blocks = -(-n // BLOCK_BITS)
         zip_ = zstandard.ZstdCompressor(level=1)
-        seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        seq_ = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, before, parts = [], [], []
         for level in range(bits):
-            bit = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
+            bit = (seq_ & seq_.dtype.type(1 << (bits - 1 - level))) != 0
             starts = range(0, n, BLOCK_BITS)
             ones = [np.count_nonzero(bit[s : s + BLOCK_BITS]) for s in starts]
             before.append(np.cumsum([0, *ones[:-1]]) if blocks else np.zeros(0, np.int64))
             packed = np.packbits(bit).tobytes()
             parts += [zip_.compress(packed[s // 8 : s // 8 + BLOCK_BITS // 8]) for s in starts]
-            low = seq[~bit]
+            low = seq_[~bit]
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[bit]])
+            seq_ = np.concatenate([low, seq_[bit]])
         place = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u8")
-        return b"".join([struct.pack(HEAD, MAGIC, bits, n, len(doc_ids)), np.asarray(doc_ids).astype("<i8").tobytes(), np.asarray(doc_len).astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), place.tobytes(), np.array(before, "<u8").tobytes(), *parts])
+        head = struct.pack(HEAD, MAGIC, bits, part, seq, ahead, n, len(doc_ids), n_null)
+        return b"".join([head, np.asarray(doc_ids).astype("<i8").tobytes(), np.asarray(doc_len).astype("<u8").tobytes(), np.array(zeros, "<u8").tobytes(), place.tobytes(), np.array(before, "<u8").tobytes(), *parts])
+
+    def _raw(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.image[self.body + int(self.place[k]) : self.body + int(self.place[k + 1])])
 
-    def _block(self, level: int, block: int) -> np.ndarray:
+    def _block(self, level: int, block: int) -> Block:
         k = level * self.blocks + block
-        if self._held is None or self._held[0] != k:
-            raw = zstandard.ZstdDecompressor().decompress(self.image[self.body + int(self.place[k]) : self.body + int(self.place[k + 1])])
-            self._held = (k, np.unpackbits(np.frombuffer(raw, np.uint8)))
-        return self._held[1]
+        if k not in self._open:
+            if len(self._open) >= OPEN_BLOCKS:
+                self._open.pop(next(iter(self._open)))
+            self._open[k] = Block(self._raw(k), min(BLOCK_BITS, self.n - block * BLOCK_BITS))
+        return self._open[k]
 
     def rank(self, level: int, bit: int, i: int) -> int:
         """Entries equal to ``bit`` among the first i of a plane."""
@@ -101,7 +141,7 @@ class WaveletShard:
             ones = 0
         else:
             b = i // BLOCK_BITS
-            ones = int(self.before[level, b]) + int(np.count_nonzero(self._block(level, b)[: i - b * BLOCK_BITS]))
+            ones = int(self.before[level, b]) + self._block(level, b).rank(i - b * BLOCK_BITS)
         return ones if bit else min(max(i, 0), self.n) - ones
 
     def select(self, level: int, bit: int, k: int) -> int:
@@ -110,8 +150,7 @@ class WaveletShard:
         ones = self.before[level].astype(np.int64)
         ahead = ones if bit else starts - ones
         b = int(np.searchsorted(ahead, k, "right")) - 1
-        at = np.flatnonzero(self._block(level, b)[: self.n - b * BLOCK_BITS] == bit)
-        return b * BLOCK_BITS + int(at[k - ahead[b]])
+        return b * BLOCK_BITS + self._block(level, b).select(bit, k - int(ahead[b]))
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -119,7 +158,7 @@ class WaveletShard:
         value = 0
         for level in range(self.bits):
             b = i // BLOCK_BITS
-            bit = int(self._block(level, b)[i - b * BLOCK_BITS])
+            bit = self._block(level, b).bit(i - b * BLOCK_BITS)
             value = value << 1 | bit
             i = self.rank(level, bit, i) + (int(self.zeros[level]) if bit else 0)
         return value
@@ -133,15 +172,16 @@ class WaveletShard:
         return lo, hi
 
     def count(self, token: int) -> int:
+        if token < 0 or token >> self.bits:
+            return 0
         lo, hi = self._range(token)
         return hi - lo
 
     def find(self, token: int, k: int) -> int:
         """Position of the token's k-th occurrence (from 0)."""
-        lo, hi = self._range(token)
-        if not 0 <= k < hi - lo:
+        if not 0 <= k < self.count(token):
             raise IndexError(k)
-        i = lo + k
+        i = self._range(token)[0] + k
         for level in reversed(range(self.bits)):
             bit = token >> (self.bits - 1 - level) & 1
             i = self.select(level, bit, i - (int(self.zeros[level]) if bit else 0))
@@ -151,10 +191,9 @@ class WaveletShard:
         """All ids in order; planes are merged from the last to the first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         seq = np.zeros(self.n, kind)
-        unzip = zstandard.ZstdDecompressor()
         for level in reversed(range(self.bits)):
             k = level * self.blocks
-            raw = b"".join(unzip.decompress(self.image[self.body + int(self.place[j]) : self.body + int(self.place[j + 1])]) for j in range(k, k + self.blocks))
+            raw = b"".join(self._raw(j) for j in range(k, k + self.blocks))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool) if self.n else np.zeros(0, bool)
             z = int(self.zeros[level])
             up = np.empty(self.n, kind)
@@ -164,6 +203,27 @@ class WaveletShard:
         return seq
 
 
+#: Fixed value: the expression by which the memoised tokenizer splits.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_into_units(config: dict) -> bool:
+    """Whether ``pieces`` cuts texts as this tokenizer does."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = config.get("model", {})
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and not (cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"))
+        and config.get("post_processor") is None
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and all(str(t.get("content", "")).startswith("<|") and not t.get("normalized") for t in config.get("added_tokens", []))
+    )
+
+
 #: Byte classes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 anything whose tokens may depend on its neighbours.
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[0x21:0x7F] = 3
@@ -216,8 +276,8 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class Encoder:
     """Ids of texts as one array.
 
-    Ids of units are remembered under 64-bit fingerprints in an open-addressing
-    table; it is emptied when it holds ``MEMO_UNITS``.
+    Ids of units are remembered in an open-addressing table under 64-bit fingerprints,
+    beside the units' bytes; it is emptied when it holds ``MEMO_UNITS``.
     """
 
     SLOTS = 1 << 22
@@ -227,7 +287,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.by_units = splits_into_units(json.loads(self.tokenizer.to_str()))
+        self.bits = max(max(vocab.values()), END_ID).bit_length()
         self.ends_unit = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_unit[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
@@ -235,9 +297,12 @@ class Encoder:
     def _clear(self):
         self.keys = np.zeros(self.SLOTS, np.uint64)
         self.vals = np.zeros(self.SLOTS, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.known = 0
+        self.pool, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        #: The units' bytes as 8-byte numbers, where each unit's begin, and its size and kind.
+        self.bytes, self.bytes_at, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.known = self.n_bytes = 0
+        #: Units whose fingerprint another unit has.
+        self.odd: dict[tuple[bytes, bool], int] = {}
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index of each fingerprint, or -1."""
@@ -270,10 +335,8 @@ class Encoder:
 
     def _append(self, ids: np.ndarray, ends: np.ndarray) -> None:
         base = int(self.ends[self.known - 1]) if self.known else 0
-        while base + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        while self.known + len(ends) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
+        self.pool = _room(self.pool, base + len(ids))
+        self.ends = _room(self.ends, self.known + len(ends))
         self.pool[base : base + len(ids)] = ids
         self.ends[self.known : self.known + len(ends)] = base + ends
         self.known += len(ends)
@@ -281,11 +344,20 @@ class Encoder:
     def _ids(self, units: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _learn(self, h: np.ndarray, units: list[bytes], plain: np.ndarray) -> None:
-        """Encode new units; plain ones go through the tokenizer many at a time."""
+    def _learn(self, units: list[bytes], plain: np.ndarray) -> None:
+        """Encode new units and keep their bytes: plain ones first, many at a time through the tokenizer."""
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        self._store(h[order])
-        simple = [units[i].decode() for i in np.flatnonzero(plain).tolist()]
+        raw = [units[i] for i in order.tolist()]
+        size = np.array([len(u) for u in raw], np.int64)
+        end = np.cumsum(size)
+        c, first, _ = chunks(chunk_view(np.frombuffer(b"".join(raw), np.uint8)), end - size, end)
+        more = self.known + len(raw)
+        self.bytes, self.bytes_at, self.size = _room(self.bytes, self.n_bytes + len(c)), _room(self.bytes_at, more), _room(self.size, more)
+        self.bytes[self.n_bytes : self.n_bytes + len(c)] = c
+        self.bytes_at[self.known : more] = self.n_bytes + first
+        self.size[self.known : more] = 2 * size + plain[order]
+        self.n_bytes += len(c)
+        simple = [u.decode() for u in raw[: int(plain.sum())]]
         for i in range(0, len(simple), 2000):
             part = simple[i : i + 2000]
             ids = self._ids([" ".join(part)])[0]
@@ -293,40 +365,77 @@ class Encoder:
             if len(ends) != len(part):
                 raise ValueError("a unit is not one pre-token")
             self._append(ids, ends)
-        got = self._ids([units[i].decode("utf-8", "replace") for i in np.flatnonzero(~plain).tolist()])
+        got = self._ids([u.decode("utf-8", "replace") for u in raw[len(simple) :]])
         if got:
             self._append(np.concatenate(got), np.cumsum([len(x) for x in got]))
 
+    def _differ(self, at: np.ndarray, c: np.ndarray, first: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Units whose remembered namesake has other bytes."""
+        off = self.size[at] != size
+        n = (size >> 4) + ((size >> 1 & 7) > 0)
+        mine = np.minimum(np.repeat(self.bytes_at[at], n) + place, self.n_bytes - 1)
+        apart = (self.bytes[mine] != c).astype(np.int64)
+        if len(c):
+            off |= np.add.reduceat(apart, first) > 0
+        return np.flatnonzero(off)
+
+    def _fingerprints(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, view: np.ndarray) -> np.ndarray:
+        return (span_hashes(low, starts, ends, view=view) | np.uint64(1)) ^ (plain.astype(np.uint64) << np.uint64(1))
+
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, length of each text's ids), with ``end_id`` after each text."""
+        if not self.by_units:
+            whole, at = data.tobytes(), off.tolist()
+            got = self._ids([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
+            doc_len = np.array([len(x) for x in got], np.int64)
+            return _with_ends(np.concatenate([*got, np.zeros(0, np.uint32)]), doc_len, end_id)
         starts, ends, plain, doc, low = pieces(data, off)
-        n_docs = len(off) - 1
-        h = span_hashes(low, starts, ends) | np.uint64(1)
-        h = h ^ (plain.astype(np.uint64) << np.uint64(1))
+        view = chunk_view(low)
+        h = self._fingerprints(low, starts, ends, plain, view)
         at = self._find(h)
         miss = np.flatnonzero(at < 0)
+        whole = low.tobytes() if len(miss) else b""
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
             if self.known + len(new) > MEMO_UNITS and self.known:
                 self._clear()
                 return self.encode(data, off, end_id)
             first = miss[first]
-            whole = low.tobytes()
-            self._learn(new, [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], plain[first])
+            # Indexes are handed out in the order in which _learn appends.
+            order = np.concatenate([np.flatnonzero(plain[first]), np.flatnonzero(~plain[first])])
+            self._store(new[order])
+            self._learn([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], plain[first])
             at[miss] = self._find(h[miss])
+        c, first, place = chunks(view, starts, ends)
+        for i in self._differ(at, c, first, place, 2 * (ends - starts) + plain).tolist():
+            unit = (low[starts[i] : ends[i]].tobytes(), bool(plain[i]))
+            if unit not in self.odd:
+                self.odd[unit] = self.known
+                self._learn([unit[0]], plain[i : i + 1])
+            at[i] = self.odd[unit]
         begin = np.where(at > 0, self.ends[at - 1], 0)
         length = self.ends[at] - begin
         doc_len = np.diff(np.concatenate([[0], np.cumsum(length)])[doc])
-        total = int(length.sum())
         shift = np.cumsum(length) - length
-        ids = self.pool[np.repeat(begin - shift, length) + np.arange(total)]
-        if end_id is None:
-            return ids, doc_len
-        out = np.full(total + n_docs, end_id, np.uint32)
-        keep = np.ones(total + n_docs, bool)
-        keep[np.cumsum(doc_len + 1) - 1] = False
-        out[keep] = ids
-        return out, doc_len + 1
+        ids = self.pool[np.repeat(begin - shift, length) + np.arange(int(length.sum()))]
+        return _with_ends(ids, doc_len, end_id)
+
+
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """The array, doubled until it has n places."""
+    while n > len(held):
+        held = np.concatenate([held, np.zeros(len(held), held.dtype)])
+    return held
+
+
+def _with_ends(ids: np.ndarray, doc_len: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    if end_id is None:
+        return ids, doc_len
+    out = np.full(len(ids) + len(doc_len), end_id, np.uint32)
+    keep = np.ones(len(out), bool)
+    keep[np.cumsum(doc_len + 1) - 1] = False
+    out[keep] = ids
+    return out, doc_len + 1
 
 
 def encoder(path: str) -> Encoder:
@@ -336,74 +445,91 @@ def encoder(path: str) -> Encoder:
     return held["encoder"]
 
 
-SHARDS = "part int, seq int, n_docs long, n_tokens long, image binary"
+def range_parts(docs: DataFrame, text_col: str) -> int:
+    """Range partitions of about ``PART_BYTES`` of text, at least as many as a shuffle has."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), math.ceil(size / PART_BYTES))
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
-    """One row a shard, in (part, seq) order of ascending document id."""
-    spark = docs.sparkSession
-    bound_batches(spark)
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> None:
+    """Write one file a shard to ``folder``; ids ascend within a shard, from shard to shard and from range partition to range partition."""
+    bound_batches(docs.sparkSession)
 
     def pack(batches):
-        enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        ids, lens, names, held = [], [], [], 0
+        enc, part, seq, ahead = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        bits = max(enc.bits, int(end_id).bit_length())
+        ids, lens, names, nulls, held = [], [], [], 0, 0
 
         def flush():
-            nonlocal ids, lens, names, held, seq
-            all_ids, all_len, all_doc = np.concatenate(ids), np.concatenate(lens), np.concatenate(names)
-            image = WaveletShard.build(all_ids, all_doc, all_len)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(all_doc)], "n_tokens": [len(all_ids)], "image": pa.array([image], pa.binary())})
-            ids, lens, names, held, seq = [], [], [], 0, seq + 1
-            return row
+            nonlocal ids, lens, names, nulls, held, seq, ahead
+            image = WaveletShard.build(np.concatenate(ids), np.concatenate(names), np.concatenate(lens), bits, part=part, seq=seq, ahead=ahead, n_null=nulls)
+            ahead, seq = ahead + held, seq + 1
+            ids, lens, names, nulls, held = [], [], [], 0, 0
+            return pa.RecordBatch.from_pydict({"image": pa.array([image], pa.binary())})
 
         for batch in batches:
             data, off = buffers(batch.column(1))
-            doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for i, j in slices(off):
                 got, length = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 if held and held + len(got) > shard_tokens:
                     yield flush()
-                ids.append(got.astype(np.uint16))
+                ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
                 lens.append(length)
                 names.append(doc_ids[i:j])
+                nulls += int(missing[i:j].sum())
                 held += len(got)
         if names:
             yield flush()
 
-    n = partitions or shuffle_parts(spark)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(pack, SHARDS)
+    n = partitions or range_parts(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows with one id are dealt by the head of their text, in whose order they are sorted too.
+    dealt = rows.repartitionByRange(n, F.asc("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    dealt.mapInArrow(pack, "image binary").select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").mode("overwrite").text(folder)
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard files of a folder, as written: path, content."""
+    return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard images alone."""
-    size = shards.select("part", "seq", "n_tokens")
-    totals = sorted((r["part"], r["n"]) for r in size.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    starts, run = [], 0
-    for part, n in totals:
-        starts.append((part, run))
-        run += n
-    spark = shards.sparkSession
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = size.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(spark.createDataFrame(starts, "part int, part_start long")), "part").select("part", "seq", (F.col("part_start") + F.col("ahead")).alias("start"))
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files alone."""
+    bound_batches(spark, 1)
+    head = F.substring("content", 1, struct.calcsize(HEAD))
+
+    def heads(batches):
+        for batch in batches:
+            got = [struct.unpack(HEAD, x.as_py()) for x in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([g[2] for g in got], pa.int64()), "n": pa.array([g[5] for g in got], pa.int64())})
+
+    files = read_shards(spark, folder)
+    totals = files.select(head.alias("head")).mapInArrow(heads, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    starts, run = {}, 0
+    for r in totals:
+        starts[r.part], run = run, run + r.n
 
     def unpack(batches):
         for batch in batches:
-            for start, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for image in batch.column(0):
                 shard = WaveletShard(image.as_py())
                 raw = memoryview(shard.decode().astype("<u4").tobytes())
                 ends = np.cumsum(shard.doc_len.astype(np.int64))
                 first = ends - shard.doc_len.astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": shard.doc_ids, "start": first + start, "n_tokens": ends - first, "ids_crc32": pa.array(crc, pa.int64())})
+                names = pa.array(shard.doc_ids, mask=np.arange(len(first)) < shard.n_null)
+                yield pa.RecordBatch.from_pydict({"doc_id": names, "start": first + (starts[shard.part] + shard.ahead), "n_tokens": ends - first, "ids_crc32": pa.array(crc, pa.int64())})
 
-    return shards.select("part", "seq", "image").join(offsets, ["part", "seq"]).select("start", "image").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("content").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
-    """Write shards to the shared folder and return the documents that are read back from them."""
-    shards = Scratch(docs.sparkSession, "tokens").put(write_shards(docs, tokenizer_path, **how), "shards")
-    return read_documents(shards)
+    """Write shard files to the shared folder and return the documents that are read back from them."""
+    folder = Scratch(docs.sparkSession, "tokens").root + "/shards"
+    write_shards(docs, tokenizer_path, folder, **how)
+    return read_documents(docs.sparkSession, folder)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
