@@ -63,14 +63,41 @@ def test_equal_ids_and_nulls(spark):
     assert [tuple(r)[1:3] for r in R.repeats_removed(spark.createDataFrame([(1, "short")], "doc_id long, text string")).collect()] == [(1, 0)]
 
 
+def anchors(h, doc):
+    part = R.Slice(h, doc)
+    for _ in range(R.ROUNDS):
+        part.take(part.blocks().key & ~R.WORD)
+    return part.anchors()
+
+
 def test_windows_pick_by_their_words_alone():
     rng = np.random.default_rng(0)
     seen = {}
     for _ in range(400):
         n = int(rng.integers(13, 90))
         h = rng.choice(rng.integers(1, 6, 1)[0] + 1, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)
-        key = R.anchors(h, np.array([0, n]))
+        key = anchors(h, np.array([0, n]))
         for i in range(n - 12):
             k = h[i : i + 13].tobytes()
             assert key[i] != 0 and seen.setdefault(k, key[i]) == key[i]
         assert not key[n - 12 :].any()
+
+
+def test_blocks_of_one_key_keep_apart(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b, l = (rng.integers(0, 4, 300).astype(np.uint64) for _ in range(3))
+    blocks = R.Blocks(a, b, l)
+    blocks.key = a % np.uint64(2)
+    names, index = blocks.distinct()
+    assert len(names) == len(set(zip(a.tolist(), b.tolist(), l.tolist())))
+    assert (names.a[index] == a).all() and (names.b[index] == b).all() and (names.l[index] == l).all()
+
+
+def test_words_that_a_polynomial_could_not_tell_apart(spark):
+    n = 1024
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    two = "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+    w = [f"w{i}" for i in range(20)]
+    texts = [" ".join(w[:8] + [x] + w[8:]) for x in (one, two, one)]
+    got = sorted(map(tuple, R.repeats_removed(docs_frame(spark, texts)).collect()))
+    assert got == brute(list(enumerate(texts))) and [r[2] for r in got] == [0, 0, 21]

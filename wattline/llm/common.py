@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import sys
 import tempfile
-import time
 import types
 import uuid
 
@@ -23,30 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share; a local one only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="wattline-")
     return _OWN["dir"]
 
 
+#: Setting by which Spark deletes a query's shuffle files when the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Queries that run inside leave no shuffle files behind; the session's own setting returns afterwards."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
     ``put`` writes a frame and returns a frame that reads it, which cuts lineage:
-    a lost executor costs only the tasks that read the table again.
+    a lost executor costs only the tasks that read the table again.  Operators return
+    frames that read their scratch tables; ``made`` and ``clear_scratch`` let a caller
+    delete them once a result is consumed.
     """
 
+    #: Roots of all scratch spaces that are not deleted yet, oldest first.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -57,16 +83,14 @@ class Scratch:
     def close(self) -> None:
         """Delete all tables of this scratch space, once nothing reads them any more."""
         self.drop("")
+        if self in Scratch.made:
+            Scratch.made.remove(self)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans that nobody holds any more.
 
-        Python's references end on a thread of their own, so the second round finds what the first let go.
-        """
-        for _ in range(2):
-            gc.collect()
-            time.sleep(0.2)
-            self.spark._jvm.System.gc()
+def clear_scratch(since: int = 0, keep: tuple[Scratch, ...] = ()) -> None:
+    """Delete the scratch spaces made since there were ``since`` of them, but those in ``keep``."""
+    for space in [s for s in Scratch.made[since:] if s not in keep]:
+        space.close()
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -1,23 +1,26 @@
-"""Groups of documents that exchange sorted entries with reducers and get one bit an entry back.
+"""Groups of documents that exchange sorted entries with reducers and get answers back.
 
-Documents are dealt into groups by a hash of their id.  A group deduplicates what
+Documents are dealt into groups by a hash of their id and written once as a table
+bucketed by group, so every later round reads a group where it lies: texts are
+shuffled once, and then only entries and answers travel.  A group deduplicates what
 it sends, so a string that a third of all documents share reaches a reducer once
 a group, not once a document: hot keys are pre-aggregated before the shuffle.
-Answers are bitmaps in the order of the entries, which the group derives again
-from its documents; nothing is broadcast and nothing reaches the driver.
+Answers are bitmaps or numbers in the order of the entries, which the group derives
+again from its documents; nothing is broadcast and nothing reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, shuffle_parts
+from wattline.llm.common import Scratch, freed_shuffles, shuffle_parts
 from wattline.llm.textkit import buffers
 
 GROUP_BYTES = 8 << 20
@@ -25,6 +28,9 @@ GROUP_BYTES = 8 << 20
 LEAST_REDUCERS = 48
 #: Tasks of a reduce stage; more reducers share tasks.
 MOST_TASKS = 1 << 16
+#: Groups that share a bucket of the groups' table, and buckets at most.
+GROUPS_PER_BUCKET = 4
+MOST_BUCKETS = 1 << 15
 ENTRIES = "g int, r int, body binary"
 ANSWERS = "g int, step int, r int, bits binary"
 ENTRY_ARROW = pa.schema([("g", pa.int32()), ("r", pa.int32()), ("body", pa.binary())])
@@ -87,17 +93,28 @@ def send(g: int, reducer: np.ndarray, parts: list[np.ndarray]) -> pa.Table:
 
 
 def answer(g: list[int], r: int, step: int, flags: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """Bitmaps of consecutive runs of ``flags``, one for each sender."""
+    """Bitmaps of consecutive runs of ``flags``, or the numbers of other arrays; one run for each sender."""
     at = np.concatenate([[0], np.cumsum(counts)])
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    pack = np.packbits if flags.dtype == bool else np.asarray
+    bits = [pack(flags[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     n = len(g)
     return pa.Table.from_arrays([pa.array(g, pa.int32()), pa.array([step] * n, pa.int32()), pa.array([r] * n, pa.int32()), pa.array(bits, pa.binary())], schema=ANSWER_ARROW)
 
 
+def _bodies(answers: pa.Table, step: int) -> dict[int, bytes]:
+    rows = answers.filter(pa.compute.equal(answers.column("step"), step)) if answers.num_rows else answers
+    return dict(zip(rows.column("r").to_pylist(), rows.column("bits").to_pylist(), strict=True))
+
+
+def numbers_of(answers: pa.Table, step: int, reducer: np.ndarray) -> np.ndarray:
+    """The 64-bit numbers of a step in the order of the group's entries (sorted by reducer)."""
+    got = _bodies(answers, step)
+    return np.frombuffer(b"".join(got[k] for k, _, _ in stretches(reducer)), np.uint64)
+
+
 def flags_of(answers: pa.Table, step: int, reducer: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """The bits of a step in the order of the group's entries (sorted by reducer), ``weight`` bits an entry."""
-    rows = answers.filter(pa.compute.equal(answers.column("step"), step)) if answers.num_rows else answers
-    got = dict(zip(rows.column("r").to_pylist(), rows.column("bits").to_pylist(), strict=True))
+    got = _bodies(answers, step)
     total = np.arange(len(reducer) + 1) if weight is None else np.concatenate([[0], np.cumsum(weight)])
     out = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=int(total[b] - total[a])) for k, a, b in stretches(reducer)]
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
@@ -115,11 +132,13 @@ def reduce_by(entries: DataFrame, work: Callable[[list[int], list[bytes], int],
     return entries.repartition(min(reducers, MOST_TASKS), "r").groupBy("r").applyInArrow(run, ANSWERS)
 
 
-def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(docs: DataFrame, answers: DataFrame | None, work: Callable[[Group, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Run ``work(group, its answers)`` for each group."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    if answers is None:
+        return docs.groupBy("g").applyInArrow(lambda table: work(Group(table), ANSWER_ARROW.empty_table()), schema)
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
     def run(left, right):
@@ -128,13 +147,27 @@ def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[Group, pa.
     return docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
 
-def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, first, reduce_first, second, reduce_second, last, schema: str, bytes_per_entry: float) -> DataFrame:
-    """Two exchanges and a last pass; each argument but the frames makes its worker from the number of reducers."""
+def rounds(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, steps: Sequence[tuple], last, schema: str, bytes_per_entry: float) -> DataFrame:
+    """An exchange for each (send, reduce) and a last pass; ``send`` and ``last`` make their workers from the number of reducers.
+
+    Returns a frame that reads the written result; what the rounds needed is deleted.
+    """
+    spark = docs.sparkSession
     rows, groups, size = dealt(docs, id_col, text_col)
     reducers = max(LEAST_REDUCERS, int(size / bytes_per_entry / growth(size)) >> 18)
-    # No frame of a finished round stays referenced: Spark then deletes its shuffle files.
-    got = scratch.put(reduce_by(rows.groupBy("g").applyInArrow(first(reducers), ENTRIES), reduce_first, reducers), "answers-1")
-    scratch.release()
-    got = got.unionByName(scratch.put(reduce_by(with_answers(rows, got, second(reducers), ENTRIES), reduce_second, reducers), "answers-2"))
-    scratch.release()
-    return with_answers(rows, got, last(reducers), schema)
+    buckets = min(math.ceil(groups / GROUPS_PER_BUCKET), MOST_BUCKETS)
+    name = f"wattline_{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        rows.repartition(buckets, "g").write.bucketBy(buckets, "g").option("path", f"{scratch.root}/groups").saveAsTable(name)
+    try:
+        held, got = spark.table(name), None
+        for k, (send_, reduce_) in enumerate(steps, 1):
+            found = scratch.put(reduce_by(with_answers(held, got, send_(reducers), ENTRIES), reduce_, reducers), f"answers-{k}")
+            got = found if got is None else got.unionByName(found)
+        out = scratch.put(with_answers(held, got, last(reducers), schema), "result")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.drop("groups")
+    for k in range(1, len(steps) + 1):
+        scratch.drop(f"answers-{k}")
+    return out

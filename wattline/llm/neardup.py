@@ -188,7 +188,6 @@ def prefixes(docs: DataFrame, text: DataFrame, plan: Plan, scratch: Scratch) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.int64(batch.column(0)[i].as_py()), len(got))), pa.array(got)], names=["id", "item"])
 
     held = scratch.put(set_bytes(text.join(docs.hint("merge"), "id", "left_semi"), plan).dropDuplicates(["id"]), "prefix-sets")
-    scratch.release()
     rows = held.mapInArrow(items, "id long, item long")
     df = scratch.put(rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "prefix-df")
     known = rows.join(df, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
@@ -211,7 +210,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     entries = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id != high").select("key", "low")
     members = scratch.put(entries.join(buckets, "key"), "members")
-    scratch.release()
     stars = members.where((F.col("id") != F.col("low.id")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
     first = scratch.put(likely(stars, reps, plan), "pairs-1")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -219,13 +217,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     def verify(pairs, label):
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = scratch.put(set_bytes(text.join(wanted.hint("merge"), "id", "left_semi"), plan).dropDuplicates(["id"]), f"sets-{label}")
-        scratch.release()
         links = scratch.put(confirmed(pairs, sets, plan), f"links-{label}")
         scratch.drop(f"sets-{label}")
         return links
 
     links = verify(first, "1")
-    scratch.release()
     found = components(links, scratch, "cc-1")
 
     tagged = scratch.put(members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "tagged")
@@ -244,7 +240,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     across = left.join(right, "item").where(enough & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & close(F.col("nx"), F.col("ny")))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.put(likely(across, reps, plan), "pairs-2")
-    scratch.release()
     if not second.isEmpty():
         more = verify(second, "2")
         found = components(links.unionByName(more), scratch, "cc-2")

@@ -1,18 +1,23 @@
 """Substring dedup by recompression.
 
-A text's words are the first symbols.  Each round names runs of equal symbols and
-then pairs (a, b) with a on the left and b on the right side of a partition of the
-symbols; names and sides are fingerprints of what they stand for, so all tasks
-name alike without agreeing first, and equal substrings get equal symbols in
-their interior.  For each symbol the range of words that settled it (its context)
-is carried along: a window that holds the context holds the symbol, wherever it
-stands.
+A text's words are the first symbols.  Each round names blocks of symbols, globally
+and in Spark: runs of equal symbols, and pairs of neighbouring runs of which the
+left one is on the left and the right one on the right side of a partition of the
+symbols.  Groups of documents send their distinct blocks (parts and run lengths) to
+reducers, which compare them in full and hand out one number a block; the numbers
+are the next round's symbols.  So two symbols of one number stand for equal words,
+however long, and equal substrings get equal symbols in their interior.  For each
+symbol the range of words that settled it (its context) is carried along: a window
+that holds the context holds the symbol, wherever it stands.
 
 Every ``WINDOW``-word window picks the best symbol whose context it holds (highest
-round first, then smallest fingerprint); equal windows pick equal symbols.
-Symbols are exchanged between groups of documents; windows whose symbol is shared
-are exchanged in full (64-bit fingerprints of the 13 words, on top of the equal
-symbol), which confirms the repeat and finds its smallest document.
+round first, then smallest key); equal windows pick equal symbols.  The keys of the
+symbols are exchanged; windows whose symbol another group shares are exchanged in
+full (two 64-bit fingerprints of the 13 words, from independent fingerprints of
+their words), which confirms the repeat and finds its smallest document.
+
+Words are told apart by 63-bit fingerprints of their bytes as first symbols and by
+64 + 64 bits in windows; numbers of blocks are exact.
 
 Defined cases: null and empty texts have no words; windows never cross
 documents; rows with equal ids never remove words of each other; null ids come
@@ -28,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.common import Scratch, bound_batches, table
-from wattline.llm.exchange import Group, answer, by_range, flags_of, rounds, send
-from wattline.llm.textkit import Words, mix, powers, rolling, slices, window_ok
+from wattline.llm.exchange import Group, answer, by_range, flags_of, numbers_of, rounds, send
+from wattline.llm.textkit import Words, chunk_view, mix, powers, rolling, slices, span_hashes, window_ok
 
 WINDOW = 13
 #: Words of text around a symbol that its key covers at least.
 SPAN = 7
-ROUNDS = 2
+#: Rounds whose symbols have contexts that a window can hold: a fourth round's context fits in 3 windows of 100,000.
+ROUNDS = 3
 U = np.uint64
+#: Words have this bit, numbers of blocks don't.
+WORD = U(1 << 63)
 
 
 class Symbols:
@@ -57,196 +65,280 @@ def _neighbours(s: Symbols, far: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def name_runs(s: Symbols, salt: int, far: int) -> Symbols:
-    """Maximal runs of one symbol become one symbol; its context takes in both neighbours."""
+class Blocks:
+    """Blocks of a round: left symbol, right symbol (0: none), run lengths (right one in the upper half)."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, l: np.ndarray):
+        self.a, self.b, self.l = a, b, l
+        self.key = mix(mix(mix(a, 41) ^ b, 42) ^ l, 43)
+
+    def __len__(self):
+        return len(self.key)
+
+    def take(self, at: np.ndarray) -> Blocks:
+        out = object.__new__(Blocks)
+        out.a, out.b, out.l, out.key = self.a[at], self.b[at], self.l[at], self.key[at]
+        return out
+
+    @staticmethod
+    def joined(parts: list[Blocks]) -> Blocks:
+        cat = lambda x: np.concatenate([*x, np.zeros(0, U)])
+        return Blocks(cat([p.a for p in parts]), cat([p.b for p in parts]), cat([p.l for p in parts]))
+
+    def distinct(self) -> tuple[Blocks, np.ndarray]:
+        """(distinct blocks by key, the index among them of each of these)."""
+        order = np.argsort(self.key, kind="stable")
+        new = self._heads(order)
+        alike = ~(self.key[order[1:]] != self.key[order[:-1]])
+        if (new[1:] & alike).any():  # two blocks of one key: order them by all they are
+            order = np.lexsort((self.l, self.b, self.a, self.key))
+            new = self._heads(order)
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(new) - 1
+        return self.take(order[new]), index
+
+    def _heads(self, order: np.ndarray) -> np.ndarray:
+        new = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        new[1:] = (self.key[x] != self.key[y]) | (self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])
+        return new
+
+
+def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Blocks, np.ndarray]:
+    """Runs and pairs of runs of a round's symbols: (symbols of the next round, named like their left part; their blocks; which are pairs)."""
     n = len(s)
     if not n:
-        return s
+        return s, Blocks(s.name, s.name, s.name), np.zeros(0, bool)
     left, right = _neighbours(s, far)
     head = np.ones(n, bool)
     head[1:] = (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])
     first = np.flatnonzero(head)
     last = np.append(first[1:], n) - 1
-    length = last - first + 1
-    name = s.name[first]
-    name = np.where(length > 1, mix(name ^ (length.astype(U) * U(0xA24BAED4963EE407)), salt), name)
-    return Symbols(name, s.start[first], s.end[last], left[first], right[last], s.text[first])
-
-
-def name_pairs(s: Symbols, salt: int, far: int) -> tuple[Symbols, np.ndarray]:
-    """Adjacent (left side, right side) become one symbol: (symbols of the next round, which of them are pairs)."""
-    n = len(s)
-    if not n:
-        return s, np.zeros(0, bool)
-    right_side = (mix(s.name, salt) >> U(63)).astype(bool)
+    length = (last - first + 1).astype(U)
+    run = Symbols(s.name[first], s.start[first], s.end[last], left[first], right[last], s.text[first])
+    n = len(run)
+    right_side = (mix(run.name ^ (length * U(0xA24BAED4963EE407)), salt) >> U(63)).astype(bool)
     opens = np.zeros(n, bool)
-    opens[:-1] = ~right_side[:-1] & right_side[1:] & (s.text[1:] == s.text[:-1])
+    opens[:-1] = ~right_side[:-1] & right_side[1:] & (run.text[1:] == run.text[:-1])
     closes = np.zeros(n, bool)
     closes[1:] = opens[:-1]
-    left, right = _neighbours(s, far)
-    lo, hi = s.lo.copy(), s.hi.copy()
+    left, right = _neighbours(run, far)
+    lo, hi = run.lo.copy(), run.hi.copy()
     alone = ~opens & ~closes
     a, b = alone & ~right_side, alone & right_side
     hi[a] = np.maximum(hi[a], right[a])
     lo[b] = np.minimum(lo[b], left[b])
-    name, end = s.name.copy(), s.end.copy()
+    end, other = run.end.copy(), np.zeros(n, U)
     at = np.flatnonzero(opens)
-    name[at] = mix(name[at] * U(0x9FB21C651E98DF25) ^ s.name[at + 1], salt + 1)
-    end[at] = s.end[at + 1]
-    lo[at], hi[at] = np.minimum(s.lo[at], s.lo[at + 1]), np.maximum(s.hi[at], s.hi[at + 1])
+    other[at] = run.name[at + 1]
+    length[at] |= length[at + 1] << U(32)
+    end[at] = run.end[at + 1]
+    lo[at], hi[at] = np.minimum(run.lo[at], run.lo[at + 1]), np.maximum(run.hi[at], run.hi[at + 1])
     keep = ~closes
-    return Symbols(name[keep], s.start[keep], end[keep], lo[keep], hi[keep], s.text[keep]), opens[keep]
-
-
-def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window start the key of the symbol it picks; 0 where no window starts.  A function of the window's words."""
-    n = len(h)
-    far = n + WINDOW + 1
-    ok = np.zeros(n, bool)
-    w = window_ok(doc, WINDOW)
-    ok[: len(w)] = w
-    key = np.zeros(n, U)
-    if not ok.any():
-        return key
-    text = np.repeat(np.arange(len(doc) - 1), np.diff(doc))
-    text_end = doc[1:][text]
-    power, inverse = powers(n)
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum(h * power[:n], out=total[1:])
-    at = np.arange(n)
-    found = []
-    s = Symbols(h, at, at + 1, at, at + 1, text)
-    for r in range(1, ROUNDS + 1):
-        s, pair = name_pairs(name_runs(s, 100 * r, far), 100 * r + 1, far)
-        lo, hi = s.lo[pair], s.hi[pair]
-        name, offset = s.name[pair], s.start[pair] - lo
+    return Symbols(run.name[keep], run.start[keep], end[keep], lo[keep], hi[keep], run.text[keep]), Blocks(run.name[keep], other[keep], length[keep]), opens[keep]
+
+
+class Slice:
+    """Consecutive texts on their way through the rounds."""
+
+    def __init__(self, h: np.ndarray, doc: np.ndarray):
+        self.h, self.doc = h, doc
+        n = len(h)
+        self.far = n + WINDOW + 1
+        at = np.arange(n)
+        self.s = Symbols(h | WORD, at, at + 1, at, at + 1, np.repeat(np.arange(len(doc) - 1), np.diff(doc)))
+        self.found: list[tuple] = []
+        self.round = 0
+
+    def blocks(self) -> Blocks:
+        """Enter the next round: the blocks that need a name."""
+        self.round += 1
+        self.s, parts, self.pair = pair_up(self.s, 100 * self.round, self.far)
+        self.named = np.flatnonzero(self.pair | (parts.l > U(1)))
+        return parts.take(self.named)
+
+    def take(self, names: np.ndarray) -> None:
+        """End the round with its names."""
+        self.s.name[self.named] = names
+        s, pair, n = self.s, self.pair, len(self.h)
+        lo, hi, name, offset = s.lo[pair], s.hi[pair], s.name[pair], s.start[pair] - s.lo[pair]
         hi = np.maximum(hi, lo + SPAN)
-        inside = (lo >= 0) & (hi - lo <= WINDOW) & (hi <= n)
-        lo, hi, name, offset = lo[inside], hi[inside], name[inside], offset[inside]
-        inside = hi <= text_end[lo]
-        found.append((r, lo[inside], hi[inside], name[inside], offset[inside]))
-    lo = np.flatnonzero(window_ok(doc, SPAN))
-    found.append((0, lo, lo + SPAN, h[lo], np.zeros(len(lo), np.int64)))
-    found.sort(key=lambda x: -x[0])
-    open_ = np.flatnonzero(ok)
-    for r, lo, hi, name, offset in found:
-        if not len(open_) or not len(lo):
-            continue
-        k = mix((total[hi] - total[lo]) * inverse[lo] ^ (offset.astype(U) << U(8)) ^ U(r), 31) ^ mix(name, 32)
-        begins = np.concatenate([[0], np.cumsum(np.bincount(lo, minlength=n + WINDOW + 1))])
-        ends = np.concatenate([[0], np.cumsum(np.bincount(hi, minlength=n + WINDOW + 1))])
-        i, j = begins[open_], ends[open_ + WINDOW + 1]
-        some = i < j
-        i, j, at = i[some], j[some], open_[some]
-        best = k[i]
-        step = 1
-        live = np.flatnonzero(i + step < j)
-        while len(live):
-            best[live] = np.minimum(best[live], k[i[live] + step])
-            step += 1
-            live = live[i[live] + step < j[live]]
-        key[at] = mix(best, 33) | U(1)
-        open_ = open_[~some]
-    return key
-
-
-def window_hashes(h: np.ndarray) -> np.ndarray:
+        fits = (lo >= 0) & (hi - lo <= WINDOW) & (hi <= n)
+        lo, hi, name, offset = lo[fits], hi[fits], name[fits], offset[fits]
+        fits = hi <= self.doc[np.searchsorted(self.doc, lo, "right")] if len(lo) else np.zeros(0, bool)
+        self.found.append((self.round, lo[fits], hi[fits], name[fits], offset[fits]))
+
+    def anchors(self) -> np.ndarray:
+        """For each window start the key of the symbol it picks; 0 where no window starts.  A function of the window's words."""
+        h, doc, n = self.h, self.doc, len(self.h)
+        key = np.zeros(n, U)
+        open_ = np.flatnonzero(window_ok(doc, WINDOW))
+        power, inverse = powers(n)
+        total = np.empty(n + 1, U)
+        total[0] = 0
+        np.cumsum(h * power[:n], out=total[1:])
+        lo = np.flatnonzero(window_ok(doc, SPAN))
+        words = (0, lo, lo + SPAN, self.h[lo], np.zeros(len(lo), np.int64))
+        for r, lo, hi, name, offset in [*reversed(self.found), words]:
+            if not len(open_) or not len(lo):
+                continue
+            k = mix((total[hi] - total[lo]) * inverse[lo] ^ (offset.astype(U) << U(8)) ^ U(r), 31) ^ mix(name, 32)
+            begins = np.concatenate([[0], np.cumsum(np.bincount(lo, minlength=n + WINDOW + 1))])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(hi, minlength=n + WINDOW + 1))])
+            i, j = begins[open_], ends[open_ + WINDOW + 1]
+            some = i < j
+            i, j, at = i[some], j[some], open_[some]
+            best = k[i]
+            step = 1
+            live = np.flatnonzero(i + step < j)
+            while len(live):
+                best[live] = np.minimum(best[live], k[i[live] + step])
+                step += 1
+                live = live[i[live] + step < j[live]]
+            key[at] = mix(best, 33) | U(1)
+            open_ = open_[~some]
+        return key
+
+
+def _windows(h: np.ndarray, salt: int) -> np.ndarray:
     out = np.zeros(len(h), U)
-    got = rolling(h, WINDOW, 5)
+    got = rolling(h, WINDOW, salt)
     out[: len(got)] = got
     return out
 
 
 class Parsed:
-    """A group's windows: key of the symbol, window fingerprint, document."""
+    """A group after ``upto`` rounds.
+
+    ``blocks`` are the last round's distinct blocks where names for them are still to come;
+    otherwise ``key`` and, with ``hashes``, ``win`` hold each window's symbol key and fingerprints.
+    """
 
-    def __init__(self, group: Group, hashes: bool):
-        keys, wins, counts = [], [], []
+    def __init__(self, group: Group, answers: pa.Table, reducers: int, upto: int = ROUNDS, hashes: bool = False):
+        parts, wins, counts = [], [], []
         for i, j in slices(group.off):
             words = Words(group.data[group.off[i] : group.off[j]], group.off[i : j + 1] - group.off[i])
-            h = words.hashes()
-            keys.append(anchors(h, words.doc))
-            if hashes:
-                wins.append(window_hashes(h))
+            view = chunk_view(words.data)
+            h = span_hashes(words.data, words.start, words.end, 0, view)
+            parts.append(Slice(h, words.doc))
             counts.append(np.diff(words.doc))
-        self.key = np.concatenate(keys) if keys else np.zeros(0, U)
-        self.win = np.concatenate(wins) if wins else None
-        self.n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            if hashes:
+                wins.append((_windows(h, 5), _windows(span_hashes(words.data, words.start, words.end, 1, view), 6)))
+        for r in range(1, upto + 1):
+            found = [p.blocks() for p in parts]
+            if r < ROUNDS:
+                self.blocks, index = Blocks.joined(found).distinct()
+                if r == upto:
+                    return
+                names = numbers_of(answers, r, by_range(self.blocks.key, reducers))[index]
+            else:
+                names = np.concatenate([*(b.key for b in found), np.zeros(0, U)]) & ~WORD
+            at = 0
+            for p, b in zip(parts, found, strict=True):
+                p.take(names[at : at + len(b)])
+                at += len(b)
+        self.key = np.concatenate([*(p.anchors() for p in parts), np.zeros(0, U)])
+        self.win = tuple(np.concatenate([*x, np.zeros(0, U)]) for x in zip(*wins, strict=True)) or (np.zeros(0, U),) * 2
+        self.n_words = np.concatenate([*counts, np.zeros(0, np.int64)])
         self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
         self.at = np.flatnonzero(self.key)
 
     def symbols(self) -> np.ndarray:
         return np.unique(self.key[self.at])
 
-    def shared(self, symbols: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        """Windows whose symbol other groups hold too, as positions."""
-        return self.at[flags[np.searchsorted(symbols, self.key[self.at])]]
+    def windows(self, at: np.ndarray, group: Group) -> tuple[Blocks, np.ndarray, np.ndarray]:
+        """Of windows at ``at``: (distinct ones, smallest document of each, index of each)."""
+        return smallest(Blocks(self.win[0][at], self.win[1][at], np.zeros(len(at), U)), group.id[self.row[at]])
 
 
-def smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, smallest id of each, index of each entry's key)."""
-    names, inverse = np.unique(keys, return_inverse=True)
+def smallest(windows: Blocks, ids: np.ndarray) -> tuple[Blocks, np.ndarray, np.ndarray]:
+    """(distinct windows, smallest id of each, index of each entry's window)."""
+    names, index = windows.distinct()
     low = np.full(len(names), np.iinfo(np.int64).max, np.int64)
-    np.minimum.at(low, inverse, ids)
-    return names, low, inverse
+    np.minimum.at(low, index, ids)
+    return names, low, index
+
+
+def _send_blocks(r: int):
+    def make(reducers: int):
+        def work(group, answers):
+            b = Parsed(group, answers, reducers, r).blocks
+            return send(group.g, by_range(b.key, reducers), [b.a, b.b, b.l])
+
+        return work
+
+    return make
+
 
+def _columns(bodies: list[bytes], kinds: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of 8-byte numbers from all senders, entries of each sender)."""
+    counts = np.array([len(b) // (8 * len(kinds)) for b in bodies])
+    each = [[np.frombuffer(b, kind, n, 8 * n * k) for b, n in zip(bodies, counts.tolist(), strict=True)] for k, kind in enumerate(kinds)]
+    return [np.concatenate(x) for x in each], counts
 
-def _first(reducers: int):
-    def work(_, tbl):
-        group = Group(tbl)
-        keys = Parsed(group, False).symbols()
+
+def _name_blocks(step: int):
+    def work(senders, bodies, r):
+        """One number a distinct block: round, reducer, rank."""
+        (a, b, l), counts = _columns(bodies, (U, U, U))
+        _, index = Blocks(a, b, l).distinct()
+        return answer(senders, r, step, (index.astype(U) + U(1)) | U(step << 58 | r << 34), counts)
+
+    return work
+
+
+def _send_symbols(reducers: int):
+    def work(group, answers):
+        keys = Parsed(group, answers, reducers).symbols()
         return send(group.g, by_range(keys, reducers), [keys])
 
     return work
 
 
-def _reduce_first(senders, bodies, r):
+def _share_symbols(senders, bodies, r):
     """Bit: another group sent the symbol too."""
-    counts = np.array([len(b) // 8 for b in bodies])
-    keys = np.frombuffer(b"".join(bodies), U)
+    (keys,), counts = _columns(bodies, (U,))
     _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return answer(senders, r, 1, n[inverse] > 1, counts)
+    return answer(senders, r, ROUNDS, n[inverse] > 1, counts)
 
 
-def _exchanged(p: Parsed, group: Group, answers: pa.Table, reducers: int):
+def _shared_windows(p: Parsed, group: Group, answers: pa.Table, reducers: int):
+    """(windows whose symbol other groups hold too, as positions; distinct ones; smallest document; index)."""
     symbols = p.symbols()
-    at = p.shared(symbols, flags_of(answers, 1, by_range(symbols, reducers)))
-    names, low, _ = smallest(p.win[at], group.id[p.row[at]])
-    return at, names, low
+    flags = flags_of(answers, ROUNDS, by_range(symbols, reducers))
+    at = p.at[flags[np.searchsorted(symbols, p.key[p.at])]]
+    return at, *p.windows(at, group)
 
 
-def _second(reducers: int):
+def _send_windows(reducers: int):
     def work(group, answers):
-        p = Parsed(group, True)
-        _, names, low = _exchanged(p, group, answers, reducers)
-        return send(group.g, by_range(names, reducers), [names, low])
+        p = Parsed(group, answers, reducers, hashes=True)
+        _, names, low, _ = _shared_windows(p, group, answers, reducers)
+        return send(group.g, by_range(names.key, reducers), [names.a, names.b, low])
 
     return work
 
 
-def _reduce_second(senders, bodies, r):
+def _first_windows(senders, bodies, r):
     """Bit: another group holds the window in a smaller document than any of the sender's."""
-    counts = np.array([len(b) // 16 for b in bodies])
-    keys = np.concatenate([np.frombuffer(b, U, n) for b, n in zip(bodies, counts.tolist(), strict=True)])
-    ids = np.concatenate([np.frombuffer(b, np.int64, n, 8 * n) for b, n in zip(bodies, counts.tolist(), strict=True)])
-    _, low, inverse = smallest(keys, ids)
-    return answer(senders, r, 2, low[inverse] < ids, counts)
+    (a, b, ids), counts = _columns(bodies, (U, U, np.int64))
+    _, low, index = smallest(Blocks(a, b, np.zeros(len(a), U)), ids)
+    return answer(senders, r, ROUNDS + 1, low[index] < ids, counts)
 
 
+STEPS = [*((_send_blocks(r), _name_blocks(r)) for r in range(1, ROUNDS)), (_send_symbols, _share_symbols), (_send_windows, _first_windows)]
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _removed(group: Group, answers: pa.Table, reducers: int) -> tuple[Parsed, np.ndarray]:
     """(windows, flag of each word that goes)."""
-    p = Parsed(group, True)
-    at, names, _ = _exchanged(p, group, answers, reducers)
+    p = Parsed(group, answers, reducers, hashes=True)
+    at, names, _, index = _shared_windows(p, group, answers, reducers)
     gone = np.zeros(len(p.key), bool)
     if len(names):
-        earlier = flags_of(answers, 2, by_range(names, reducers))
-        gone[at] = earlier[np.searchsorted(names, p.win[at])]
-    _, low, inverse = smallest(p.win[p.at], group.id[p.row[p.at]])
-    gone[p.at] |= low[inverse] < group.id[p.row[p.at]]
+        gone[at] = flags_of(answers, ROUNDS + 1, by_range(names.key, reducers))[index]
+    _, low, index = p.windows(p.at, group)
+    gone[p.at] |= low[index] < group.id[p.row[p.at]]
     mark = np.zeros(len(gone) + WINDOW + 1, np.int32)
     at = np.flatnonzero(gone)
     mark[at] += 1
@@ -284,7 +376,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
     bound_batches(docs.sparkSession)
     schema = RESULT + (", kept_text string" if texts else "")
-    return rounds(docs, Scratch(docs.sparkSession, "recompress"), id_col, text_col, _first, _reduce_first, _second, _reduce_second, lambda n: _last(n, texts), schema, 28)
+    return rounds(docs, Scratch(docs.sparkSession, "recompress"), id_col, text_col, STEPS, lambda n: _last(n, texts), schema, 28)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,8 +152,8 @@ HEAD = "<Q"
 
 
 def _first(reducers: int):
-    def work(_, tbl):
-        p = Pieces(Group(tbl))
+    def work(group, _):
+        p = Pieces(group)
         key, content = p.key[p.first], p.content[p.first]
         doc = p.group.id[p.row_of(p.start[p.first])]
         small = len(doc) == 0 or (int(doc.min()) >= 0 and int(doc.max()) < 1 << 32)
@@ -323,7 +323,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the removed byte ranges) of every row."""
     bound_batches(docs.sparkSession)
     schema = RESULT + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return rounds(docs, Scratch(docs.sparkSession, "suffixes"), id_col, text_col, _first, _reduce_first, _second, _reduce_second, lambda n: _last(n, spans), schema, 35)
+    return rounds(docs, Scratch(docs.sparkSession, "suffixes"), id_col, text_col, [(_first, _reduce_first), (_second, _reduce_second)], lambda n: _last(n, spans), schema, 35)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
