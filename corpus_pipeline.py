@@ -58,5 +58,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.put(docs, str(k))
-            scratch.release()
     return docs
