@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import DOCS, docs_frame
 from wattline.llm import neardup
 from wattline.llm.common import Scratch
@@ -104,3 +106,46 @@ def test_components(spark):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     assert got == {x: find(x) for x in root}
+
+
+HEAD = "id long, n long, item long, left long, c long"
+
+
+def test_bands_of_size_lose_no_pair(spark):
+    rng = random.Random(8)
+    head = []
+    for i in range(400):
+        n = rng.choice([1, 2, 3, 7, 20, 100, 100, 101, 118, 119, 5000, 5900])
+        for item in rng.sample(range(6), 2):
+            head.append((i, n, item, rng.randint(max(1, n * 8 // 10), n), rng.randint(0, 300)))
+    for percent in (80, 85):
+        got = {tuple(r) for r in neardup.across_components(spark.createDataFrame(head, HEAD), neardup.Plan(5, percent)).collect()}
+        want = set()
+        for x, nx, i, lx, cx in head:
+            for y, ny, j, ly, cy in head:
+                if i == j and x < y and cx != cy and min(lx, ly) * (100 + percent) >= percent * (nx + ny) and 100 * min(nx, ny) >= percent * max(nx, ny):
+                    want.add((x, y))
+        assert got == want and len(want) > 500
+
+
+def test_template_documents_that_are_not_similar_never_meet(spark):
+    one = spark.range(30000).select(F.col("id"), F.lit(100).cast("long").alias("n"), F.lit(7).cast("long").alias("item"), F.lit(91).cast("long").alias("left"), F.col("id").alias("c"))
+    assert neardup.across_components(one, neardup.Plan(3, 85)).count() == 0
+
+
+def test_template_texts_of_many_components(spark):
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(base[:30] + [f"own{i}x{j}" for j in range(5)] + base[30:]) for i in range(600)]
+    texts += [t.replace("t3 ", f"z{rng.randrange(9)} ") for t in texts[:40]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_frame(spark, texts), shingle=3, percent=85, sigmas=None).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 3, 85)
+
+
+def test_components_say_when_they_are_not_settled(spark, monkeypatch):
+    from wattline.llm import components as C
+
+    monkeypatch.setattr(C, "MAX_ROUNDS", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges, Scratch(spark, "t"), "t")

@@ -53,6 +53,21 @@ def test_quality_order_never_changes_the_verdict():
     assert len(seen) == 1
 
 
+def test_quality_order_by_rejections_that_are_left_per_cost():
+    cost = {"n_words": 10.0, "n_repeat_words": 1000.0, "n_symbols": 5.0, "word_chars": 5.0, "n_lines": 50.0, "n_dup_lines": 50.0, "n_upper": 5.0, "n_lower": 5.0, "n_letters": 5.0}
+    seen = {frozenset(): 50, frozenset({"min_words", "symbols"}): 30, frozenset({"repeated_windows"}): 20, frozenset({"letters"}): 1}
+    order = quality.cascade_order(quality.Costs(cost, seen), list(quality.RULES))
+    assert order[0] == "min_words" and order.index("letters") < order.index("symbols") and sorted(order) == sorted(quality.RULES)
+    assert order.index("repeated_windows") < order.index("symbols")
+    assert sorted(quality.cascade_order(quality.Costs({}, {}), list(quality.RULES))) == sorted(quality.RULES)
+
+
+def test_quality_sample_sends_no_text(spark):
+    df = docs_frame(spark, corpus()).repartition(4)
+    costs = quality.sample_costs(df, "text", quality.Limits(), rows=10**6)
+    assert set(costs.feature) == set(quality.FEATURES) and sum(costs.rejected.values()) == df.count()
+
+
 def test_quality_passing_keeps_columns_and_empty(spark):
     df = docs_frame(spark, corpus()).withColumn("kept", F.lit(7))
     out = quality.passing(df)

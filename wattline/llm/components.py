@@ -39,7 +39,7 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.put(edges, f"{label}-0")
     before = _mark(edges)
-    for k in range(1, MAX_ROUNDS):
+    for k in range(1, MAX_ROUNDS + 1):
         if not before[0]:
             break
         half = scratch.put(_large_star(edges), f"{label}-{k}-large")
@@ -48,4 +48,6 @@ def components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -175,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """id_col, item_id, token_start, window, n_same for each contaminated document and item."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(id_col, text_col)
+    chosen = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"))
     out = None
     for shared in item_blocks(benchmark, item_col, item_text, block_bytes):
 

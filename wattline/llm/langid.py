@@ -2,8 +2,9 @@
 
 A text is the mean embedding of its hashed byte n-grams inside words; a linear
 softmax on top is trained by stochastic gradient descent in numpy, on a bounded,
-seeded sample of labelled rows (``SAMPLE_PER_LANG`` a language, at most
-``MAX_LANGS`` languages, texts of at most ``SAMPLE_BYTES``).  A temperature and a
+seeded sample of labelled rows: distinct texts of at most ``SAMPLE_BYTES``, at most
+``SAMPLE_PER_LANG`` a language and about ``SAMPLE_ROWS`` in all, but up to
+``LEAST_PER_LANG`` of each language however many there are.  A temperature and a
 rejection threshold are calibrated on a part of the sample that training never sees.
 
 Prediction folds embeddings and softmax weights into one fixed-point logit per
@@ -12,11 +13,14 @@ whole texts are read.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and
 not accepted; so is everything when no labelled row exists.  Rows with a null id
-are neither held out nor learned from.  Repeated rows are predicted alike.
+are neither held out nor learned from.  Repeated rows are predicted alike; equal
+scores resolve to the first language in order of name; an empty table gives an empty
+result; other columns of the table are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +34,13 @@ from wattline.llm.textkit import buffers, lower_ascii, slices
 BUCKET_BITS = 15
 GRAMS = (2, 3, 4)
 DIM = 16
-MAX_LANGS = 100
 SAMPLE_PER_LANG = 1200
+SAMPLE_ROWS = 120_000
+LEAST_PER_LANG = 50
 SAMPLE_BYTES = 1 << 16
 EPOCHS = 6
+#: Texts whose gradients are applied together.
+BATCH = 16
 PRECISION = 0.995
 _FIXED = 1 << 20
 
@@ -80,10 +87,12 @@ def gram_buckets(data: np.ndarray, off: np.ndarray):
             yield ok, (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
 
 
-def gram_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(raw, np.uint8)
-    found = [b[ok] for ok, b in gram_buckets(data, np.array([0, len(data)]))]
-    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+def gram_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, count) of each text's buckets, in order of text."""
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    found = [text[: len(ok)][ok] << BUCKET_BITS | b[ok] for ok, b in gram_buckets(data, off)]
+    key, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+    return key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1), n
 
 
 @dataclass
@@ -101,18 +110,18 @@ class Model:
         count = np.zeros(docs, np.int64)
         full = np.flatnonzero(np.diff(off) > 0)
         if n and len(full):
-            per = np.zeros((len(self.langs), n), np.int64)
-            seen = np.zeros(n, np.int64)
-            for ok, bucket in gram_buckets(data, off):
-                m = len(ok)
-                bucket = np.where(ok, bucket, 1 << BUCKET_BITS)
-                seen[:m] += ok
-                for c in range(len(self.langs)):
-                    per[c, :m] += self.table[c][bucket]
+            # One language after another: memory follows the text, whatever the number of languages.
+            grams = [np.where(ok, bucket, 1 << BUCKET_BITS).astype(np.int32) for ok, bucket in gram_buckets(data, off)]
             at = off[full]
+            seen = np.zeros(n, np.int64)
+            for bucket in grams:
+                seen[: len(bucket)] += bucket < 1 << BUCKET_BITS
             count[full] = np.add.reduceat(seen, at)
             for c in range(len(self.langs)):
-                total[full, c] = np.add.reduceat(per[c], at)
+                seen[:] = 0
+                for bucket in grams:
+                    seen[: len(bucket)] += self.table[c][bucket]
+                total[full, c] = np.add.reduceat(seen, at)
         return total / (_FIXED * np.maximum(count, 1))[:, None] + self.bias
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,24 +146,32 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model:
     weight = len(y) / (len(langs) * np.maximum(1, np.bincount(y, minlength=len(langs))))
     for epoch in range(EPOCHS):
         rate = 2.0 * (1 - epoch / EPOCHS)
-        for i in rng.permutation(fit):
-            ws = words[i]
-            k = int(rng.choice([2, 6, 20, 60]))
-            start = int(rng.integers(0, max(1, len(ws) - k + 1)))
-            at, n = gram_counts(b" ".join(ws[start : start + k]))
+        turn = rng.permutation(fit)
+        for first in range(0, len(turn), BATCH):
+            some = turn[first : first + BATCH]
+            cut = []
+            for i, k in zip(some.tolist(), rng.choice([2, 6, 20, 60], len(some)).tolist(), strict=True):
+                start = int(rng.integers(0, max(1, len(words[i]) - k + 1)))
+                cut.append(b" ".join(words[i][start : start + k]))
+            which, at, n = gram_counts(np.frombuffer(b"".join(cut), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in cut])]))
             if not len(at):
                 continue
-            share = n / n.sum()
-            x = share @ emb[at]
-            z = w @ x + bias
-            p = np.exp(z - z.max())
-            g = p / p.sum()
-            g[y[i]] -= 1
-            g *= min(2.0, weight[y[i]])
-            back = g @ w
-            w -= 0.1 * rate * np.outer(g, x)
-            bias -= 0.01 * rate * g
-            emb[at] -= rate * share[:, None] * back
+            head = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            rows = which[head]
+            share = n / np.repeat(np.add.reduceat(n, head), np.diff(np.append(head, len(n))))
+            x = np.add.reduceat(share[:, None] * emb[at], head)
+            z = x @ w.T + bias
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            g = p / p.sum(axis=1, keepdims=True)
+            truth = y[some[rows]]
+            g[np.arange(len(rows)), truth] -= 1
+            g *= np.minimum(2.0, weight[truth])[:, None]
+            back = (g @ w)[np.repeat(np.arange(len(rows)), np.diff(np.append(head, len(n))))]
+            w -= 0.1 * rate * g.T @ x
+            bias -= 0.01 * rate * g.sum(axis=0)
+            order = np.argsort(at, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], at[order[1:]] != at[order[:-1]]]))
+            emb[at[order[new]]] -= rate * np.add.reduceat((share[:, None] * back)[order], new)
     table_ = np.zeros((len(langs), (1 << BUCKET_BITS) + 1), np.int32)
     table_[:, :-1] = np.clip(np.rint(w @ emb.T * _FIXED), -(2**31) + 1, 2**31 - 1)
     model = Model(langs, table_, bias, 1.0, 0.0)
@@ -182,17 +199,20 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Model:
 def sample(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[list[bytes], list[str]]:
     """The bounded training sample: texts below a hash threshold set for each language by its count of distinct texts."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
-    texts = rows.select(lang_col, F.xxhash64(text_col).alias("h")).distinct()
-    counts = texts.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    lang, text, h = F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h")
+    counts = rows.select(lang, h).distinct().groupBy("lang").count().collect()
     if not counts:
         return [], []
-    scale = 1 << 30
-    limit = F.lit(-1)
-    for r in counts:
-        limit = F.when(F.col(lang_col) == r[lang_col], F.lit(min(scale, scale * SAMPLE_PER_LANG // r["count"]))).otherwise(limit)
-    picked = rows.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(scale)) < limit).select(text_col, lang_col).distinct().limit(2 * SAMPLE_PER_LANG * len(counts)).collect()
-    picked = sorted({(r[0], r[1]) for r in picked})
-    return [t.encode() for t, _ in picked], [x for _, x in picked]
+    most = max(LEAST_PER_LANG, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts)))
+    # Room for chance: about four standard deviations above the bound; what is over it goes below, in order of hash.
+    scale, aim = 1 << 30, most + 4 * int(most**0.5)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(scale, scale * aim // r["count"])) for r in counts], "lang string, below long")
+    picked = rows.select(lang, text, h).join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(scale)) < F.col("below")).select("lang", "text").distinct().collect()
+    held: dict[str, list[str]] = {}
+    for r in sorted(picked, key=lambda r: (hashlib.md5(r.text.encode()).digest(), r.text)):
+        held.setdefault(r.lang, []).append(r.text)
+    chosen = sorted((t, x) for x, texts in held.items() for t in texts[:most])
+    return [t.encode() for t, _ in chosen], [x for _, x in chosen]
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -233,7 +253,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 rest = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], schema=out)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate((*keep, text_col))]).mapInArrow(run, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,15 @@ fingerprints aggregated map-side.  Representatives meet in band buckets:
 2. links become components by alternating large-star and small-star;
 3. documents in buckets that still hold several components go through an exact
    prefix filter: those of different components that share one of their rarest
-   shingles are paired and confirmed, which completes the links.
+   shingles are paired and confirmed, which completes the links.  The larger of
+   two looks for smaller ones in bands of size; only those are filed whose place
+   of the shingle leaves room for a partner of at least their size.
 
 The bands miss a pair at the threshold with probability under ``MISS``; the
-signature estimate drops such a pair only five standard deviations below it.
-Nothing is capped or sampled, and no link, signature or set reaches the driver.
+signature estimate drops such a pair only ``sigmas`` (five) standard deviations below
+it, and never with ``sigmas=None``.  Nothing is capped or sampled, and no link,
+signature or set reaches the driver.  Texts are shuffled once, into a table bucketed
+by id; the sets of wanted ids are made from it in place.
 
 Defined cases: null texts and texts without words have no set and link with
 nothing; a text with fewer words than a shingle is one shingle; rows with a null
@@ -23,31 +27,38 @@ copies; an empty table gives an empty result; whole texts are read.
 
 from __future__ import annotations
 
+import contextlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, bound_batches, table
+from wattline.llm.common import Scratch, bound_batches, freed_shuffles, shuffle_parts, table
 from wattline.llm.components import components
 from wattline.llm.textkit import Words, buffers, lower_ascii, mix, rolling, slices, window_ok
 
 MISS = 1e-6
 SIGMAS = 5
+#: Growth of set sizes from one band of the prefix filter to the next.
+BAND = 1.05
+#: Text that a bucket of the table of texts holds about, and buckets at most.
+BUCKET_BYTES = 64 << 20
+MOST_BUCKETS = 1 << 15
 
 
 class Plan:
     """Bands and rows for a threshold."""
 
-    def __init__(self, shingle: int, percent: int):
+    def __init__(self, shingle: int, percent: int, sigmas: float | None = SIGMAS):
         self.shingle, self.percent = shingle, percent
         t = percent / 100
         self.rows = 5 if percent >= 85 else 4 if percent >= 75 else 3
         self.bands = math.ceil(math.log(MISS) / math.log(1 - t**self.rows))
         self.hashes = self.rows * self.bands
-        self.least = t - SIGMAS * math.sqrt(t * (1 - t) / self.hashes)
+        self.least = 0.0 if sigmas is None else t - sigmas * math.sqrt(t * (1 - t) / self.hashes)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +75,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
         if len(short):
             x = h[doc[short]].copy()
             for j in range(1, m):
-                x = x * np.uint64(0xD6E8FEB86659FD93) + h[doc[short] + j]
+                x = mix(x, 1000 + m) + h[doc[short] + j]
             key.append(mix(x, 1000 + m))
             own.append(short)
     key, own = np.concatenate(key), np.concatenate(own)
@@ -197,11 +208,57 @@ def prefixes(docs: DataFrame, text: DataFrame, plan: Plan, scratch: Scratch) ->
     return scratch.put(cut.select("id", "n", F.col("e.item").alias("item"), (F.col("n") - F.col("own") - F.col("k")).alias("left")), "prefixes")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sigmas: float | None = SIGMAS) -> DataFrame:
     """id_col, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    plan, scratch = Plan(shingle, percent), Scratch(spark, "neardup")
+    plan, scratch = Plan(shingle, percent, sigmas), Scratch(spark, "neardup")
+    with bucketed_texts(docs, scratch, id_col, text_col) as text:
+        return _classes(docs, text, plan, scratch, id_col, text_col)
+
+
+@contextlib.contextmanager
+def bucketed_texts(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str):
+    """(id, text) as a table bucketed by id that joins on ids read in place; it is gone afterwards."""
+    spark, name = docs.sparkSession, f"wattline_{uuid.uuid4().hex}"
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = min(max(shuffle_parts(spark), math.ceil(size / BUCKET_BYTES)), MOST_BUCKETS)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    with freed_shuffles(spark):
+        rows.repartition(buckets, "id").write.bucketBy(buckets, "id").option("path", f"{scratch.root}/texts").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.drop("texts")
+
+
+def across_components(head: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix item at places that leave room for the threshold.
+
+    Two sets of sizes n >= m share at most the smaller ``left`` of a common item, and need
+    p * (n + m) / (100 + p).  So the smaller one needs left >= 2 * p * m / (100 + p) itself, and
+    the larger one meets only sizes m from p * n / 100 to left * (100 + p) / p - n.  Bands of
+    size make that an equal join; rows of an item's largest component never meet each other.
+    """
+    p = plan.percent
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    parts = head.groupBy("item", "c").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("item").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("item", "main")
+    rest = head.join(mixed, "item").select("item", "id", "n", "left", "c", (F.col("c") == F.col("main")).alias("in_main"))
+    small = rest.where(F.col("left") * (100 + p) >= 2 * p * F.col("n"))
+    small = small.select("item", band(F.col("n")).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("c").alias("cy"), F.col("in_main").alias("my"))
+    least, most = F.ceil(F.col("n") * p / F.lit(100)), F.least(F.col("n"), F.floor(F.col("left") * (100 + p) / F.lit(p)) - F.col("n"))
+    large = rest.withColumn("least", least).withColumn("most", most).where((F.col("least") <= F.col("most")) & (F.col("least") > 0))
+    large = large.select("item", F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("c").alias("cx"), F.col("in_main").alias("mx"), "least", "most")
+    ordered = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
+    room = F.col("ny").between(F.col("least"), F.col("most")) & (F.col("ly") * (100 + p) >= p * (F.col("nx") + F.col("ny")))
+    meet = lambda x, y: x.join(y, ["item", "band"]).where(ordered & room & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return meet(large.where("NOT mx"), small).unionByName(meet(large.where("mx"), small.where("NOT my"))).distinct()
+
+
+def _classes(docs: DataFrame, text: DataFrame, plan: Plan, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    percent = plan.percent
     signed = scratch.put(signatures(docs, plan, id_col, text_col), "signed")
     classes = scratch.put(signed.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.put(signed.where("n > 0").join(classes.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id"]), "reps")
@@ -212,8 +269,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     members = scratch.put(entries.join(buckets, "key"), "members")
     stars = members.where((F.col("id") != F.col("low.id")) & close(F.col("n"), F.col("low.n"))).select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
     first = scratch.put(likely(stars, reps, plan), "pairs-1")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
     def verify(pairs, label):
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = scratch.put(set_bytes(text.join(wanted.hint("merge"), "id", "left_semi"), plan).dropDuplicates(["id"]), f"sets-{label}")
@@ -231,14 +286,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     open_ = scratch.put(tagged.join(mixed, "key", "left_semi").select("id", "n", "c").distinct(), "open")
     head = prefixes(open_.select("id", "n"), text, plan, scratch).join(open_.select("id", "c"), "id")
     head = scratch.put(head, "heads")
-    parts = head.groupBy("item", "c").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("item").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("item", "main")
-    rest = head.join(mixed, "item")
-    left = rest.where("c != main").select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("c").alias("cx"))
-    right = rest.select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))
-    enough = F.least("lx", "ly") * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
-    across = left.join(right, "item").where(enough & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & close(F.col("nx"), F.col("ny")))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    across = across_components(head, plan).join(first, ["a", "b"], "left_anti")
     second = scratch.put(likely(across, reps, plan), "pairs-2")
     if not second.isEmpty():
         more = verify(second, "2")

@@ -1,9 +1,12 @@
 """Quality rules run as a short-circuit cascade.
 
-Each rule rejects or passes a document.  On a sample the operator measures every
-rule's cost (nanoseconds a document) and selectivity (share rejected), then runs
-rules by falling rejection per cost and stops at the first rejection.  A verdict
-is the conjunction of all rules, so the order changes cost and never the result.
+Each rule rejects or passes a document.  On a sample the operator measures what every
+feature costs (nanoseconds a document) and which rules reject each document.  The
+rule with the most rejections per cost comes first; then the one with the most
+rejections among the documents that are left, per cost of the features that are not
+computed yet; and so on.  A document stops at its first rejection.  A verdict is the
+conjunction of all rules, so the order changes cost and never the result.  ``judge``
+returns five measures of every document, so those are computed for rejected ones too.
 
 Defined cases: a null or empty text has no words and fails ``min_words``;
 repeated rows are judged one by one; an empty table gives an empty result;
@@ -43,7 +46,8 @@ class Limits:
     min_letter_percent: int = 50
 
 
-SAMPLE_ROWS = 400
+#: Documents of the sample, about; each task times those that it reads.
+SAMPLE_ROWS = 4000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -178,28 +182,63 @@ def cascade(features: Features, order: list[str], limits: Limits) -> np.ndarray:
     return kept
 
 
-def sample_costs(docs: DataFrame, text_col: str, limits: Limits, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Rule to (nanoseconds a document, share rejected), measured on ``rows`` sampled documents by executors."""
+FEATURES = tuple(dict.fromkeys(f for rule in RULES.values() for f in rule.needs))
 
-    def time_rules(batches):
-        for batch in batches:
-            data, off = buffers(batch.column(0))
-            spent, hit = [], []
-            for rule in RULES.values():
-                began = time.perf_counter_ns()
-                own = Features(data, off)
-                hit.append(int(np.count_nonzero(rule.rejects({k: own[k] for k in rule.needs}, limits))))
-                spent.append(time.perf_counter_ns() - began)
-            yield pa.RecordBatch.from_pydict({"rule": list(RULES), "ns": spent, "hit": hit, "n": [len(off) - 1] * len(RULES)})
 
-    picked = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(4)) == 0).select(text_col).limit(rows)
-    found = picked.mapInArrow(time_rules, "rule string, ns long, hit long, n long").groupBy("rule").agg(F.sum("ns").alias("ns"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()
-    return {r.rule: (r.ns / max(1, r.n), r.hit / max(1, r.n)) for r in found}
+@dataclass(frozen=True)
+class Costs:
+    """Nanoseconds a document of each feature, and how many sampled documents each set of rules rejects."""
+
+    feature: dict[str, float]
+    rejected: dict[frozenset[str], int]
 
 
-def cascade_order(costs: dict[str, tuple[float, float]], names: list[str]) -> list[str]:
-    """By falling rejection per cost; unmeasured rules keep their place at the end."""
-    return sorted(names, key=lambda x: (-(costs[x][1] + 1e-6) / max(1.0, costs[x][0]), x) if x in costs else (0.0, x))
+def sample_costs(docs: DataFrame, text_col: str, limits: Limits, rows: int = SAMPLE_ROWS) -> Costs:
+    """Costs and selectivity on about ``rows`` documents, drawn from all partitions and measured where they lie.
+
+    Only a line a feature and a line a set of rejecting rules leave a task.
+    """
+
+    def measure(batches):
+        for batch in batches:
+            data, off = buffers(batch.column(0))
+            own, n = Features(data, off), len(off) - 1
+            own.words()
+            name, ns = [], []
+            for f in FEATURES:
+                began = time.perf_counter_ns()
+                own[f]
+                name.append(f)
+                ns.append(time.perf_counter_ns() - began)
+            bits = np.zeros(n, np.int64)
+            for k, rule in enumerate(RULES.values()):
+                bits |= rule.rejects({f: own[f] for f in rule.needs}, limits).astype(np.int64) << k
+            sets, many = np.unique(bits, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(name + [None] * len(sets), pa.string()), "rules": pa.array([0] * len(name) + sets.tolist(), pa.int64()), "ns": pa.array(ns + [0] * len(sets), pa.int64()), "n": pa.array([n] * len(name) + many.tolist(), pa.int64())})
+
+    total = docs.count()
+    if not total:
+        return Costs({}, {})
+    picked = docs.where(F.rand(11) < rows / total).select(text_col)
+    found = picked.mapInArrow(measure, "feature string, rules long, ns long, n long").groupBy("feature", "rules").agg(F.sum("ns").alias("ns"), F.sum("n").alias("n")).collect()
+    names = list(RULES)
+    return Costs({r.feature: r.ns / r.n for r in found if r.feature is not None}, {frozenset(x for k, x in enumerate(names) if r.rules >> k & 1): r.n for r in found if r.feature is None})
+
+
+def cascade_order(costs: Costs, names: list[str]) -> list[str]:
+    """Greedily by rejections per cost among what earlier rules leave; a feature is paid for once."""
+    left, known, order = dict(costs.rejected), set(), []
+    while len(order) < len(names):
+
+        def worth(x: str):
+            price = sum(costs.feature.get(f, 0.0) for f in RULES[x].needs if f not in known)
+            return -(sum(n for rules, n in left.items() if x in rules) + 1e-6) / max(1.0, price), x
+
+        best = min((x for x in names if x not in order), key=worth)
+        order.append(best)
+        known.update(RULES[best].needs)
+        left = {rules: n for rules, n in left.items() if best not in rules}
+    return order
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -220,8 +259,8 @@ def _arrow(schema: str):
 def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:
     """``keep`` columns, the measures, base_failed and kept for every row."""
     bound_batches(docs.sparkSession)
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    order = cascade_order(sample_costs(chosen, "__text", limits), list(RULES))
+    chosen = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate((*keep, text_col))])
+    order = cascade_order(sample_costs(docs, text_col, limits), list(RULES))
     schema = _out_schema(docs, keep, ", ".join(f"{m} long" for m in MEASURES) + ", base_failed boolean, kept boolean")
     out = _arrow(schema)
 

@@ -198,7 +198,7 @@ def judge_urls(urls: DataFrame, url_col: str = "url", id_col: str = "page_id", h
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in cols]], names=[id_col, "host", "path", "rule", "verdict", "pattern"])
 
     kind = urls.schema[id_col].dataType.simpleString()
-    return urls.select(id_col, url_col).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    return urls.select(F.col(id_col).alias("c0"), F.col(url_col).alias("c1")).mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
