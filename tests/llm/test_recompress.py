@@ -86,10 +86,11 @@ def test_windows_pick_by_their_words_alone():
 def test_blocks_of_one_key_keep_apart(monkeypatch):
     rng = np.random.default_rng(1)
     a, b, l = (rng.integers(0, 4, 300).astype(np.uint64) for _ in range(3))
-    blocks = R.Blocks(a, b, l)
+    blocks = R.Triples(a, b, l)
     blocks.key = a % np.uint64(2)
-    names, index = blocks.distinct()
+    names, index, first = blocks.distinct()
     assert len(names) == len(set(zip(a.tolist(), b.tolist(), l.tolist())))
+    assert (index[first] == np.arange(len(names))).all() and all(i == index.tolist().index(k) for k, i in enumerate(first.tolist()))
     assert (names.a[index] == a).all() and (names.b[index] == b).all() and (names.l[index] == l).all()
 
 

@@ -69,3 +69,23 @@ def test_lowest():
     for n, w in ((5, 5), (200, 7), (64, 8), (9, 1)):
         h = rng.integers(0, 9, n).astype(np.uint64)
         assert suffixes.lowest(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(n - w + 1)]
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_common_prefixes_equal_comparing_every_pair(kind):
+    rng = np.random.default_rng(kind)
+    t = [np.zeros(0, int), np.array([4]), rng.integers(1, 3, 400), np.full(300, 9), np.tile([1, 2, 300], 90), rng.integers(1, 60000, 300)][kind]
+    sa = induced.suffix_array(t)
+    want = []
+    for i, a in enumerate(sa.tolist()):
+        x, y = t[a:].tolist(), t[sa[i - 1] :].tolist() if i else []
+        want.append(next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y))))
+    assert induced.common_prefixes(t, sa).tolist() == want
+
+
+def test_bytes_that_a_polynomial_could_not_tell_apart(spark):
+    n = 2048
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    texts = [one, one.translate({97: 98, 98: 97}), one]
+    got = sorted(map(tuple, suffixes.repeats_removed(docs_frame(spark, texts)).collect()))
+    assert got == brute(list(enumerate(texts)))

@@ -130,21 +130,33 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(t, s, bounds, by)[1:]
 
 
-def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each entry of ``sa`` the bytes it shares with the one before, up to ``most``; each has so many bytes.
+def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each entry of the suffix array the symbols it shares with the one before (0 for the first).
 
-    Neighbours in suffix order are compared directly, in no array permuted to text order."""
-    out = np.zeros(len(sa), np.int64)
-    words = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,))
-    live = np.arange(1, len(sa))
-    for k in range(0, most, 8):
-        k = min(k, most - 8)
-        x, y = words[sa[live] + k], words[sa[live - 1] + k]
-        apart = x != y
-        off, diff = live[apart], (x ^ y)[apart]
-        out[off] = k
-        for b in range(1, 8):
-            out[off] += (diff & np.uint64((1 << 8 * b) - 1)) == 0
+    Worked out in text order, permuted: where a suffix and its neighbour are preceded by equal
+    symbols, the value is that of the place before less one; only the others, whose values add
+    up to n log n at most, are compared, four symbols at a time.  ``text`` holds 1..65535.
+    """
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    before = np.empty(n, np.int64)
+    before[sa[0]] = -1
+    before[sa[1:]] = sa[:-1]
+    place = np.arange(n)
+    t = np.zeros(n + 8, np.uint16)
+    t[:n] = text
+    own = (place == 0) | (before <= 0) | (t[place - 1] != t[before - 1])
+    four = np.ndarray((n + 5,), "<u8", t, strides=(2,))
+    shared = np.zeros(n, np.int64)
+    live = np.flatnonzero(own & (before >= 0))
+    k = 0
+    while len(live):
+        diff = four[live + k] ^ four[before[live] + k]
+        apart = diff != 0
+        low = diff[apart]
+        shared[live[apart]] = k + sum(((low & np.uint64((1 << 16 * b) - 1)) == 0).astype(np.int64) for b in (1, 2, 3))
         live = live[~apart]
-    out[live] = most
-    return out
+        k += 4
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return (shared[last] - (place - last))[sa]

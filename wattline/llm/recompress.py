@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.common import Scratch, bound_batches, table
 from wattline.llm.exchange import Group, answer, by_range, flags_of, numbers_of, rounds, send
-from wattline.llm.textkit import Words, chunk_view, mix, powers, rolling, slices, span_hashes, window_ok
+from wattline.llm.textkit import Triples, Words, chunk_view, mix, powers, rolling, slices, span_hashes, window_ok
 
 WINDOW = 13
 #: Words of text around a symbol that its key covers at least.
@@ -65,50 +65,11 @@ def _neighbours(s: Symbols, far: int) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-class Blocks:
-    """Blocks of a round: left symbol, right symbol (0: none), run lengths (right one in the upper half)."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, l: np.ndarray):
-        self.a, self.b, self.l = a, b, l
-        self.key = mix(mix(mix(a, 41) ^ b, 42) ^ l, 43)
-
-    def __len__(self):
-        return len(self.key)
-
-    def take(self, at: np.ndarray) -> Blocks:
-        out = object.__new__(Blocks)
-        out.a, out.b, out.l, out.key = self.a[at], self.b[at], self.l[at], self.key[at]
-        return out
-
-    @staticmethod
-    def joined(parts: list[Blocks]) -> Blocks:
-        cat = lambda x: np.concatenate([*x, np.zeros(0, U)])
-        return Blocks(cat([p.a for p in parts]), cat([p.b for p in parts]), cat([p.l for p in parts]))
-
-    def distinct(self) -> tuple[Blocks, np.ndarray]:
-        """(distinct blocks by key, the index among them of each of these)."""
-        order = np.argsort(self.key, kind="stable")
-        new = self._heads(order)
-        alike = ~(self.key[order[1:]] != self.key[order[:-1]])
-        if (new[1:] & alike).any():  # two blocks of one key: order them by all they are
-            order = np.lexsort((self.l, self.b, self.a, self.key))
-            new = self._heads(order)
-        index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(new) - 1
-        return self.take(order[new]), index
-
-    def _heads(self, order: np.ndarray) -> np.ndarray:
-        new = np.ones(len(order), bool)
-        x, y = order[1:], order[:-1]
-        new[1:] = (self.key[x] != self.key[y]) | (self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])
-        return new
-
-
-def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Blocks, np.ndarray]:
+def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Triples, np.ndarray]:
     """Runs and pairs of runs of a round's symbols: (symbols of the next round, named like their left part; their blocks; which are pairs)."""
     n = len(s)
     if not n:
-        return s, Blocks(s.name, s.name, s.name), np.zeros(0, bool)
+        return s, Triples(s.name, s.name, s.name), np.zeros(0, bool)
     left, right = _neighbours(s, far)
     head = np.ones(n, bool)
     head[1:] = (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])
@@ -135,7 +96,7 @@ def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Blocks, np.ndarra
     end[at] = run.end[at + 1]
     lo[at], hi[at] = np.minimum(run.lo[at], run.lo[at + 1]), np.maximum(run.hi[at], run.hi[at + 1])
     keep = ~closes
-    return Symbols(run.name[keep], run.start[keep], end[keep], lo[keep], hi[keep], run.text[keep]), Blocks(run.name[keep], other[keep], length[keep]), opens[keep]
+    return Symbols(run.name[keep], run.start[keep], end[keep], lo[keep], hi[keep], run.text[keep]), Triples(run.name[keep], other[keep], length[keep]), opens[keep]
 
 
 class Slice:
@@ -150,7 +111,7 @@ class Slice:
         self.found: list[tuple] = []
         self.round = 0
 
-    def blocks(self) -> Blocks:
+    def blocks(self) -> Triples:
         """Enter the next round: the blocks that need a name."""
         self.round += 1
         self.s, parts, self.pair = pair_up(self.s, 100 * self.round, self.far)
@@ -227,7 +188,7 @@ class Parsed:
         for r in range(1, upto + 1):
             found = [p.blocks() for p in parts]
             if r < ROUNDS:
-                self.blocks, index = Blocks.joined(found).distinct()
+                self.blocks, index, _ = Triples.joined(found).distinct()
                 if r == upto:
                     return
                 names = numbers_of(answers, r, by_range(self.blocks.key, reducers))[index]
@@ -246,14 +207,14 @@ class Parsed:
     def symbols(self) -> np.ndarray:
         return np.unique(self.key[self.at])
 
-    def windows(self, at: np.ndarray, group: Group) -> tuple[Blocks, np.ndarray, np.ndarray]:
+    def windows(self, at: np.ndarray, group: Group) -> tuple[Triples, np.ndarray, np.ndarray]:
         """Of windows at ``at``: (distinct ones, smallest document of each, index of each)."""
-        return smallest(Blocks(self.win[0][at], self.win[1][at], np.zeros(len(at), U)), group.id[self.row[at]])
+        return smallest(Triples(self.win[0][at], self.win[1][at], np.zeros(len(at), U)), group.id[self.row[at]])
 
 
-def smallest(windows: Blocks, ids: np.ndarray) -> tuple[Blocks, np.ndarray, np.ndarray]:
+def smallest(windows: Triples, ids: np.ndarray) -> tuple[Triples, np.ndarray, np.ndarray]:
     """(distinct windows, smallest id of each, index of each entry's window)."""
-    names, index = windows.distinct()
+    names, index, _ = windows.distinct()
     low = np.full(len(names), np.iinfo(np.int64).max, np.int64)
     np.minimum.at(low, index, ids)
     return names, low, index
@@ -281,7 +242,7 @@ def _name_blocks(step: int):
     def work(senders, bodies, r):
         """One number a distinct block: round, reducer, rank."""
         (a, b, l), counts = _columns(bodies, (U, U, U))
-        _, index = Blocks(a, b, l).distinct()
+        _, index, _ = Triples(a, b, l).distinct()
         return answer(senders, r, step, (index.astype(U) + U(1)) | U(step << 58 | r << 34), counts)
 
     return work
@@ -322,7 +283,7 @@ def _send_windows(reducers: int):
 def _first_windows(senders, bodies, r):
     """Bit: another group holds the window in a smaller document than any of the sender's."""
     (a, b, ids), counts = _columns(bodies, (U, U, np.int64))
-    _, low, index = smallest(Blocks(a, b, np.zeros(len(a), U)), ids)
+    _, low, index = smallest(Triples(a, b, np.zeros(len(a), U)), ids)
     return answer(senders, r, ROUNDS + 1, low[index] < ids, counts)
 
 

@@ -6,9 +6,9 @@ starts earlier.  Each window is filed under the smallest fingerprint of the
 Groups of documents first exchange fingerprints of pieces: of equal ones the
 earliest counts, the others go.  Where different pieces share a fingerprint their
 earliest holders send them to its shard, so equal windows meet in one shard.  It
-builds the suffix array of its pieces by induced sorting; neighbours that share
-``WINDOW`` bytes, by direct comparison with the neighbour, are equal windows, and the
-earliest of them stays.
+builds the suffix array of its pieces by induced sorting and the common prefixes of
+neighbours in permuted (text) order; suffixes between which no prefix falls below
+``WINDOW`` bytes begin equal windows, and the earliest of them stays.
 
 Fingerprints with more than ``HOT`` pieces in all are dealt window by window, by
 the window's own fingerprint, so no shard has to hold them alone.
@@ -16,7 +16,7 @@ the window's own fingerprint, so no shard has to hold them alone.
 Defined cases: null and empty texts have no bytes; windows never cross documents;
 rows with equal ids count as one document's parts in order of text; null ids come
 last; repeated rows, extra columns and empty tables are fine.  Whole pieces are
-told apart by 64-bit fingerprints of content and place, windows by their bytes.
+told apart by two 64-bit fingerprints of their bytes, windows in shards by their bytes.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.common import Scratch, bound_batches, table
 from wattline.llm.exchange import Group, answer, by_range, flags_of, rounds, rows_to, stretches
-from wattline.llm.induced import permuted_prefixes, suffix_array
-from wattline.llm.textkit import mix, powers, slices
+from wattline.llm.induced import common_prefixes, suffix_array
+from wattline.llm.textkit import Triples, chunk_view, mix, powers, slices, span_hashes
 
 WINDOW = 100
 GRAM = 32
 HOT = 4096
+#: Bytes of text for each entry of a reducer's quarter of a million: few enough that its suffix arrays take seconds.
+BYTES_PER_ENTRY = 9
 #: Bytes of a suffix array; one fingerprint's pieces stay together.
 SHARD_BYTES = 2 << 20
 U = np.uint64
@@ -71,11 +73,11 @@ def lowest(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Pieces:
-    """A group's pieces in order: start (byte in the group), windows, fingerprint (key) and content fingerprint."""
+    """A group's pieces in order: start (byte in the group), windows, fingerprint (key) and content (two fingerprints and the key)."""
 
     def __init__(self, group: Group):
         self.group = group
-        start, wins, key, content = [], [], [], []
+        start, wins, key, one, two = [], [], [], [], []
         for i, j in slices(group.off):
             base = int(group.off[i])
             data, off = group.data[base : group.off[j]], group.off[i : j + 1] - base
@@ -99,15 +101,17 @@ class Pieces:
             start.append(s + base)
             wins.append(runs.astype(np.int64))
             key.append(mix(h[at[s]], 7))  # smallest fingerprints are small: spread them again
-            content.append(mix((total[s + runs + WINDOW - 1] - total[s]) * inverse[s] ^ runs.astype(U), 4))
+            view, end = chunk_view(data), s + runs + WINDOW - 1
+            one.append(span_hashes(data, s, end, 4, view))
+            two.append(span_hashes(data, s, end, 5, view))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.wins, self.key = cat(start, np.int64), cat(wins, np.int64), cat(key, U)
-        self.content = cat(content, U) ^ mix(self.key, 5)
-        _, first = np.unique(self.content, return_index=True)
+        self.content = Triples(cat(one, U), cat(two, U), self.key)
+        _, _, first = self.content.distinct()
         #: Whether a piece is the first of its content; those pieces, by fingerprint and content.
         self.is_first = np.zeros(len(self.start), bool)
         self.is_first[first] = True
-        self.first = first[np.lexsort((self.content[first], self.key[first]))]
+        self.first = first[np.lexsort((self.content.b[first], self.content.a[first], self.key[first]))]
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.group.off, at, "right") - 1
@@ -125,16 +129,17 @@ class Sent:
         at, n, key = p.start[plain], p.wins[plain], p.key[plain]
         self.hot_at = np.repeat(p.start[of_hot], p.wins[of_hot]) + _ramp(p.wins[of_hot])
         if len(self.hot_at):
-            total_hash = np.empty(len(self.hot_at), U)
+            one, two = np.empty(len(self.hot_at), U), np.empty(len(self.hot_at), U)
             group = p.group
             for i, j in slices(group.off):
                 a, b = int(group.off[i]), int(group.off[j])
                 lo, hi = np.searchsorted(self.hot_at, a), np.searchsorted(self.hot_at, b)
                 if lo < hi:
-                    x = self.hot_at[lo:hi] - a
-                    total = _prefix(group.data[a:b])
-                    total_hash[lo:hi] = mix((total[x + WINDOW] - total[x]) * powers(b - a)[1][x], 6)
-            names, first, self.hot_kind = np.unique(total_hash, return_index=True, return_inverse=True)
+                    data, x = group.data[a:b], self.hot_at[lo:hi] - a
+                    view = chunk_view(data)
+                    one[lo:hi], two[lo:hi] = span_hashes(data, x, x + WINDOW, 6, view), span_hashes(data, x, x + WINDOW, 7, view)
+            windows, self.hot_kind, first = Triples(one, two, np.zeros(len(one), U)).distinct()
+            names = windows.key
             self.hot_first = first
             at, n, key = np.concatenate([at, self.hot_at[first]]), np.concatenate([n, np.ones(len(names), np.int64)]), np.concatenate([key, names])
         self.n_plain = len(plain)
@@ -154,12 +159,12 @@ HEAD = "<Q"
 def _first(reducers: int):
     def work(group, _):
         p = Pieces(group)
-        key, content = p.key[p.first], p.content[p.first]
+        key, one, two = p.key[p.first], p.content.a[p.first], p.content.b[p.first]
         doc = p.group.id[p.row_of(p.start[p.first])]
         small = len(doc) == 0 or (int(doc.min()) >= 0 and int(doc.max()) < 1 << 32)
         doc = doc.astype(np.uint32 if small else np.int64)
         parted = stretches(by_range(key, reducers))
-        body = [struct.pack(HEAD, doc.itemsize) + key[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].tobytes() for _, a, b in parted]
+        body = [struct.pack(HEAD, doc.itemsize) + b"".join(x[a:b].tobytes() for x in (key, one, two, doc)) for _, a, b in parted]
         return rows_to(p.group.g, [k for k, _, _ in parted], body)
 
     return work
@@ -167,16 +172,16 @@ def _first(reducers: int):
 
 def _reduce_first(senders, bodies, r):
     """Three bits: a smaller document elsewhere holds the piece; other pieces share its fingerprint; so many that it is hot."""
-    key, content, doc, counts = [], [], [], []
+    key, one, two, doc, counts = [], [], [], [], []
     for body in bodies:
         (width,) = struct.unpack_from(HEAD, body)
-        n = (len(body) - 8) // (16 + width)
+        n = (len(body) - 8) // (24 + width)
         counts.append(n)
-        key.append(np.frombuffer(body, U, n, 8))
-        content.append(np.frombuffer(body, U, n, 8 + 8 * n))
-        doc.append(np.frombuffer(body, np.uint32 if width == 4 else np.int64, n, 8 + 16 * n).astype(np.int64))
-    key, content, doc = np.concatenate(key), np.concatenate(content), np.concatenate(doc)
-    _, at, which = np.unique(content, return_index=True, return_inverse=True)
+        for k, out in enumerate((key, one, two)):
+            out.append(np.frombuffer(body, U, n, 8 + 8 * n * k))
+        doc.append(np.frombuffer(body, np.uint32 if width == 4 else np.int64, n, 8 + 24 * n).astype(np.int64))
+    key, one, two, doc = (np.concatenate(x) for x in (key, one, two, doc))
+    _, which, at = Triples(one, two, key).distinct()
     low = np.full(len(at), np.iinfo(np.int64).max, np.int64)
     np.minimum.at(low, which, doc)
     _, owner, kinds = np.unique(key[at], return_inverse=True, return_counts=True)
@@ -210,12 +215,14 @@ def shard(texts: list[bytes], wins: np.ndarray, order: np.ndarray) -> np.ndarray
     at = np.repeat(base, wins) + _ramp(wins)
     valid[at] = np.arange(len(at))
     sa = suffix_array(symbols)
-    sa = sa[valid[sa] >= 0]
-    begins = permuted_prefixes(data, sa, WINDOW) < WINDOW
+    kind = np.cumsum(common_prefixes(symbols, sa) < WINDOW)
+    keep = valid[sa] >= 0
+    sa, kind = sa[keep], kind[keep]
+    begins = np.ones(len(sa), bool)
+    begins[1:] = kind[1:] != kind[:-1]
     when = (np.repeat(order, wins) + _ramp(wins))[valid[sa]]
     out = np.zeros(len(at), bool)
     if len(sa):
-        begins[0] = True
         first = np.minimum.reduceat(when, np.flatnonzero(begins))
         out[valid[sa]] = first[np.cumsum(begins) - 1] < when
     return out
@@ -323,7 +330,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the removed byte ranges) of every row."""
     bound_batches(docs.sparkSession)
     schema = RESULT + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return rounds(docs, Scratch(docs.sparkSession, "suffixes"), id_col, text_col, [(_first, _reduce_first), (_second, _reduce_second)], lambda n: _last(n, spans), schema, 35)
+    return rounds(docs, Scratch(docs.sparkSession, "suffixes"), id_col, text_col, [(_first, _reduce_first), (_second, _reduce_second)], lambda n: _last(n, spans), schema, BYTES_PER_ENTRY)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

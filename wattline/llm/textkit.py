@@ -168,3 +168,42 @@ def window_ok(doc: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, bool)
     last = np.repeat(doc[1:], np.diff(doc))
     return np.arange(m) + k <= last[:m]
+
+
+class Triples:
+    """Triples of 64-bit numbers (a block: left symbol, right symbol or 0, run lengths, the right one in the upper half)."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, l: np.ndarray):
+        self.a, self.b, self.l = a, b, l
+        self.key = mix(mix(mix(a, 41) ^ b, 42) ^ l, 43)
+
+    def __len__(self):
+        return len(self.key)
+
+    def take(self, at: np.ndarray) -> Triples:
+        out = object.__new__(Triples)
+        out.a, out.b, out.l, out.key = self.a[at], self.b[at], self.l[at], self.key[at]
+        return out
+
+    @staticmethod
+    def joined(parts: list[Triples]) -> Triples:
+        cat = lambda x: np.concatenate([*x, np.zeros(0, U)])
+        return Triples(cat([p.a for p in parts]), cat([p.b for p in parts]), cat([p.l for p in parts]))
+
+    def distinct(self) -> tuple[Triples, np.ndarray, np.ndarray]:
+        """(distinct triples by key, the index among them of each of these, the place of the first of each)."""
+        order = np.argsort(self.key, kind="stable")
+        new = self._heads(order)
+        alike = ~(self.key[order[1:]] != self.key[order[:-1]])
+        if (new[1:] & alike).any():  # two triples of one key: order them by all they are
+            order = np.lexsort((self.l, self.b, self.a, self.key))
+            new = self._heads(order)
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(new) - 1
+        return self.take(order[new]), index, order[new]
+
+    def _heads(self, order: np.ndarray) -> np.ndarray:
+        new = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        new[1:] = (self.key[x] != self.key[y]) | (self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])
+        return new
