@@ -90,7 +90,7 @@ def test_blocks_of_one_key_keep_apart(monkeypatch):
     blocks.key = a % np.uint64(2)
     names, index, first = blocks.distinct()
     assert len(names) == len(set(zip(a.tolist(), b.tolist(), l.tolist())))
-    assert (index[first] == np.arange(len(names))).all() and all(i == index.tolist().index(k) for k, i in enumerate(first.tolist()))
+    assert (index[first] == np.arange(len(names))).all() and all(index.tolist().index(i) == k for i, k in enumerate(first.tolist()))
     assert (names.a[index] == a).all() and (names.b[index] == b).all() and (names.l[index] == l).all()
 
 

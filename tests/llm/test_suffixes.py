@@ -67,7 +67,7 @@ def test_suffix_array_equals_sorting(kind):
 def test_lowest():
     rng = np.random.default_rng(1)
     for n, w in ((5, 5), (200, 7), (64, 8), (9, 1)):
-        h = rng.integers(0, 9, n).astype(np.uint64)
+        h = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(24)
         assert suffixes.lowest(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(n - w + 1)]
 
 
@@ -89,3 +89,28 @@ def test_bytes_that_a_polynomial_could_not_tell_apart(spark):
     texts = [one, one.translate({97: 98, 98: 97}), one]
     got = sorted(map(tuple, suffixes.repeats_removed(docs_frame(spark, texts)).collect()))
     assert got == brute(list(enumerate(texts)))
+
+
+def test_lowest_over_more_places_than_fit(monkeypatch):
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 24, 3000).astype(np.uint64)
+    want = suffixes.lowest(h, 9).tolist()
+    upper = h >> np.uint64(24)
+    assert want == [i + int(np.argmin(upper[i : i + 9])) for i in range(len(h) - 8)]
+    monkeypatch.setattr(suffixes, "PLACE", np.uint64(255))
+    parts = [suffixes.lowest(upper[i : i + 246 + 8] << np.uint64(24), 9) + i for i in range(0, len(h) - 8, 246)]
+    assert np.concatenate(parts).tolist() == want
+
+
+def test_prints_follow_content_alone():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    p, q = suffixes.Prints(data), suffixes.Prints(data[1000:])
+    start = rng.integers(1000, 3800, 200)
+    end = start + rng.integers(8, 200, 200)
+    for x, y in zip(p.spans(start, end, 4), q.spans(start - 1000, end - 1000, 4)):
+        assert (x == y).all()
+    seen = {}
+    for a, b, x in zip(start.tolist(), end.tolist(), p.spans(start, end, 4)[0].tolist()):
+        assert seen.setdefault(x, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert (p.all(32, 3)[1000:] == q.all(32, 3)).all()

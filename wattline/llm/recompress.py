@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.common import Scratch, bound_batches, table
 from wattline.llm.exchange import Group, answer, by_range, flags_of, numbers_of, rounds, send
-from wattline.llm.textkit import Triples, Words, chunk_view, mix, powers, rolling, slices, span_hashes, window_ok
+from wattline.llm.textkit import Triples, Words, chunk_view, mix, powers, rolling, slices, span_fingerprints, window_ok
 
 WINDOW = 13
 #: Words of text around a symbol that its key covers at least.
@@ -47,56 +47,68 @@ WORD = U(1 << 63)
 
 
 class Symbols:
-    """Symbols of one round: name, words start:end, context from:to, text; contexts past a text's ends are unusable."""
+    """Symbols of one round: name, words start:end, context from:to; contexts past a text's ends are unusable.
 
-    def __init__(self, name, start, end, lo, hi, text):
-        self.name, self.start, self.end, self.lo, self.hi, self.text = name, start, end, lo, hi, text
+    ``begin`` holds the first symbol of each text that has one.
+    """
+
+    def __init__(self, name, start, end, lo, hi, begin):
+        self.name, self.start, self.end, self.lo, self.hi, self.begin = name, start, end, lo, hi, begin
 
     def __len__(self):
         return len(self.name)
 
+    def neighbours(self, far: int) -> tuple[np.ndarray, np.ndarray]:
+        """Context start of each left neighbour and context end of each right one; unusable at a text's edge."""
+        left, right = np.empty_like(self.lo), np.empty_like(self.hi)
+        left[1:], right[:-1] = self.lo[:-1], self.hi[1:]
+        left[self.begin] = -far
+        right[self.begin[1:] - 1] = right[-1] = far
+        return left, right
+
+
+def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Triples, np.ndarray, np.ndarray]:
+    """Runs and pairs of runs of a round's symbols.
 
-def _neighbours(s: Symbols, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context start of each left neighbour and context end of each right one; unusable at a text's edge."""
-    left, right = np.full(len(s), -far, np.int64), np.full(len(s), far, np.int64)
-    same = s.text[1:] == s.text[:-1]
-    left[1:][same] = s.lo[:-1][same]
-    right[:-1][same] = s.hi[1:][same]
-    return left, right
-
-
-def pair_up(s: Symbols, salt: int, far: int) -> tuple[Symbols, Triples, np.ndarray]:
-    """Runs and pairs of runs of a round's symbols: (symbols of the next round, named like their left part; their blocks; which are pairs)."""
-    n = len(s)
-    if not n:
-        return s, Triples(s.name, s.name, s.name), np.zeros(0, bool)
-    left, right = _neighbours(s, far)
-    head = np.ones(n, bool)
-    head[1:] = (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], n) - 1
-    length = (last - first + 1).astype(U)
-    run = Symbols(s.name[first], s.start[first], s.end[last], left[first], right[last], s.text[first])
+    (symbols of the next round, named like their left part; blocks that need a name; their places; places of pairs)
+    """
+    none = np.zeros(0, np.int64)
+    if not len(s):
+        return s, Triples(s.name, s.name, s.name), none, none
+    left, right = s.neighbours(far)
+    same = s.name[1:] == s.name[:-1]
+    same[s.begin[1:] - 1] = False
+    if same.any():
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        last = np.append(first[1:], len(s)) - 1
+        length = (last - first + 1).astype(U)
+        run = Symbols(s.name[first], s.start[first], s.end[last], left[first], right[last], np.searchsorted(first, s.begin))
+    else:
+        length = np.ones(len(s), U)
+        run = Symbols(s.name, s.start, s.end, left, right, s.begin)
     n = len(run)
-    right_side = (mix(run.name ^ (length * U(0xA24BAED4963EE407)), salt) >> U(63)).astype(bool)
+    right_side = ((run.name + length * U(0xA24BAED4963EE407) + U(salt)) * U(0x9FB21C651E98DF25)).view(np.int64) < 0
     opens = np.zeros(n, bool)
-    opens[:-1] = ~right_side[:-1] & right_side[1:] & (run.text[1:] == run.text[:-1])
+    opens[:-1] = right_side[1:] & ~right_side[:-1]
+    opens[run.begin[1:] - 1] = False
     closes = np.zeros(n, bool)
     closes[1:] = opens[:-1]
-    left, right = _neighbours(run, far)
-    lo, hi = run.lo.copy(), run.hi.copy()
-    alone = ~opens & ~closes
-    a, b = alone & ~right_side, alone & right_side
-    hi[a] = np.maximum(hi[a], right[a])
-    lo[b] = np.minimum(lo[b], left[b])
-    end, other = run.end.copy(), np.zeros(n, U)
+    left, right = run.neighbours(far)
+    alone = ~(opens | closes)
+    hi = np.where(alone & ~right_side, np.maximum(run.hi, right), run.hi)
+    lo = np.where(alone & right_side, np.minimum(run.lo, left), run.lo)
     at = np.flatnonzero(opens)
-    other[at] = run.name[at + 1]
-    length[at] |= length[at + 1] << U(32)
+    end = run.end.copy()
     end[at] = run.end[at + 1]
-    lo[at], hi[at] = np.minimum(run.lo[at], run.lo[at + 1]), np.maximum(run.hi[at], run.hi[at + 1])
-    keep = ~closes
-    return Symbols(run.name[keep], run.start[keep], end[keep], lo[keep], hi[keep], run.text[keep]), Triples(run.name[keep], other[keep], length[keep]), opens[keep]
+    lo[at], hi[at] = np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
+    kept = np.flatnonzero(~closes)
+    place = np.cumsum(~closes) - 1
+    named = np.flatnonzero((opens | (length > U(1))) & ~closes)
+    pair, after = opens[named], np.minimum(named + 1, n - 1)
+    other = np.where(pair, run.name[after], U(0))
+    lengths = length[named] | np.where(pair, length[after], U(0)) << U(32)
+    out = Symbols(run.name[kept], run.start[kept], end[kept], lo[kept], hi[kept], place[run.begin])
+    return out, Triples(run.name[named], other, lengths), place[named], place[at]
 
 
 class Slice:
@@ -106,28 +118,29 @@ class Slice:
         self.h, self.doc = h, doc
         n = len(h)
         self.far = n + WINDOW + 1
-        at = np.arange(n)
-        self.s = Symbols(h | WORD, at, at + 1, at, at + 1, np.repeat(np.arange(len(doc) - 1), np.diff(doc)))
+        at = np.arange(n, dtype=np.int32 if n < 1 << 30 else np.int64)
+        size = np.diff(doc)
+        self.text_end = np.repeat(doc[1:], size).astype(at.dtype)
+        self.s = Symbols(h | WORD, at, at + 1, at, at + 1, doc[:-1][size > 0])
         self.found: list[tuple] = []
         self.round = 0
 
     def blocks(self) -> Triples:
         """Enter the next round: the blocks that need a name."""
         self.round += 1
-        self.s, parts, self.pair = pair_up(self.s, 100 * self.round, self.far)
-        self.named = np.flatnonzero(self.pair | (parts.l > U(1)))
-        return parts.take(self.named)
+        self.s, found, self.named, self.pairs = pair_up(self.s, 100 * self.round, self.far)
+        return found
 
     def take(self, names: np.ndarray) -> None:
         """End the round with its names."""
         self.s.name[self.named] = names
-        s, pair, n = self.s, self.pair, len(self.h)
-        lo, hi, name, offset = s.lo[pair], s.hi[pair], s.name[pair], s.start[pair] - s.lo[pair]
-        hi = np.maximum(hi, lo + SPAN)
-        fits = (lo >= 0) & (hi - lo <= WINDOW) & (hi <= n)
-        lo, hi, name, offset = lo[fits], hi[fits], name[fits], offset[fits]
-        fits = hi <= self.doc[np.searchsorted(self.doc, lo, "right")] if len(lo) else np.zeros(0, bool)
-        self.found.append((self.round, lo[fits], hi[fits], name[fits], offset[fits]))
+        s, at, n = self.s, self.pairs, len(self.h)
+        lo = s.lo[at]
+        hi = np.maximum(s.hi[at], lo + SPAN)
+        fits = np.flatnonzero((lo >= 0) & (hi - lo <= WINDOW) & (hi <= n))
+        fits = fits[hi[fits] <= self.text_end[lo[fits]]]
+        at, lo, hi = at[fits], lo[fits], hi[fits]
+        self.found.append((self.round, lo, hi, s.name[at], s.start[at] - lo))
 
     def anchors(self) -> np.ndarray:
         """For each window start the key of the symbol it picks; 0 where no window starts.  A function of the window's words."""
@@ -139,11 +152,11 @@ class Slice:
         total[0] = 0
         np.cumsum(h * power[:n], out=total[1:])
         lo = np.flatnonzero(window_ok(doc, SPAN))
-        words = (0, lo, lo + SPAN, self.h[lo], np.zeros(len(lo), np.int64))
+        words = (0, lo, lo + SPAN, h[lo], np.zeros(len(lo), np.int64))
         for r, lo, hi, name, offset in [*reversed(self.found), words]:
             if not len(open_) or not len(lo):
                 continue
-            k = mix((total[hi] - total[lo]) * inverse[lo] ^ (offset.astype(U) << U(8)) ^ U(r), 31) ^ mix(name, 32)
+            k = mix((total[hi] - total[lo]) * inverse[lo] + name * U(0xD6E8FEB86659FD93) + (offset.astype(U) << U(8) | U(r)), 31)
             begins = np.concatenate([[0], np.cumsum(np.bincount(lo, minlength=n + WINDOW + 1))])
             ends = np.concatenate([[0], np.cumsum(np.bincount(hi, minlength=n + WINDOW + 1))])
             i, j = begins[open_], ends[open_ + WINDOW + 1]
@@ -180,11 +193,11 @@ class Parsed:
         for i, j in slices(group.off):
             words = Words(group.data[group.off[i] : group.off[j]], group.off[i : j + 1] - group.off[i])
             view = chunk_view(words.data)
-            h = span_hashes(words.data, words.start, words.end, 0, view)
+            h, *other = span_fingerprints(view, words.start, words.end, (0, 1) if hashes else (0,))
             parts.append(Slice(h, words.doc))
             counts.append(np.diff(words.doc))
             if hashes:
-                wins.append((_windows(h, 5), _windows(span_hashes(words.data, words.start, words.end, 1, view), 6)))
+                wins.append((_windows(h, 5), _windows(other[0], 6)))
         for r in range(1, upto + 1):
             found = [p.blocks() for p in parts]
             if r < ROUNDS:
@@ -203,21 +216,28 @@ class Parsed:
         self.n_words = np.concatenate([*counts, np.zeros(0, np.int64)])
         self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
         self.at = np.flatnonzero(self.key)
-
-    def symbols(self) -> np.ndarray:
-        return np.unique(self.key[self.at])
-
-    def windows(self, at: np.ndarray, group: Group) -> tuple[Triples, np.ndarray, np.ndarray]:
-        """Of windows at ``at``: (distinct ones, smallest document of each, index of each)."""
-        return smallest(Triples(self.win[0][at], self.win[1][at], np.zeros(len(at), U)), group.id[self.row[at]])
-
-
-def smallest(windows: Triples, ids: np.ndarray) -> tuple[Triples, np.ndarray, np.ndarray]:
-    """(distinct windows, smallest id of each, index of each entry's window)."""
-    names, index, _ = windows.distinct()
-    low = np.full(len(names), np.iinfo(np.int64).max, np.int64)
-    np.minimum.at(low, index, ids)
-    return names, low, index
+        #: Windows in a row under one symbol: their key's index among ``symbols``, and how many they are.
+        key = self.key[self.at]
+        head = np.ones(len(key), bool)
+        head[1:] = (key[1:] != key[:-1]) | (np.diff(self.at) > 1)
+        first = np.flatnonzero(head)
+        self.run = np.diff(np.append(first, len(key)))
+        key = key[first]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.symbols = key[new]
+        self.kind = np.empty(len(key), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+
+    def windows(self, picked: np.ndarray, group: Group) -> tuple[np.ndarray, Triples, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows whose symbol is ``picked``: (their positions, distinct ones, smallest document of each, index of each, first of each)."""
+        at = self.at[np.repeat(picked[self.kind], self.run)]
+        names, index, first = Triples(self.win[0][at], self.win[1][at], np.zeros(len(at), U)).distinct()
+        low = np.full(len(names), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(low, index, group.id[self.row[at]])
+        return at, names, low, index, first
 
 
 def _send_blocks(r: int):
@@ -250,7 +270,7 @@ def _name_blocks(step: int):
 
 def _send_symbols(reducers: int):
     def work(group, answers):
-        keys = Parsed(group, answers, reducers).symbols()
+        keys = Parsed(group, answers, reducers).symbols
         return send(group.g, by_range(keys, reducers), [keys])
 
     return work
@@ -263,18 +283,15 @@ def _share_symbols(senders, bodies, r):
     return answer(senders, r, ROUNDS, n[inverse] > 1, counts)
 
 
-def _shared_windows(p: Parsed, group: Group, answers: pa.Table, reducers: int):
-    """(windows whose symbol other groups hold too, as positions; distinct ones; smallest document; index)."""
-    symbols = p.symbols()
-    flags = flags_of(answers, ROUNDS, by_range(symbols, reducers))
-    at = p.at[flags[np.searchsorted(symbols, p.key[p.at])]]
-    return at, *p.windows(at, group)
+def _shared(p: Parsed, answers: pa.Table, reducers: int) -> np.ndarray:
+    """Whether other groups hold each symbol too."""
+    return flags_of(answers, ROUNDS, by_range(p.symbols, reducers))
 
 
 def _send_windows(reducers: int):
     def work(group, answers):
         p = Parsed(group, answers, reducers, hashes=True)
-        _, names, low, _ = _shared_windows(p, group, answers, reducers)
+        _, names, low, _, _ = p.windows(_shared(p, answers, reducers), group)
         return send(group.g, by_range(names.key, reducers), [names.a, names.b, low])
 
     return work
@@ -283,7 +300,9 @@ def _send_windows(reducers: int):
 def _first_windows(senders, bodies, r):
     """Bit: another group holds the window in a smaller document than any of the sender's."""
     (a, b, ids), counts = _columns(bodies, (U, U, np.int64))
-    _, low, index = smallest(Triples(a, b, np.zeros(len(a), U)), ids)
+    names, index, _ = Triples(a, b, np.zeros(len(a), U)).distinct()
+    low = np.full(len(names), np.iinfo(np.int64).max, np.int64)
+    np.minimum.at(low, index, ids)
     return answer(senders, r, ROUNDS + 1, low[index] < ids, counts)
 
 
@@ -294,12 +313,17 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _removed(group: Group, answers: pa.Table, reducers: int) -> tuple[Parsed, np.ndarray]:
     """(windows, flag of each word that goes)."""
     p = Parsed(group, answers, reducers, hashes=True)
-    at, names, _, index = _shared_windows(p, group, answers, reducers)
+    shared = _shared(p, answers, reducers)
+    several = np.bincount(p.kind, minlength=len(p.symbols)) > 1
+    at, names, low, index, first = p.windows(shared | several, group)
+    # Distinct windows come in the order in which the shared ones among them were sent.
+    of_shared = np.zeros(len(p.key), bool)
+    of_shared[p.at] = np.repeat(shared[p.kind], p.run)
+    sent = of_shared[at[first]]
+    earlier = np.zeros(len(names), bool)
+    earlier[sent] = flags_of(answers, ROUNDS + 1, by_range(names.key[sent], reducers))
     gone = np.zeros(len(p.key), bool)
-    if len(names):
-        gone[at] = flags_of(answers, ROUNDS + 1, by_range(names.key, reducers))[index]
-    _, low, index = p.windows(p.at, group)
-    gone[p.at] |= low[index] < group.id[p.row[p.at]]
+    gone[at] = earlier[index] | (low[index] < group.id[p.row[at]])
     mark = np.zeros(len(gone) + WINDOW + 1, np.int32)
     at = np.flatnonzero(gone)
     mark[at] += 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattline.llm.common import Scratch, bound_batches, table
 from wattline.llm.exchange import Group, answer, by_range, flags_of, rounds, rows_to, stretches
 from wattline.llm.induced import common_prefixes, suffix_array
-from wattline.llm.textkit import Triples, chunk_view, mix, powers, slices, span_hashes
+from wattline.llm.textkit import Triples, chunk_view, mix, powers, slices
 
 WINDOW = 100
 GRAM = 32
@@ -43,33 +43,62 @@ SHARD_BYTES = 2 << 20
 U = np.uint64
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    power, _ = powers(len(data))
-    total = np.empty(len(data) + 1, U)
-    total[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    return total
+#: Fingerprints are compared by their upper 40 bits; the lower ones make room for places.
+PLACE = U((1 << 24) - 1)
+
+
+class Prints:
+    """Fingerprints of any byte ranges of at least 8 bytes, from sums over their 8-byte strings.
+
+    Each 8-byte string is scrambled before it is weighted by its place, so no algebra of
+    the bytes survives.
+    """
+
+    def __init__(self, data: np.ndarray):
+        n = max(0, len(data) - 7)
+        self.power, self.inverse = powers(n)
+        self.eight = mix(chunk_view(data)[:n], 2)
+        self.one, self.two = self._sums(self.eight), None
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        total = np.empty(len(x) + 1, U)
+        total[0] = 0
+        np.cumsum(x * self.power[: len(x)], out=total[1:])
+        return total
+
+    def all(self, size: int, salt: int) -> np.ndarray:
+        """One fingerprint of each range of ``size`` bytes."""
+        m = size - 7
+        return mix((self.one[m:] - self.one[:-m]) * self.inverse[: len(self.one) - m], salt)
+
+    def spans(self, start: np.ndarray, end: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent fingerprints of each range start:end."""
+        if self.two is None:
+            self.two = self._sums(mix(self.eight, 9))
+        size, back = (end - start).astype(U), self.inverse[start]
+        return tuple(mix((total[end - 7] - total[start]) * back + size * U(0xA0761D6478BD642F), salt + k) for k, total in enumerate((self.one, self.two)))
 
 
 def lowest(h: np.ndarray, w: int) -> np.ndarray:
-    """For each i the place of the first smallest of h[i:i+w] (length: len(h) - w + 1)."""
+    """For each i the place of the first smallest of h[i:i+w], by upper bits (length: len(h) - w + 1)."""
     n = len(h)
     m = n - w + 1
+    if n > int(PLACE):
+        return _lowest_far(h >> U(24), w)
     rows = -(-n // w)
     x = np.full(rows * w, np.iinfo(np.uint64).max, U)
-    x[:n] = h
+    np.bitwise_or(h & ~PLACE, np.arange(n, dtype=U), out=x[:n])
     x = x.reshape(rows, w)
-    at = np.arange(rows * w, dtype=np.int64).reshape(rows, w)
-    pre = np.minimum.accumulate(x, axis=1)
-    new = np.ones((rows, w), bool)
-    new[:, 1:] = x[:, 1:] < pre[:, :-1]
-    pre_at = np.maximum.accumulate(np.where(new, at, 0), axis=1).ravel()
-    suf = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1]
-    new[:, :-1] = x[:, :-1] <= suf[:, 1:]
-    new[:, -1] = True
-    suf_at = np.minimum.accumulate(np.where(new, at, rows * w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    a, b = suf.ravel()[:m], pre.ravel()[w - 1 : n]
-    return np.where(a <= b, suf_at[:m], pre_at[w - 1 : n])
+    pre = np.minimum.accumulate(x, axis=1).ravel()
+    suf = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(suf[:m], pre[w - 1 : n]) & PLACE).astype(np.int64)
+
+
+def _lowest_far(h: np.ndarray, w: int) -> np.ndarray:
+    """The same in parts that places fit into."""
+    step = int(PLACE) - w
+    parts = [lowest(h[i : i + step + w - 1] << U(24), w) + i for i in range(0, len(h) - w + 1, step)]
+    return np.concatenate(parts)
 
 
 class Pieces:
@@ -84,9 +113,8 @@ class Pieces:
             n = len(data)
             if n < WINDOW:
                 continue
-            total = _prefix(data)
-            inverse = powers(n)[1]
-            h = mix((total[GRAM:] - total[: n - GRAM + 1]) * inverse[: n - GRAM + 1], 3)
+            prints = Prints(data)
+            h = prints.all(GRAM, 3)
             at = lowest(h, WINDOW - GRAM + 1)
             ok = np.zeros(len(at) + 1, np.int32)
             full = np.flatnonzero(np.diff(off) >= WINDOW)
@@ -101,9 +129,8 @@ class Pieces:
             start.append(s + base)
             wins.append(runs.astype(np.int64))
             key.append(mix(h[at[s]], 7))  # smallest fingerprints are small: spread them again
-            view, end = chunk_view(data), s + runs + WINDOW - 1
-            one.append(span_hashes(data, s, end, 4, view))
-            two.append(span_hashes(data, s, end, 5, view))
+            for out, found in zip((one, two), prints.spans(s, s + runs + WINDOW - 1, 4), strict=True):
+                out.append(found)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.wins, self.key = cat(start, np.int64), cat(wins, np.int64), cat(key, U)
         self.content = Triples(cat(one, U), cat(two, U), self.key)
@@ -136,8 +163,7 @@ class Sent:
                 lo, hi = np.searchsorted(self.hot_at, a), np.searchsorted(self.hot_at, b)
                 if lo < hi:
                     data, x = group.data[a:b], self.hot_at[lo:hi] - a
-                    view = chunk_view(data)
-                    one[lo:hi], two[lo:hi] = span_hashes(data, x, x + WINDOW, 6, view), span_hashes(data, x, x + WINDOW, 7, view)
+                    one[lo:hi], two[lo:hi] = Prints(data).spans(x, x + WINDOW, 6)
             windows, self.hot_kind, first = Triples(one, two, np.zeros(len(one), U)).distinct()
             names = windows.key
             self.hot_first = first
@@ -196,9 +222,10 @@ def _second(reducers: int):
         size = s.n + WINDOW - 1
         parted, body = stretches(s.reducer), []
         doc = group.id[p.row_of(s.at)]
+        whole, end = group.data.tobytes(), s.at + size
         for _, a, b in parted:
-            text = group.data[np.repeat(s.at[a:b], size[a:b]) + _ramp(size[a:b])]
-            body.append(b"".join([struct.pack(HEAD, b - a), s.key[a:b].tobytes(), doc[a:b].tobytes(), s.at[a:b].tobytes(), s.n[a:b].astype(np.uint32).tobytes(), text.tobytes()]))
+            text = [whole[x:y] for x, y in zip(s.at[a:b].tolist(), end[a:b].tolist(), strict=True)]
+            body.append(b"".join([struct.pack(HEAD, b - a), s.key[a:b].tobytes(), doc[a:b].tobytes(), s.at[a:b].tobytes(), s.n[a:b].astype(np.uint32).tobytes(), *text]))
         return rows_to(group.g, [k for k, _, _ in parted], body)
 
     return work
@@ -288,10 +315,7 @@ def _removed(group: Group, answers: pa.Table, reducers: int) -> np.ndarray:
     p = Pieces(group)
     s = Sent(p, answers, reducers)
     bits = flags_of(answers, 2, s.reducer, s.n)
-    mark = np.zeros(len(group.data) + 1, np.int32)
     again = np.concatenate([np.flatnonzero(~p.is_first), s.late])
-    np.add.at(mark, p.start[again], 1)
-    np.add.at(mark, p.start[again] + p.wins[again] + WINDOW - 1, -1)
     where = (np.repeat(s.at, s.n) + _ramp(s.n))[bits]
     if len(s.hot_at):
         place = np.empty(len(s.order), np.int64)
@@ -299,9 +323,10 @@ def _removed(group: Group, answers: pa.Table, reducers: int) -> np.ndarray:
         late = bits[place[s.n_plain :]][s.hot_kind]
         late |= np.arange(len(s.hot_at)) != s.hot_first[s.hot_kind]
         where = np.concatenate([where, s.hot_at[late]])
-    np.add.at(mark, where, 1)
-    np.add.at(mark, where + WINDOW, -1)
-    return np.cumsum(mark)[:-1] > 0
+    n = len(group.data) + 1
+    begins = np.bincount(np.concatenate([p.start[again], where]), minlength=n)
+    ends = np.bincount(np.concatenate([p.start[again] + p.wins[again] + WINDOW - 1, where + WINDOW]), minlength=n)
+    return np.cumsum(begins - ends)[:-1] > 0
 
 
 def _last(reducers: int, spans: bool = False):

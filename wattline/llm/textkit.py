@@ -17,7 +17,7 @@ from wattline.llm.common import worker_cache
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 M1, M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 128 << 10
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -114,15 +114,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
     Each 8 bytes are scrambled on their own, with their place, before they are added up, so
     no algebra of the bytes survives; ranges of one length of up to 8 bytes never collide.
     """
-    view = chunk_view(data) if view is None else view
+    return span_fingerprints(chunk_view(data) if view is None else view, start, end, (salt,))[0]
+
+
+def span_fingerprints(view: np.ndarray, start: np.ndarray, end: np.ndarray, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """``span_hashes`` for several salts, from bytes that are read once."""
     size = end - start
-    h = mix((view[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * U(0xA0761D6478BD642F), 2 * salt)
+    head = (view[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * U(0xA0761D6478BD642F)
+    out = [mix(head, 2 * salt) for salt in salts]
     long = np.flatnonzero(size > 8)
     if len(long):
         c, first, place = chunks(view, start[long] + 8, end[long])
-        c = mix(c ^ mix(place.astype(np.uint64), 2 * salt + 1), 2 * salt + 1)
-        h[long] = mix(h[long] + np.add.reduceat(c, first), 2 * salt)
-    return h
+        where = mix(np.arange(int(place.max()) + 1, dtype=np.uint64), 1)[place]
+        for h, salt in zip(out, salts, strict=True):
+            h[long] = mix(h[long] + np.add.reduceat(mix(c ^ where, 2 * salt + 1), first), 2 * salt)
+    return out
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +186,7 @@ class Triples:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, l: np.ndarray):
         self.a, self.b, self.l = a, b, l
-        self.key = mix(mix(mix(a, 41) ^ b, 42) ^ l, 43)
+        self.key = mix(a + b * U(0xD6E8FEB86659FD93) + l * U(0xA0761D6478BD642F), 41)
 
     def __len__(self):
         return len(self.key)
@@ -192,18 +203,18 @@ class Triples:
 
     def distinct(self) -> tuple[Triples, np.ndarray, np.ndarray]:
         """(distinct triples by key, the index among them of each of these, the place of the first of each)."""
-        order = np.argsort(self.key, kind="stable")
-        new = self._heads(order)
-        alike = ~(self.key[order[1:]] != self.key[order[:-1]])
-        if (new[1:] & alike).any():  # two triples of one key: order them by all they are
+        n = len(self.key)
+        order = np.argsort(self.key)
+        key = self.key[order]
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        again = np.flatnonzero(~new)
+        x, y = order[again], order[again - 1]
+        if ((self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])).any():  # two triples of one key: order them by all they are
             order = np.lexsort((self.l, self.b, self.a, self.key))
-            new = self._heads(order)
-        index = np.empty(len(order), np.int64)
+            x, y = order[1:], order[:-1]
+            new[1:] = (self.key[x] != self.key[y]) | (self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])
+        index = np.empty(n, np.int64)
         index[order] = np.cumsum(new) - 1
-        return self.take(order[new]), index, order[new]
-
-    def _heads(self, order: np.ndarray) -> np.ndarray:
-        new = np.ones(len(order), bool)
-        x, y = order[1:], order[:-1]
-        new[1:] = (self.key[x] != self.key[y]) | (self.a[x] != self.a[y]) | (self.b[x] != self.b[y]) | (self.l[x] != self.l[y])
-        return new
+        first = np.minimum.reduceat(order, np.flatnonzero(new)) if n else order
+        return self.take(first), index, first
