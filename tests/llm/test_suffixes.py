@@ -55,8 +55,10 @@ def test_equal_ids_nulls_and_empty(spark):
     assert suffixes.repeats_removed(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 20, 1 << 15])
 @pytest.mark.parametrize("kind", range(8))
-def test_suffix_array_equals_sorting(kind):
+def test_suffix_array_equals_sorting(kind, least, monkeypatch):
+    monkeypatch.setattr(induced, "LEAST", least)
     rng = np.random.default_rng(kind)
     n = [0, 1, 2, 300, 300, 300, 2000, 1000][kind]
     t = [rng.integers(1, 3, n), np.ones(n, int), rng.integers(1, 300, n), np.tile([1, 2], n // 2), np.tile([3, 1, 2, 1], n // 4), np.arange(n) + 1, rng.integers(1, 4, n), np.full(n, 7)][kind]

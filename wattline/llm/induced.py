@@ -2,7 +2,8 @@
 
 Suffixes are classed S (smaller than the next) or L; leftmost S suffixes' substrings
 are sorted by inducing from their first symbols, named, and if names repeat the
-string of names is sorted the same way; their order then induces all suffixes.
+string of names is sorted the same way, down to strings of ``LEAST`` names, whose
+prefixes are doubled; their order then induces all suffixes.
 Scans go through the array in blocks: a block's entries induce at once up to the
 first slot that one of them fills, so order is that of a scan entry by entry.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 1 << 15
+#: Shorter strings of names end the recursion.
+LEAST = 1 << 15
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -95,6 +98,22 @@ def _induce(t: np.ndarray, s: np.ndarray, bounds: np.ndarray, seeds: np.ndarray)
     return sa
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Start of each suffix in order, by ranks of prefixes of doubled length."""
+    n, k, rank = len(names), 1, names
+    while True:
+        after = np.zeros(n, np.int64)
+        after[:-k] = rank[k:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        if rank[order[-1]] == n - 1:
+            return order
+        k *= 2
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start of each suffix in order.  ``text`` holds small integers of at least 1."""
     n = len(text) + 1
@@ -126,7 +145,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if int(name[-1]) + 1 < len(by):
         names = np.empty(n, np.int64)
         names[by] = name
-        by = np.append(n - 1, lms[suffix_array(names[lms[:-1]])])
+        string = names[lms[:-1]]
+        by = np.append(n - 1, lms[_doubled(string) if len(string) < LEAST else suffix_array(string)])
     return _induce(t, s, bounds, by)[1:]
 
 
