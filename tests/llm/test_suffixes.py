@@ -55,7 +55,7 @@ def test_equal_ids_nulls_and_empty(spark):
     assert suffixes.repeats_removed(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("least", [0, 20, 1 << 15])
+@pytest.mark.parametrize("least", [0, 20, 1 << 17])
 @pytest.mark.parametrize("kind", range(8))
 def test_suffix_array_equals_sorting(kind, least, monkeypatch):
     monkeypatch.setattr(induced, "LEAST", least)

@@ -14,7 +14,7 @@ import numpy as np
 
 BLOCK = 1 << 15
 #: Shorter strings of names end the recursion.
-LEAST = 1 << 15
+LEAST = 1 << 17
 
 
 def _types(t: np.ndarray) -> np.ndarray:
