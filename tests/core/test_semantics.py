@@ -14,6 +14,9 @@ from wattline.sources import readers, sinks
 from wattline.streaming import online
 
 
+SHORT = "no_sustained_historical_envelope_exceedance"
+
+
 def series(spark, values, key="a"):
     return spark.createDataFrame([(key, i, None if v is None else float(v)) for i, v in enumerate(values)], "series_id string, slot long, v double")
 
@@ -106,7 +109,7 @@ def test_directions_never_join(spark):
     rows = [("a", i, v, 0.0, 10.0, 1.0, 0.5, 20.0, 99.5, 99.5, True) for i, v in enumerate([30.0, -30.0, 30.0, 30.0, 30.0])]
     df = spark.createDataFrame(rows, "series_id string, slot long, value double, lower double, upper double, effect double, jump double, jump_in double, short double, medium double, current_beyond boolean")
     runs = detect.triage_reasons(detect.direction_runs(df, ["series_id"], "slot"))
-    assert [(r.direction, r.start, r.end, r.reasons, r.core) for r in runs.orderBy("start").collect()] == [(1, 0, 1, "too_short", False), (-1, 1, 2, "too_short", False), (1, 2, 5, "", True)]
+    assert [(r.direction, r.start, r.end, r.reasons, r.core) for r in runs.orderBy("start").collect()] == [(1, 0, 1, SHORT, False), (-1, 1, 2, SHORT, False), (1, 2, 5, "", True)]
 
 
 def test_projection_and_refinement(spark):
@@ -173,6 +176,13 @@ def test_contract_checks(spark):
     df = df.withColumns({"interval_start": F.timestamp_seconds(F.lit(60)), "interval_end": F.timestamp_seconds(F.lit(120))})
     got = contract.validate(df, ["lof"]).first()
     assert (got.unknown_model, got.not_frozen, got.wrong_duration, got.off_grid, got.percentile_out_of_range, got.unknown_flag, got.duplicates) == (2, 2, 2, 2, 2, 2, 1)
+    blank = spark.createDataFrame([{f.name: None for f in contract.SCORES}], contract.SCORES)
+    got = contract.validate(blank, ["lof"]).first()
+    assert (got.unknown_model, got.missing_series, got.unreadable_instant, got.not_frozen, got.wrong_duration, got.off_grid) == (1,) * 6
+    mp = blank.withColumns({"model": F.lit("matrix_profile"), "data_status": F.lit("observed"), "max_percentile": F.lit(1 + 1e-12), "mean_percentile": F.lit(float("nan"))})
+    got = contract.validate(mp, ["matrix_profile"]).first()
+    assert (got.unknown_model, got.undisclosed_resampling, got.percentile_out_of_range) == (0, 1, 1)
+    assert contract.normalised(mp).first().max_percentile == 1.0 and contract.normalised(mp).first().is_anomaly is False
     assert contract.validate(spark.createDataFrame([], contract.SCORES), ["lof"]).first().duplicates == 0
 
 
@@ -344,7 +354,8 @@ def test_scores_union_status_and_sinks(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out/t"))
     assert sinks.same_rows(a, back) and len(sinks.signature({"x": 1}, back).first().signature) == 64
     (tmp_path / "s").mkdir()
-    a.write.parquet(str(tmp_path / "s" / "one_scores_15min.parquet"))
+    blank = spark.createDataFrame([{f.name: None for f in contract.SCORES} | {"model": "m", "available": True}], contract.SCORES)
+    blank.write.parquet(str(tmp_path / "s" / "one_scores_15min.parquet"))
     assert readers.score_files(spark, str(tmp_path / "s")).count() == 1
 
 

@@ -11,6 +11,26 @@ def parse_bool(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
 
+def review_flag(c: Column) -> Column:
+    """Three-valued truth of a review flag: empty, null or anything else than a truth word stays unknown."""
+    word = F.lower(F.trim(c.cast("string")))
+    return F.when(word.isin("true", "1", "1.0", "yes"), F.lit(True)).when(word.isin("false", "0", "0.0", "no"), F.lit(False))
+
+
+def iso_format(c: Column, zone: str = "UTC") -> Column:
+    """An instant as ISO 8601 text with the offset of ``zone`` at that instant."""
+    local = F.from_utc_timestamp(c, zone)
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(c)) / 60).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
+    return F.concat(F.date_format(F.to_utc_timestamp(local, "UTC"), "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def category_label(number: Column, name: Column) -> Column:
+    """``name (number)``, whichever of the two is known, or ``uncategorised``."""
+    both = F.when(name.isNotNull() & number.isNotNull(), F.format_string("%s (%d)", name, number))
+    return F.coalesce(both, name, F.when(number.isNotNull(), F.format_string("category %d", number)), F.lit("uncategorised"))
+
+
 def finite(c: Column) -> Column:
     """The number, or null if it can't be read or isn't finite."""
     x = F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")

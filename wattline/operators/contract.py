@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.functions.scalars import parse_bool
 from wattline.operators.islands import islands
 
 SCORES = T.StructType(
@@ -26,36 +27,54 @@ SCORES = T.StructType(
         T.StructField("available", T.BooleanType()),
     ]
 )
-EVENTS = ("model", "event_id", "series_id", "start", "end", "duration_minutes", "max_raw_score", "mean_raw_score", "max_score_percentile", "threshold", "interval_count", "calibration_version")
-METRICS = ("raw_score", "max_score", "mean_score", "score_std", "max_percentile", "mean_percentile", "is_anomaly", "available")
+#: The measures of a model in the wide table.
+METRICS = ("max_percentile", "mean_percentile", "max_score", "mean_score", "available", "source_resolution_minutes", "data_status", "aggregation_method")
+#: Models whose rows must say that they were resampled, with the status and the minutes they must name.
+DISCLOSED = {"matrix_profile": ("upsampled_from_30m", 30)}
+#: How far a percentile may lie outside of 0..1 before it is clipped.
+TOLERANCE = 1e-9
 
 
 def missing_columns(df: DataFrame) -> list[str]:
     return [f.name for f in SCORES if f.name not in df.columns]
 
 
-def validate(scores: DataFrame, models: Sequence[str], minutes: int = 15) -> DataFrame:
-    """One row of violation counts: zero everywhere means the scores honour the contract."""
+def validate(scores: DataFrame, models: Sequence[str], minutes: int = 15, disclosed: Mapping[str, tuple[str, int]] = DISCLOSED) -> DataFrame:
+    """One row of violation counts: zero everywhere means the scores honour the contract.  Nulls violate what needs a value."""
     start, end = F.unix_seconds("interval_start"), F.unix_seconds("interval_end")
-    count = lambda c, name: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(name)
-    off = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    unless = lambda c: ~F.coalesce(c, F.lit(False))
+    where = lambda c: F.coalesce(c, F.lit(False))
+    off = lambda c: where((F.col(c) < -TOLERANCE) | (F.col(c) > 1 + TOLERANCE) | F.isnan(c))
+    undisclosed = F.lit(False)
+    for model, (status, resolution) in disclosed.items():
+        undisclosed = undisclosed | (where(F.col("model") == model) & unless((F.col("data_status") == status) & (F.col("source_resolution_minutes") == resolution)))
     per = scores.groupBy("model", "series_id", "interval_start").agg(F.count("*").alias("n"))
     checks = scores.agg(
-        count(~F.col("model").isin(*models), "unknown_model"),
-        count(F.col("calibration_version").contains("not_frozen"), "not_frozen"),
-        count(end - start != 60 * minutes, "wrong_duration"),
-        count(F.pmod(start, F.lit(60 * minutes)) != 0, "off_grid"),
+        count(unless(F.col("model").isin(*models)), "unknown_model"),
+        count(F.col("series_id").isNull(), "missing_series"),
+        count(F.col("interval_start").isNull() | F.col("interval_end").isNull(), "unreadable_instant"),
+        count(unless(~F.col("calibration_version").contains("not_frozen")), "not_frozen"),
+        count(unless(end - start == 60 * minutes), "wrong_duration"),
+        count(unless(F.pmod(start, F.lit(60 * minutes)) == 0), "off_grid"),
         count(off("max_percentile") | off("mean_percentile"), "percentile_out_of_range"),
-        count(F.coalesce(F.col("available"), F.lit(False)) & F.col("is_anomaly").isNull(), "unknown_flag"),
+        count(where(F.col("available")) & F.col("is_anomaly").isNull(), "unknown_flag"),
+        count(undisclosed, "undisclosed_resampling"),
     )
     return checks.crossJoin(per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")))
 
 
+def normalised(scores: DataFrame) -> DataFrame:
+    """Scores as later steps take them: percentiles clipped to 0..1, flags as truth values (unknown is false)."""
+    percentiles = {c: F.when(F.col(c).isNotNull(), clipped(F.col(c))) for c in ("max_percentile", "mean_percentile")}
+    return scores.withColumns(percentiles | {c: parse_bool(F.col(c)) for c in ("available", "is_anomaly")})
+
+
 def clipped(c: Column) -> Column:
     return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
 
 
-def wide(scores: DataFrame, grid: DataFrame, models: Sequence[str], metrics: Sequence[str], slot: str = "slot") -> DataFrame:
+def wide(scores: DataFrame, grid: DataFrame, models: Sequence[str], metrics: Sequence[str] = METRICS, slot: str = "slot") -> DataFrame:
     """One row per series and slot, model_metric columns; availability is false where no score is."""
     pivoted = scores.groupBy("series_id", slot).pivot("model", list(models)).agg(*[F.first(m).alias(m) for m in metrics])
     out = grid.join(pivoted, ["series_id", slot], "left")

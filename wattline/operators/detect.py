@@ -61,13 +61,24 @@ def flatline_events(flat: DataFrame, history: DataFrame, keys: Sequence[str], va
     return typical.where((F.col("usual_range") > max(10 * tol, 0.05)) & ~calm).withColumn("confidence", F.lit("physical"))
 
 
-def magnitude_runs(rows: DataFrame, keys: Sequence[str], slot: str, *, least: int = 3, support: int = 6, percentile: float = 99.5) -> DataFrame:
+def near_start(rows: DataFrame, keys: Sequence[str], slot: str, *, before: int = 2, after: int = 1) -> DataFrame:
+    """Evidence that may admit a run that starts at a row: a jump into it or into the row before, a change point near it.
+
+    Columns jump_in, jump and change become jump_near and change_near; rows are the whole grid of a key.
+    """
+    w = Window.partitionBy(*keys).orderBy(slot)
+    jump = F.coalesce(F.col("jump_in") > F.col("jump"), F.lit(False))
+    near = F.max(F.coalesce(F.col("change"), F.lit(False))).over(w.rangeBetween(-before, after))
+    return rows.withColumn("__j", jump).withColumn("jump_near", F.col("__j") | F.coalesce(F.max("__j").over(w.rangeBetween(-1, -1)), F.lit(False))).withColumn("change_near", near).drop("__j")
+
+
+def magnitude_runs(rows: DataFrame, keys: Sequence[str], slot: str, *, least: int = 3, support: int = 6, percentile: float = 99.5, more: Sequence[Column] = ()) -> DataFrame:
     """Runs of points beyond the envelope by more than the effect; columns value, lower, upper, effect, support, percentile, quality."""
     excess = F.greatest(F.col("value") - F.col("upper"), F.col("lower") - F.col("value"))
     rows = rows.withColumn("excess", excess)
     hit = (F.col("excess") > F.col("effect")) & (F.col("percentile") >= percentile) & (F.col("support") >= support) & ~F.col("quality")
     runs = islands(rows.where(hit), keys, slot, gap=1)
-    agg = runs.groupBy(*keys, "island").agg(F.min(slot).alias("start"), (F.max(slot) + 1).alias("end"), F.count("*").alias("n"), F.max("excess").alias("peak"), F.first("effect").alias("effect"), F.max("jumped").alias("jumped"))
+    agg = runs.groupBy(*keys, "island").agg(F.min(slot).alias("start"), (F.max(slot) + 1).alias("end"), F.count("*").alias("n"), F.max("excess").alias("peak"), F.first("effect").alias("effect"), F.max("jumped").alias("jumped"), *more)
     return agg.where(F.col("n") >= least).drop("island")
 
 
@@ -90,17 +101,24 @@ def direction_runs(rows: DataFrame, keys: Sequence[str], slot: str) -> DataFrame
 def triage_reasons(runs: DataFrame, least: int = 3) -> DataFrame:
     """Failed guards of each run in fixed order, and whether it is a priority core (none failed)."""
     guards = [
-        (F.col("n") >= least, "too_short"),
-        (F.col("peak") >= 2 * F.col("effect"), "weak_effect"),
-        (F.col("onset") > F.col("jump"), "no_onset"),
-        (((F.col("short") >= 99) & (F.col("medium") >= 99)) | (F.col("current_share") >= 0.5), "unconfirmed"),
+        (F.col("n") >= least, "no_sustained_historical_envelope_exceedance"),
+        (F.col("peak") >= 2 * F.col("effect"), "insufficient_peak_power_effect"),
+        (F.col("onset") > F.col("jump"), "no_abrupt_onset_above_frozen_jump_guard"),
+        (((F.col("short") >= 99) & (F.col("medium") >= 99)) | (F.col("current_share") >= 0.5), "no_multiscale_or_current_confirmation"),
     ]
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), name) for g, name in guards]))
     return runs.withColumn("reasons", F.array_join(reasons, "|")).withColumn("core", F.col("reasons") == "")
 
 
 def queue(kind: Column, has_reference: Column, has_core: Column) -> Column:
-    return F.when(kind == "data_quality", "data_quality").when(~has_reference, "operating_change_review").when(has_core, "priority").otherwise("operating_change_review")
+    return F.when(kind == "data_quality", "data_quality").when(~has_reference, "operating_change_review").when(has_core, "priority_alert").otherwise("operating_change_review")
+
+
+def lof_bins(points: DataFrame, keys: Sequence[str], slot: str, score: str, flag: str, width: int = 3) -> DataFrame:
+    """Bins of ``width`` points: greatest, mean and deviation (population) of the score, points and flags, coverage, whether complete, and any flag (unknown without one)."""
+    bins = points.withColumn("bin", F.floor(F.col(slot) / width).cast("long")).groupBy(*keys, "bin")
+    out = bins.agg(F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("score_std"), F.count(score).alias("n_points"), F.sum(F.col(flag).cast("int")).cast("long").alias("n_flags"), F.max(flag).alias("is_anomaly"))
+    return out.withColumns({"coverage_ratio": F.col("n_points") / F.lit(width), "complete": F.col("n_points") == width})
 
 
 def trigger(short: Column, medium: Column, magnitude: Column, limit: float = 0.995) -> Column:

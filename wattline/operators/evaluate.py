@@ -26,10 +26,19 @@ def confusion(rows: DataFrame, keys: Sequence[str], flag: Column, truth: Column)
 
 
 def votes(scores: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """any, at least two, all present models."""
-    flag = F.coalesce("is_anomaly", F.lit(False))
-    n = scores.groupBy(*keys).agg(F.sum(flag.cast("int")).alias("n_flags"), F.count("*").alias("n_models"))
-    return n.select(*keys, (F.col("n_flags") >= 1).alias("any"), (F.col("n_flags") >= 2).alias("two"), (F.col("n_flags") == F.col("n_models")).alias("all"))
+    """any, at least two, all of ``models``: a model without a row doesn't flag, other models have no vote."""
+    flagged = F.when(F.coalesce("is_anomaly", F.lit(False)) & F.col("model").isin(*models), F.col("model"))
+    n = scores.groupBy(*keys).agg(F.count_distinct(flagged).alias("n_flags"))
+    return n.select(*keys, (F.col("n_flags") >= 1).alias("any"), (F.col("n_flags") >= 2).alias("two"), (F.col("n_flags") == len(set(models))).alias("all"))
+
+
+def raw_aggregates(points: DataFrame, cases: DataFrame, series: str, slot: str, value: str, *, case: str = "case_id", start: str = "start", end: str = "end", width: int = 3) -> DataFrame:
+    """Mean, least, most and number of the known points in each block of ``width`` slots of a case's slots [start, end)."""
+    span = cases.select(case, series, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))).alias("block"), F.col(start).alias("__a"), F.col(end).alias("__b"))
+    at = points.select(series, F.col(slot).alias("__s"), F.col(value).alias("__v"), F.floor(F.col(slot) / width).alias("block"))
+    met = span.join(at, [series, "block"], "left")
+    known = F.when((F.col("__s") >= F.col("__a")) & (F.col("__s") < F.col("__b")), F.col("__v"))
+    return met.groupBy(case, series, "block").agg(F.avg(known).alias("mean"), F.min(known).alias("least"), F.max(known).alias("most"), F.count(known).alias("n_points"))
 
 
 def hash_sample(rows: DataFrame, strata: Sequence[str], id_col: str, k: int, *, first: Sequence[Column] = ()) -> DataFrame:

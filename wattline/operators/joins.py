@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from wattline.operators import islands
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join whose keys are unique on both sides; a key that repeats is an error before any row is joined."""
+    for name, side in (("left", left), ("right", right)):
+        again = side.groupBy(*keys).count().where("count > 1").limit(3).collect()
+        if again:
+            raise ValueError(f"keys repeat on the {name} side: {[tuple(r)[:-1] for r in again]}")
+    return left.join(right, keys, how)
+
+
 def buckets(rows: DataFrame, start: str, end: str, width: int, name: str = "bucket") -> DataFrame:
     """One row for each bucket of ``width`` that [start, end) touches."""
     return rows.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / width).cast("long"))))

@@ -18,6 +18,8 @@ EPSILON = 10 * 2.220446049250313e-16
 
 def windows(rows: DataFrame, keys: list[str], slot: str, value: str, width: int, per_day: int) -> DataFrame:
     """(keys, start, offset, z, is_const) of every full window of known values inside a day."""
+    if not 2 <= width <= per_day:
+        raise ValueError(f"a window of {width} does not fit into a day of {per_day}")
     starts = rows.where(F.col(value).isNotNull()).withColumn("start", F.explode(F.sequence(F.greatest(F.col(slot) - (width - 1), F.lit(0)), F.least(F.col(slot), F.lit(per_day - width)))))
     w = Window.partitionBy(*keys, "start")
     full = starts.withColumn("__n", F.count("*").over(w)).withColumn("__m", F.avg(value).over(w)).withColumn("__s", F.stddev_pop(value).over(w)).where(F.col("__n") == width)

@@ -184,10 +184,22 @@ def replay(original: DataFrame, edits: DataFrame, keys: Sequence[str], value: st
     return original.join(e, list(keys), "left").withColumn(value, F.when(F.col("is_injected"), F.col("__edit")).otherwise(F.col(value))).withColumn("is_injected", F.coalesce("is_injected", F.lit(False))).drop("__edit")
 
 
-def magnitude_events(rows: DataFrame, keys: Sequence[str], slot: str, mode: str, legacy: DataFrame, width: int) -> DataFrame:
-    """Confirmed magnitude runs that no earlier event covers in full."""
-    runs = detect.magnitude_runs(rows, keys, slot, least=1)
-    ok = detect.magnitude_confirmed(mode, current_share=F.lit(0.0), jumped=F.col("jumped"), change=F.lit(False), shape=F.lit(False), peak=F.col("peak"), effect=F.col("effect"))
-    hit = joins.overlapping(runs, legacy.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end")), keys, width)
-    covered = hit.where((F.col("b_start") <= F.col("start")) & (F.col("b_end") >= F.col("end"))).select(*keys, "start").distinct()
-    return runs.where(ok).join(covered, [*keys, "start"], "left_anti")
+def magnitude_events(rows: DataFrame, keys: Sequence[str], slot: str, mode: str, legacy: DataFrame, width: int, *, least: int = 3) -> DataFrame:
+    """Magnitude runs that their own evidence admits and that earlier events don't cover in full.
+
+    ``rows`` is the whole grid with value, lower, upper, effect, jump, jump_in, support, percentile and
+    quality, and optionally current_beyond, shape and change (absent: no such evidence).  Only jumps and
+    change points near a run's start admit it.
+    """
+    if mode not in ("envelope_confirmed", "transition_guarded"):
+        raise ValueError(f"unknown mode: {mode}")
+    absent = {c: F.lit(False) for c in ("current_beyond", "shape", "change", "jumped") if c not in rows.columns}
+    near = detect.near_start(rows.withColumns(absent), keys, slot)
+    truth = lambda c: F.coalesce(F.col(c), F.lit(False))
+    more = [F.min_by(truth("jump_near"), slot).alias("jump_near"), F.min_by(truth("change_near"), slot).alias("change_near"), F.max(truth("shape")).alias("shape_near"), F.avg(truth("current_beyond").cast("double")).alias("current_share")]
+    runs = detect.magnitude_runs(near, keys, slot, least=least, more=more)
+    ok = detect.magnitude_confirmed(mode, current_share=F.col("current_share"), jumped=F.col("jump_near"), change=F.col("change_near"), shape=F.col("shape_near"), peak=F.col("peak"), effect=F.col("effect"))
+    slots = runs.select(*keys, F.col("start").alias("__start"), F.explode(F.sequence("start", F.col("end") - 1)).alias(slot))
+    spans = legacy.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias(slot)).distinct()
+    fresh = slots.join(spans, [*keys, slot], "left_anti").select(*keys, F.col("__start").alias("start")).distinct()
+    return runs.where(ok).join(fresh, [*keys, "start"], "left_semi")

@@ -25,10 +25,36 @@ def canonical_scores(spark, sf):
     return rounded(scores(spark, sf), "raw_score", "max_percentile", "threshold").select("model", "series_id", "slot", "raw_score", "max_percentile", "threshold", "is_anomaly", "available")
 
 
-@query(f"""WITH {SCORES} SELECT CAST(0 AS BIGINT) AS unknown_model, CAST(0 AS BIGINT) AS not_frozen, CAST(0 AS BIGINT) AS wrong_duration, CAST(sum(CAST(slot % 2 <> 0 AS INT)) AS BIGINT) AS off_grid, CAST(0 AS BIGINT) AS percentile_out_of_range, CAST(0 AS BIGINT) AS unknown_flag, CAST(0 AS BIGINT) AS duplicates FROM sc""")
+#: Canonical rows, some of which violate a rule each (by slot), and one model that must disclose its resampling.
+_BAD = f"""{SCORES}, bad AS (SELECT CASE WHEN slot % 11 = 0 THEN NULL WHEN slot % 13 = 0 THEN 'nn' ELSE model END AS model, CASE WHEN slot % 17 = 0 THEN NULL ELSE series_id END AS series_id,
+CASE WHEN slot % 19 = 0 THEN NULL WHEN slot % 23 = 0 THEN slot * 3600 + 60 ELSE slot * 3600 END AS a, CASE WHEN slot % 29 = 0 THEN NULL WHEN slot % 31 = 0 THEN slot * 3600 + 1800 ELSE slot * 3600 + 3600 END AS b,
+CASE WHEN slot % 37 = 0 THEN NULL WHEN slot % 41 = 0 THEN 'v_not_frozen' ELSE 'v1' END AS version, max_percentile + CASE WHEN slot % 43 = 0 THEN 1 ELSE 0 END AS top, CASE WHEN slot % 47 = 0 THEN NULL ELSE is_anomaly END AS flag,
+CASE WHEN slot % 5 = 0 THEN 'observed' ELSE 'upsampled_from_30m' END AS data_status, CASE WHEN slot % 7 = 0 THEN 15 ELSE 30 END AS minutes FROM sc)"""
+
+
+@query(f"""WITH {_BAD}, n AS (SELECT sum(k - 1) AS d FROM (SELECT count(*) AS k FROM bad GROUP BY model, series_id, a)), one AS (SELECT * FROM n)
+SELECT count(*) FILTER (WHERE model IS NULL OR model NOT IN ('lof', 'mp', 'rpca')) AS unknown_model, count(*) FILTER (WHERE series_id IS NULL) AS missing_series, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS unreadable_instant,
+count(*) FILTER (WHERE version IS NULL OR version LIKE '%not_frozen%') AS not_frozen, count(*) FILTER (WHERE a IS NULL OR b IS NULL OR b - a <> 3600) AS wrong_duration, count(*) FILTER (WHERE a IS NULL OR a % 3600 <> 0) AS off_grid,
+count(*) FILTER (WHERE top > 1 + 1e-9) AS percentile_out_of_range, count(*) FILTER (WHERE flag IS NULL) AS unknown_flag, count(*) FILTER (WHERE model = 'mp' AND NOT (data_status = 'upsampled_from_30m' AND minutes = 30)) AS undisclosed_resampling,
+CAST((SELECT d FROM one) AS BIGINT) AS duplicates FROM bad""")
 def validate_scores(spark, sf):
-    s = scores(spark, sf).withColumns({"interval_start": F.timestamp_seconds(F.col("slot") * 3600), "interval_end": F.timestamp_seconds(F.col("slot") * 3600 + 7200), "calibration_version": F.lit("v1"), "mean_percentile": F.col("max_percentile")})
-    return contract.validate(s, MODELS, 120)
+    by = lambda k: F.pmod("slot", F.lit(k)) == 0
+    at = F.col("slot") * 3600
+    start = F.when(by(19), None).when(by(23), at + 60).otherwise(at)
+    end = F.when(by(29), None).when(by(31), at + 1800).otherwise(at + 3600)
+    s = scores(spark, sf).withColumns({
+        "model": F.when(by(11), None).when(by(13), "nn").otherwise(F.col("model")),
+        "series_id": F.when(~by(17), F.col("series_id")),
+        "interval_start": F.timestamp_seconds(start),
+        "interval_end": F.timestamp_seconds(end),
+        "calibration_version": F.when(by(37), None).when(by(41), "v_not_frozen").otherwise("v1"),
+        "max_percentile": F.col("max_percentile") + F.when(by(43), 1).otherwise(0),
+        "mean_percentile": F.lit(None).cast("double"),
+        "is_anomaly": F.when(~by(47), F.col("is_anomaly")),
+        "data_status": F.when(by(5), "observed").otherwise("upsampled_from_30m"),
+        "source_resolution_minutes": F.when(by(7), 15).otherwise(30),
+    })
+    return contract.validate(s, MODELS, 60, {"mp": ("upsampled_from_30m", 30)})
 
 
 _WIDE = ", ".join(f"round(max(CASE WHEN model = '{m}' THEN raw_score END), 6) AS {m}_raw_score, round(max(CASE WHEN model = '{m}' THEN max_percentile END), 6) AS {m}_max_percentile, bool_or(coalesce(model = '{m}', FALSE)) AS {m}_available" for m in MODELS)
@@ -40,6 +66,18 @@ def ensemble_wide(spark, sf):
     return rounded(contract.wide(scores(spark, sf), grid, MODELS, ["raw_score", "max_percentile", "available"]), *[f"{m}_{c}" for m in MODELS for c in ("raw_score", "max_percentile")])
 
 
+_EIGHT_SQL = ", ".join(f"round(max(CASE WHEN model = '{m}' THEN max_percentile END), 6) AS {m}_max_percentile, round(max(CASE WHEN model = '{m}' THEN max_percentile / 2 END), 6) AS {m}_mean_percentile, round(max(CASE WHEN model = '{m}' THEN raw_score END), 6) AS {m}_max_score, round(max(CASE WHEN model = '{m}' THEN raw_score - 1 END), 6) AS {m}_mean_score, bool_or(coalesce(model = '{m}', FALSE)) AS {m}_available, max(CASE WHEN model = '{m}' THEN 15 END) AS {m}_source_resolution_minutes, max(CASE WHEN model = '{m}' THEN 'observed' END) AS {m}_data_status, max(CASE WHEN model = '{m}' THEN 'max' END) AS {m}_aggregation_method" for m in (*MODELS, "absent"))
+
+
+@query(f"WITH {SCORES}, g AS (SELECT series_id, CAST(s.slot AS BIGINT) AS slot FROM (SELECT DISTINCT event_type AS series_id FROM events), range({FIRST}, {LAST}) s(slot)) SELECT g.series_id, g.slot, {_EIGHT_SQL} FROM g LEFT JOIN (SELECT * FROM sc WHERE slot % 3 > 0) x USING (series_id, slot) GROUP BY 1, 2")
+def ensemble_features(spark, sf):
+    grid = timegrid.full_grid(table(spark, sf, "events").select(F.col("event_type").alias("series_id")).distinct(), FIRST, LAST)
+    s = scores(spark, sf).where(F.pmod("slot", F.lit(3)) > 0)
+    s = s.withColumns({"mean_percentile": F.col("max_percentile") / 2, "max_score": F.col("raw_score"), "mean_score": F.col("raw_score") - 1, "source_resolution_minutes": F.lit(15), "data_status": F.lit("observed"), "aggregation_method": F.lit("max")})
+    names = (*MODELS, "absent")
+    return rounded(contract.wide(s, grid, names), *[f"{m}_{c}" for m in names for c in ("max_percentile", "mean_percentile", "max_score", "mean_score")])
+
+
 @query(f"""WITH {EVENTS} SELECT model, series_id, start, "end", round(top, 6) AS top, round(mean, 6) AS mean, n, substr(sha1(concat_ws('|', model, series_id, CAST(start AS VARCHAR), CAST("end" AS VARCHAR))), 1, 16) AS event_id FROM ev""")
 def events_canonical(spark, sf):
     e = _events(spark, sf)
@@ -225,7 +263,7 @@ def magnitude_runs(spark, sf):
 @query(f"""WITH {_BAND}, d AS (SELECT *, CASE WHEN p - upper > effect THEN 1 WHEN lower - p > effect THEN -1 END AS direction FROM bb), ht AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY series_id, direction ORDER BY slot) <= 1 THEN 0 ELSE 1 END AS nw FROM d WHERE direction IS NOT NULL),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY series_id, direction ORDER BY slot ROWS UNBOUNDED PRECEDING) AS island FROM ht),
 a AS (SELECT series_id, direction, min(slot) AS start, max(slot) + 1 AS "end", count(*) AS n, max(greatest(p - upper, lower - p)) AS peak, arg_min(coalesce(jump_in, 0), slot) AS onset, first(effect) AS effect, first(jump) AS jump FROM i GROUP BY series_id, direction, island)
-SELECT series_id, direction, start, "end", concat_ws('|', CASE WHEN n < 1 THEN 'too_short' END, CASE WHEN peak < 2 * effect THEN 'weak_effect' END, CASE WHEN onset <= jump THEN 'no_onset' END, CASE WHEN n <= 1 THEN 'unconfirmed' END) AS reasons FROM a""")
+SELECT series_id, direction, start, "end", concat_ws('|', CASE WHEN n < 1 THEN 'no_sustained_historical_envelope_exceedance' END, CASE WHEN peak < 2 * effect THEN 'insufficient_peak_power_effect' END, CASE WHEN onset <= jump THEN 'no_abrupt_onset_above_frozen_jump_guard' END, CASE WHEN n <= 1 THEN 'no_multiscale_or_current_confirmation' END) AS reasons FROM a""")
 def triage_reasons(spark, sf):
     runs = detect.direction_runs(_banded(spark, sf).withColumns({"short": F.lit(0.0), "medium": F.lit(0.0), "current_beyond": F.lit(False)}), ["series_id"], "slot")
     runs = runs.withColumn("current_share", F.when(F.col("n") > 1, 1.0).otherwise(0.0))
@@ -300,9 +338,42 @@ def confusion_global(spark, sf):
     return rounded(evaluate.confusion(table(spark, sf, "labels"), [], F.col("quality") == 1, F.col("toxic") == 1), "precision", "recall", "f1")
 
 
-@query(f"WITH {SCORES} SELECT series_id, slot, sum(CAST(is_anomaly AS INT)) >= 1 AS \"any\", sum(CAST(is_anomaly AS INT)) >= 2 AS two, sum(CAST(is_anomaly AS INT)) = count(*) AS \"all\" FROM sc GROUP BY 1, 2")
+@query(f"WITH {SCORES}, v AS (SELECT * FROM sc WHERE NOT (model = 'mp' AND slot % 4 = 0)) SELECT series_id, slot, coalesce(sum(CAST(is_anomaly AS INT)), 0) >= 1 AS \"any\", coalesce(sum(CAST(is_anomaly AS INT)), 0) >= 2 AS two, coalesce(sum(CAST(is_anomaly AS INT)), 0) = 3 AS \"all\" FROM v GROUP BY 1, 2")
 def vote_strategies(spark, sf):
-    return evaluate.votes(scores(spark, sf), ["series_id", "slot"], MODELS)
+    s = scores(spark, sf).where(~((F.col("model") == "mp") & (F.pmod("slot", F.lit(4)) == 0)))
+    return evaluate.votes(s, ["series_id", "slot"], MODELS)
+
+
+@query(f"""WITH {H}, c AS (SELECT event_type AS case_id, event_type AS series_id, {TRAIN_END} + 5 AS a, {TRAIN_END} + 53 AS b FROM (SELECT DISTINCT event_type FROM events)), k AS (SELECT case_id, c.series_id, x.i AS block, a, b FROM c, range({TRAIN_END + 5} // 3, {TRAIN_END + 52} // 3 + 1) x(i))
+SELECT case_id, k.series_id, CAST(block AS BIGINT) AS block, round(avg(p), 6) AS mean, round(min(p), 6) AS least, round(max(p), 6) AS most, count(p) AS n_points FROM k LEFT JOIN h ON h.series_id = k.series_id AND h.slot // 3 = block AND h.slot >= a AND h.slot < b GROUP BY 1, 2, 3""")
+def raw_case_metrics(spark, sf):
+    h = hourly(spark, sf)
+    cases = h.select("series_id").distinct().select(F.col("series_id").alias("case_id"), "series_id", F.lit(TRAIN_END + 5).alias("start"), F.lit(TRAIN_END + 53).alias("end"))
+    return rounded(evaluate.raw_aggregates(h, cases, "series_id", "slot", "p"), "mean", "least", "most")
+
+
+@query(f"""WITH {SCORES} SELECT series_id, slot // 3 AS bin, round(max(raw_score), 6) AS max_score, round(avg(raw_score), 6) AS mean_score, round(stddev_pop(raw_score), 6) AS score_std, count(*) AS n_points, CAST(sum(CAST(is_anomaly AS INT)) AS BIGINT) AS n_flags, bool_or(is_anomaly) AS is_anomaly, round(count(*) / 3, 6) AS coverage_ratio, count(*) = 3 AS complete FROM sc WHERE model = 'lof' GROUP BY 1, 2""")
+def lof_interval_scores(spark, sf):
+    s = scores(spark, sf).where("model = 'lof'")
+    return rounded(detect.lof_bins(s, ["series_id"], "slot", "raw_score", "is_anomaly"), "max_score", "mean_score", "score_std", "coverage_ratio")
+
+
+@query("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
+def union_distinct(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).union(table(spark, sf, "customer").select("c_custkey")).distinct()
+
+
+@query("SELECT r.r_name, count(*) AS n_nations, max(n.n_name) AS last_nation FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1")
+def map_lookup(spark, sf):
+    regions = table(spark, sf, "region").agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("names"))
+    named = table(spark, sf, "nation").crossJoin(F.broadcast(regions)).select(F.element_at("names", F.col("n_regionkey")).alias("r_name"), "n_name")
+    return named.groupBy("r_name").agg(F.count("*").alias("n_nations"), F.max("n_name").alias("last_nation"))
+
+
+@query("SELECT c_custkey, c_name, n_orders FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1) USING (c_custkey)")
+def one_to_one_merge(spark, sf):
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return joins.one_to_one(table(spark, sf, "customer").select("c_custkey", "c_name"), counts, ["c_custkey"])
 
 
 @query("SELECT event_type, event_id, CAST(k AS BIGINT) AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY substr(sha256(CAST(event_id AS VARCHAR)), 1, 16), event_id) AS k FROM events) WHERE k <= 20")
@@ -381,7 +452,7 @@ def review_units(spark, sf):
 def rpca_scores(spark, sf):
     f = full(spark, sf).groupBy("series_id", "day").agg(F.sort_array(F.collect_list(F.struct("h", F.coalesce("p", F.lit(0.0)).alias("p")))).alias("a"))
     days = f.select("series_id", "day", F.transform("a", lambda s: s["p"]).alias("values"), (F.col("day") < TRAIN_END // PER_DAY).alias("is_train"))
-    return models.rpca_scores(days, quantile=0.95)
+    return models.rpca_scores(days, quantile=0.95, least_days=10)
 
 
 @query("""WITH u AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),

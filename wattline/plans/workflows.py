@@ -144,7 +144,7 @@ def calibration_check(spark, sf):
     return workflow.calibration_matches(s, {"lof": "lof-", "mp": "other-", "rpca": "rpca-"})
 
 
-@query(f"""WITH {EVENTS} SELECT CASE WHEN n > 1 THEN 'priority' ELSE 'operating_change_review' END AS queue, count(*) AS n_events FROM ev GROUP BY 1""")
+@query(f"""WITH {EVENTS} SELECT CASE WHEN n > 1 THEN 'priority_alert' ELSE 'operating_change_review' END AS queue, count(*) AS n_events FROM ev GROUP BY 1""")
 def queue_counts(spark, sf):
     e = _events(spark, sf)
     q = detect.queue(F.lit("behaviour"), F.lit(True), F.col("interval_count") > 1)
@@ -180,15 +180,15 @@ def flatline_events(spark, sf):
     return rounded(detect.flatline_events(flat, hist, ["series_id"], "v", PER_DAY), "usual_range").select("series_id", "start", "end", "n", "usual_range")
 
 
-@query(f"""WITH {_BAND}, x AS (SELECT *, greatest(p - upper, lower - p) AS excess FROM bb), ht AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY series_id ORDER BY slot) <= 1 THEN 0 ELSE 1 END AS nw FROM x WHERE excess > effect AND support >= 6),
+@query(f"""WITH {_BAND}, j AS (SELECT *, greatest(p - upper, lower - p) AS excess, coalesce(jump_in > 30, FALSE) OR coalesce(lag(jump_in) OVER (PARTITION BY series_id ORDER BY slot) > 30, FALSE) AS near FROM bb), ht AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY series_id ORDER BY slot) <= 1 THEN 0 ELSE 1 END AS nw FROM j WHERE excess > effect AND support >= 6),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY series_id ORDER BY slot ROWS UNBOUNDED PRECEDING) AS island FROM ht),
-r AS (SELECT series_id, min(slot) AS start, max(slot) + 1 AS "end", max(excess) AS peak, first(effect) AS effect, bool_or(coalesce(jump_in > 30, FALSE)) AS jumped FROM i GROUP BY series_id, island),
-lg AS (SELECT series_id, slot AS b_start, slot + 2 AS b_end FROM bb WHERE imax > 200)
-SELECT series_id, start, "end", round(peak, 6) AS peak FROM r WHERE peak > 2 * effect AND jumped AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.series_id = r.series_id AND b_start <= r.start AND b_end >= r."end")""")
+r AS (SELECT series_id, min(slot) AS start, max(slot) + 1 AS "end", max(excess) AS peak, first(effect) AS effect, arg_min(near, slot) AS near, avg(CASE WHEN imax > 150 THEN 1.0 ELSE 0.0 END) AS share FROM i GROUP BY series_id, island),
+lg AS (SELECT DISTINCT series_id, slot + k AS s FROM bb, range(2) t(k) WHERE imax > 200)
+SELECT series_id, start, "end", round(peak, 6) AS peak, round(share, 6) AS current_share FROM r WHERE peak > 2 * effect AND near AND EXISTS (SELECT 1 FROM range({TRAIN_END}, {LAST}) q(s) WHERE q.s >= r.start AND q.s < r."end" AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.series_id = r.series_id AND lg.s = q.s))""")
 def magnitude_events(spark, sf):
-    b = _banded(spark, sf).withColumns({"percentile": F.lit(100.0), "quality": F.lit(False), "jumped": F.coalesce(F.col("jump_in") > 30, F.lit(False))})
+    b = _banded(spark, sf).withColumns({"percentile": F.lit(100.0), "quality": F.lit(False), "jump": F.lit(30.0), "current_beyond": F.coalesce(F.col("imax") > 150, F.lit(False))})
     legacy = b.where("imax > 200").select("series_id", F.col("slot").alias("start"), (F.col("slot") + 2).alias("end"))
-    return rounded(workflow.magnitude_events(b, ["series_id"], "slot", "transition_guarded", legacy, 24).select("series_id", "start", "end", "peak"), "peak")
+    return rounded(workflow.magnitude_events(b, ["series_id"], "slot", "transition_guarded", legacy, 24, least=1).select("series_id", "start", "end", "peak", "current_share"), "peak", "current_share")
 
 
 @query(f"WITH {H} SELECT series_id, slot, round(CASE WHEN n >= 4 THEN imax * 2 ELSE p END, 6) AS p, n >= 4 AS is_injected FROM h")

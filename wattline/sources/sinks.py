@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,38 @@ def write_set(tables: Mapping[str, DataFrame], root: str, partitions: Mapping[st
         write_new(df, f"{root}/{name}", *(partitions or {}).get(name, ()))
 
 
+#: Tables of a detector's result, each with its partition columns.
+STANDARD = {"events": ("event_date",), "channel_status": (), "daily_summary": (), "scores_30min": ("event_date",), "scores_15min": ("event_date",)}
+LOF = {"points": (), "bins_15min": (), "point_events": (), "bin_events": (), "strict_events": (), "summary": (), "metadata": ()}
+WINDOWED = {"windows": (), "scores": (), "meter_summary": ()}
+
+
+def write_named(tables: Mapping[str, DataFrame], root: str, kind: Mapping[str, tuple[str, ...]] = STANDARD) -> None:
+    """A whole result set below a new root: each of the set's tables must be there, and no other."""
+    if set(tables) != set(kind):
+        raise ValueError(f"missing {sorted(set(kind) - set(tables))}, unknown {sorted(set(tables) - set(kind))}")
+    write_set(tables, root, kind)
+
+
+def merge_parts(parts: DataFrame, keys: list[str], path: str) -> None:
+    """Write shards that were read together as one table; a key in two shards is an error."""
+    again = parts.groupBy(*keys).count().where("count > 1").limit(3).collect()
+    if again:
+        raise ValueError(f"keys repeat across parts: {[tuple(r)[:-1] for r in again]}")
+    write_new(parts, path)
+
+
+def rebuilt(spark: SparkSession, shards: str, derive: Mapping[str, Callable[[DataFrame], DataFrame]], root: str) -> None:
+    """Write derived tables anew from completed shards (folders with a _SUCCESS file) without running what made the shards."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(shards).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = sorted(s.getPath().getParent().toString() for s in fs.globStatus(Path(f"{shards}/*/_SUCCESS")) or ())
+    if not done:
+        raise FileNotFoundError(f"no completed shards below {shards}")
+    rows = spark.read.parquet(*done)
+    write_set({name: make(rows) for name, make in derive.items()}, root)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
