@@ -129,7 +129,7 @@ def overlap_join(spark, sf):
     return joins.overlapping(_intervals(spark, sf), _quality(spark, sf), ["k"], 32).select("k", "id", "b_start", "b_end")
 
 
-@query(f"""WITH {_IV}, iv2 AS (SELECT n_regionkey AS region, k, id, start, "end" FROM iv JOIN customer ON k = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE id % 40 = 0), el AS (SELECT region, count(DISTINCT k) AS eligible FROM iv2 GROUP BY 1),
+@query(f"""WITH {_IV}, iv2 AS (SELECT n_regionkey AS region, k, id, start, "end" FROM iv JOIN customer ON k = c_custkey JOIN nation ON c_nationkey = n_nationkey), el AS (SELECT region, count(DISTINCT k) AS eligible FROM iv2 GROUP BY 1),
 c AS (SELECT a.id, count(DISTINCT b.k) AS n_channels FROM iv2 a JOIN iv2 b ON a.region = b.region AND a.start < b."end" AND a."end" > b.start GROUP BY 1)
 SELECT CAST(iv2.region AS BIGINT) AS region, iv2.id, n_channels, eligible, n_channels >= 3 AND n_channels / eligible >= 0.02 AS common_mode FROM iv2 JOIN c USING (id) JOIN el USING (region)""")
 def common_mode(spark, sf):
@@ -139,7 +139,7 @@ def common_mode(spark, sf):
     return joins.common_mode(iv, eligible, ["region"], "k", "id", 32, share=0.02).select("region", "id", "n_channels", "eligible", "common_mode")
 
 
-@query(f"""WITH {_IV}, iv2 AS (SELECT n_regionkey AS region, k, id, start, "end" FROM iv JOIN customer ON k = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE id % 40 = 0), m AS (SELECT *, max("end") OVER (PARTITION BY region ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv2),
+@query(f"""WITH {_IV}, iv2 AS (SELECT n_regionkey AS region, k, id, start, "end" FROM iv JOIN customer ON k = c_custkey JOIN nation ON c_nationkey = n_nationkey), m AS (SELECT *, max("end") OVER (PARTITION BY region ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv2),
 u AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS unit FROM m)
 SELECT CAST(region AS BIGINT) AS region, min(start) AS start, max("end") AS "end", count(*) AS n_events, count(DISTINCT k) AS n_channels, max("end" - start) AS longest FROM u GROUP BY region, unit""")
 def incident_summary(spark, sf):
@@ -279,7 +279,7 @@ def review_grid(spark, sf):
     return b.select("series_id", "slot", state.alias("review_state"), priority.alias("priority"))
 
 
-_WIN = f"""{FULL}, d3 AS (SELECT * FROM f WHERE series_id = 'click' AND p IS NOT NULL AND (slot < {FIRST + 6 * 24} OR slot >= {LAST - 3 * 24})),
+_WIN = f"""{FULL}, d3 AS (SELECT * FROM f WHERE p IS NOT NULL),
 wn AS (SELECT d3.series_id, d3.day, s.k AS start, h - s.k AS o, p, count(*) OVER w AS c, avg(p) OVER w AS m, stddev_pop(p) OVER w AS sd FROM d3 JOIN (SELECT CAST(k AS BIGINT) AS k FROM range(21) t(k)) s ON h BETWEEN s.k AND s.k + 3 WINDOW w AS (PARTITION BY d3.series_id, d3.day, s.k)),
 z AS (SELECT *, (p - m) / sd AS z FROM wn WHERE c = 4)"""
 
@@ -290,16 +290,16 @@ def _days(spark, sf):
     return days.select("series_id", "day", F.transform("a", lambda s: s["p"]).alias("v"), (F.col("day") >= TRAIN_END // PER_DAY).alias("q"))
 
 
-_FROM = (LAST - 3 * PER_DAY) // PER_DAY
+_FROM = TRAIN_END // PER_DAY
 
 
-@query(f"""WITH {_WIN}, pr AS (SELECT q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day >= {_FROM} AND r.day < {_FROM} GROUP BY 1, 2, 3, 4) SELECT day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2""")
+@query(f"""WITH {_WIN}, pr AS (SELECT q.series_id, q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day >= {_FROM} AND r.day < {_FROM} GROUP BY 1, 2, 3, 4, 5) SELECT series_id, day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2, 3""")
 def znorm_ab_join(spark, sf):
     got = profile.ab_join_arrays(_days(spark, sf), "series_id", "day", "v", "q", 4)
     return got.select("series_id", "day", "start", F.round("distance", 4).alias("distance"))
 
 
-@query(f"""WITH {_WIN}, pr AS (SELECT q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day < {_FROM} AND r.day < {_FROM} AND q.day <> r.day GROUP BY 1, 2, 3, 4) SELECT day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2""")
+@query(f"""WITH {_WIN}, pr AS (SELECT q.series_id, q.day, q.start, r.day AS r_day, r.start AS r_start, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN z r USING (series_id, o) WHERE q.day < {_FROM} AND r.day < {_FROM} AND q.day <> r.day GROUP BY 1, 2, 3, 4, 5) SELECT series_id, day, start, round(min(d), 4) AS distance FROM pr GROUP BY 1, 2, 3""")
 def lodo_calibration(spark, sf):
     got = profile.ab_join_arrays(_days(spark, sf).where("NOT q").withColumn("q", F.lit(True)), "series_id", "day", "v", "q", 4, leave_own_day_out=True)
     return got.select("series_id", "day", "start", F.round("distance", 4).alias("distance"))
@@ -440,7 +440,7 @@ def injection_coverage(spark, sf):
     return a.withColumn("coverage", F.round(F.try_divide(100 * F.col("n_covered"), F.col("n_injected")), 4))
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey % 5 = 0 AND b.o_orderkey % 5 = 0 AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 60),
+@query("""WITH RECURSIVE e AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 60),
 c(n, u) AS (SELECT x, x FROM e UNION SELECT e.y, c.u FROM c JOIN e ON e.x = c.n) SELECT n AS node, min(u) AS unit FROM c GROUP BY 1""")
 def review_units(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("node"), F.floor(timegrid.epoch(F.col("o_orderdate")) / 86400).cast("long").alias("start"))

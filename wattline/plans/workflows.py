@@ -33,7 +33,7 @@ def rolling_day_status(spark, sf):
     return workflow.day_status(d, per_day=PER_DAY, ratio=0.95).select("series_id", "day", "status")
 
 
-@query(f"WITH s AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0), g AS (SELECT user_id, CAST(d.day AS BIGINT) AS day FROM s, range({_FIRSTDAY}, {_LASTDAY}) d(day)), e AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events GROUP BY 1, 2) SELECT g.user_id, g.day, CASE WHEN e.day IS NULL THEN 'no_data' ELSE 'detected' END AS status FROM g LEFT JOIN e USING (user_id, day)")
+@query(f"WITH s AS (SELECT DISTINCT user_id FROM events), g AS (SELECT user_id, CAST(d.day AS BIGINT) AS day FROM s, range({_FIRSTDAY}, {_LASTDAY}) d(day)), e AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events GROUP BY 1, 2) SELECT g.user_id, g.day, CASE WHEN e.day IS NULL THEN 'no_data' ELSE 'detected' END AS status FROM g LEFT JOIN e USING (user_id, day)")
 def status_backfill(spark, sf):
     ev = table(spark, sf, "events").select("user_id", F.floor(timegrid.epoch(F.col("ts")) / 86400).cast("long").alias("day")).distinct()
     return workflow.backfill_status(ev.withColumn("status", F.lit("detected")), ev, "user_id", _FIRSTDAY, _LASTDAY)
@@ -95,9 +95,9 @@ def anomalies_by_date(spark, sf):
 
 
 @query(f"""WITH {_WIN}, rf AS (SELECT * FROM z WHERE day < {_FROM}),
-a AS (SELECT q.day, q.start, q.day >= {_FROM} AS tgt, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN rf r ON q.series_id = r.series_id AND q.o = r.o AND q.day <> r.day GROUP BY q.day, q.start, r.day, r.start),
-m AS (SELECT day, start, tgt, round(min(d), 4) AS d FROM a GROUP BY 1, 2, 3), pc AS (SELECT t.day, t.start, (count(*) FILTER (WHERE b.d < t.d) + 0.5 * count(*) FILTER (WHERE b.d = t.d)) / count(*) * 100 AS pct FROM m t JOIN m b ON NOT b.tgt WHERE t.tgt GROUP BY 1, 2)
-SELECT day, start + k AS h, round(max(pct), 1) AS scale_4 FROM pc, (SELECT CAST(k AS BIGINT) AS k FROM range(4) t(k)) GROUP BY 1, 2""")
+a AS (SELECT q.series_id, q.day, q.start, q.day >= {_FROM} AS tgt, sqrt(greatest(8 - 2 * sum(q.z * r.z), 0)) AS d FROM z q JOIN rf r ON q.series_id = r.series_id AND q.o = r.o AND q.day <> r.day GROUP BY q.series_id, q.day, q.start, r.day, r.start),
+m AS (SELECT series_id, day, start, tgt, round(min(d), 4) AS d FROM a GROUP BY 1, 2, 3, 4), pc AS (SELECT t.series_id, t.day, t.start, (count(*) FILTER (WHERE b.d < t.d) + 0.5 * count(*) FILTER (WHERE b.d = t.d)) / count(*) * 100 AS pct FROM m t JOIN m b ON NOT b.tgt AND b.series_id = t.series_id WHERE t.tgt GROUP BY 1, 2, 3)
+SELECT series_id, day, start + k AS h, round(max(pct), 1) AS scale_4 FROM pc, (SELECT CAST(k AS BIGINT) AS k FROM range(4) t(k)) GROUP BY 1, 2, 3""")
 def day_scores(spark, sf):
     from wattline.operators import calibrate, profile
 
