@@ -154,3 +154,48 @@ def test_flow_overlapping_sources_is_optimal():
     flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 0}, {"a": 10, "b": 10}, 2)
     assert flow[("a",), "a"] == 10
     assert flow[("a", "b"), "b"] == 10 and flow[("a", "b"), "a"] == 0
+
+
+def test_flow_equals_the_least_cost_of_all_integer_flows():
+    import itertools
+
+    rng = random.Random(12)
+    patterns = [("a",), ("b",), ("a", "b")]
+    for _ in range(40):
+        supply = {p: rng.randint(0, 3) for p in patterns}
+        quota = {"a": rng.randint(0, 5), "b": rng.randint(0, 5)}
+        flow = mixing.min_cost_flow(supply, quota, 2)
+        arcs = [(p, s) for p in patterns for s in p]
+
+        def cost(routed):
+            """(words that reach a quota, negated; cost of repeats) of a flow, or None if it breaks a bound."""
+            total = 0
+            for p in patterns:
+                used = sum(routed[k] for k, (q, _) in enumerate(arcs) if q == p)
+                if used > 2 * supply[p]:
+                    return None
+                total += max(0, used - supply[p])
+            if any(sum(routed[k] for k, (_, t) in enumerate(arcs) if t == s) > quota[s] for s in quota):
+                return None
+            return -sum(routed), total
+
+        best = min(c for c in map(cost, itertools.product(range(7), repeat=len(arcs))) if c is not None)
+        assert cost([flow.get(a, 0) for a in arcs]) == best
+
+
+def test_mixing_overlapping_sources_end_to_end(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 9))), rng.choice([["a"], ["b"], ["a", "b"], ["a", None], ["b", "a", "a"]])) for i in range(2000)] + [(None, "x y", ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
+    out = mixing.mix(df, F.col("tags"), n_words(F.col("text"))).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    supply = Counter()
+    for r in out:
+        supply[tuple(r.members)] += r.size
+    names = ["a", "b", None]
+    sizes = [sum(n for p, n in supply.items() if s in p) for s in names]
+    target = dict(zip(names, mixing.quotas(sizes, [5, 2, 1], 1.5, 2)))
+    flow = mixing.min_cost_flow(dict(supply), {s: round(t) for s, t in target.items()}, 2)
+    for p in supply:
+        routed = sum(flow.get((p, s), 0) for s in p)
+        assert abs(sum(r.taken for r in out if tuple(r.members) == p) - routed) <= 9
