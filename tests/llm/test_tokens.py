@@ -123,3 +123,18 @@ def test_words_that_a_polynomial_could_not_tell_apart():
     two = "".join("ba"[bin(i).count("1") % 2] for i in range(n))
     ids, length = encoded(tokens.Encoder(P.path("word_bpe_49k.json")), [one, two])
     assert ids[: length[0]].tolist() != ids[length[0] :].tolist()
+
+
+def test_more_units_than_the_memo_holds(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    tx = texts()[:100] + [" ".join(f"u{i}x" for i in range(400))]
+    want = encoded(tokens.Encoder(path), tx)
+    monkeypatch.setattr(tokens, "MEMO_UNITS", 10)
+    monkeypatch.setattr(tokens.Encoder, "SLOTS", 16)
+    enc = tokens.Encoder(path)
+    assert enc.by_units and not tokens.Encoder(P.path("byte_bpe_50k.json")).by_units
+    for part in (tx, tx[:3], tx[50:]):
+        ids, length = encoded(enc, part)
+        first = encoded(tokens.Encoder(path), part)
+        assert (ids == first[0]).all() and (length == first[1]).all()
+    assert (encoded(enc, tx)[0] == want[0]).all()

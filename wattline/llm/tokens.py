@@ -51,7 +51,7 @@ MAGIC = b"WMX2"
 HEAD = "<4sIQQQQQQ"
 END_ID = 2
 #: Units remembered by a worker.
-MEMO_UNITS = 1_500_000
+MEMO_UNITS = 500_000
 
 
 class Block:
@@ -207,6 +207,15 @@ class WaveletShard:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def configuration(tokenizer) -> dict:
+    """A tokenizer's configuration without its vocabulary, which takes tens of megabytes as JSON."""
+    state = lambda part: None if part is None else json.loads(part.__getstate__())
+    model = tokenizer.model
+    kind = {"type": type(model).__name__, "end_of_word_suffix": getattr(model, "end_of_word_suffix", None), "dropout": getattr(model, "dropout", None)}
+    added = [{"content": t.content, "normalized": t.normalized} for t in tokenizer.get_added_tokens_decoder().values()]
+    return {"normalizer": state(tokenizer.normalizer), "pre_tokenizer": state(tokenizer.pre_tokenizer), "post_processor": state(tokenizer.post_processor), "model": kind, "added_tokens": added}
+
+
 def splits_into_units(config: dict) -> bool:
     """Whether ``pieces`` cuts texts as this tokenizer does."""
     steps = (config.get("normalizer") or {}).get("normalizers", [])
@@ -280,7 +289,7 @@ class Encoder:
     beside the units' bytes; it is emptied when it holds ``MEMO_UNITS``.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -288,15 +297,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.by_units = splits_into_units(json.loads(self.tokenizer.to_str()))
+        self.by_units = splits_into_units(configuration(self.tokenizer))
         self.bits = max(max(vocab.values()), END_ID).bit_length()
         self.ends_unit = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_unit[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._clear()
 
-    def _clear(self):
-        self.keys = np.zeros(self.SLOTS, np.uint64)
-        self.vals = np.zeros(self.SLOTS, np.int32)
+    def _clear(self, units: int = 0):
+        """Forget all units; make room for so many."""
+        self.slots = max(self.SLOTS, 1 << (2 * units).bit_length())
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.vals = np.zeros(self.slots, np.int32)
         self.pool, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         #: The units' bytes as 8-byte numbers, where each unit's begin, and its size and kind.
         self.bytes, self.bytes_at, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -306,7 +317,7 @@ class Encoder:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index of each fingerprint, or -1."""
-        mask = np.uint64(self.SLOTS - 1)
+        mask = np.uint64(self.slots - 1)
         slot = (h & mask).astype(np.int64)
         out = np.full(len(h), -1, np.int64)
         todo = np.arange(len(h))
@@ -315,12 +326,12 @@ class Encoder:
             hit = key == h[todo]
             out[todo[hit]] = self.vals[slot[hit]]
             more = ~hit & (key != 0)
-            todo, slot = todo[more], (slot[more] + 1) & (self.SLOTS - 1)
+            todo, slot = todo[more], (slot[more] + 1) & (self.slots - 1)
         return out
 
     def _store(self, h: np.ndarray) -> None:
         """Give the next indexes to new, distinct fingerprints."""
-        mask = np.uint64(self.SLOTS - 1)
+        mask = np.uint64(self.slots - 1)
         slot = (h & mask).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
@@ -331,7 +342,7 @@ class Encoder:
             self.vals[slot[took]] = self.known + todo[took]
             more = np.ones(len(todo), bool)
             more[took] = False
-            todo, slot = todo[more], (slot[more] + (self.keys[slot[more]] != 0)) & (self.SLOTS - 1)
+            todo, slot = todo[more], (slot[more] + (self.keys[slot[more]] != 0)) & (self.slots - 1)
 
     def _append(self, ids: np.ndarray, ends: np.ndarray) -> None:
         base = int(self.ends[self.known - 1]) if self.known else 0
@@ -397,8 +408,8 @@ class Encoder:
         whole = low.tobytes() if len(miss) else b""
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
-            if self.known + len(new) > MEMO_UNITS and self.known:
-                self._clear()
+            if self.known + len(new) > MEMO_UNITS and (self.known or 2 * len(new) > self.slots):
+                self._clear(len(np.unique(h)) if self.known else len(new))
                 return self.encode(data, off, end_id)
             first = miss[first]
             # Indexes are handed out in the order in which _learn appends.
@@ -482,6 +493,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, id_col: s
                 held += len(got)
         if names:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside the executor's heap
 
     n = partitions or range_parts(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
