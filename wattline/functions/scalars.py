@@ -1,9 +1,11 @@
-"""Scalar helpers, all inside code generation."""
+"""Scalar helpers, inside code generation except for ``number_list``."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def parse_bool(c: Column) -> Column:
@@ -37,6 +39,22 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
 
 
+def binary_round(x: Column, places: int) -> Column:
+    """Rounded as DuckDB does: x * 10**places to the nearest whole number, halves away from zero.
+
+    Spark's own round takes halves of the decimal text: 43.472812499999996, whose product is 43472812.5, goes down there.
+    """
+    y = x * F.lit(float(10**places))
+    return F.when(F.abs(y) < F.lit(float("inf")), F.signum(y) * F.round(F.abs(y)) / F.lit(float(10**places))).otherwise(x)
+
+
+@F.pandas_udf(StringType())
+def number_list(lists: pd.Series) -> pd.Series:
+    """Lists of doubles as DuckDB writes them.  Digits and exponents are those of repr; a cast has exponents from 1e7 on
+    and, before Java 19, now and then a digit too many."""
+    return lists.map(lambda a: f"[{', '.join(map(repr, a.tolist()))}]")
+
+
 def stable_hex(c: Column) -> Column:
     """First 16 hex digits of SHA-256: their order is that of the 64-bit number."""
     return F.substring(F.sha2(c.cast("string"), 256), 1, 16)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import scalars
 from wattline.operators import calibrate, clean, detect, islands, timegrid
-from wattline.plans.fixtures import FIRST, FULL, H, LAST, PER_DAY, SCORES, TRAIN_END, full, hourly, scores, table
+from wattline.plans.fixtures import FIRST, FULL, H, LAST, PER_DAY, SCORES, TRAIN_END, full, hourly, scores, table, with_day
 from wattline.plans.registry import query, r6, rounded
 
 _EV = "SELECT event_type AS series_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, event_id, value FROM events"
@@ -120,11 +120,24 @@ def four_way_split(spark, sf):
     return timegrid.four_way(hourly(spark, sf).select("series_id", "slot"), "series_id", "slot", (0.6, 0.15, 0.1))
 
 
+def _means_in_file_order(spark, sf):
+    """Known hourly means on the grid, each summed in the order of the files' rows.
+
+    The tensor is text, so its last digit shows how a mean was added up; partial sums depend on how files are split.
+    """
+    key = ["series_id", "slot"]
+    ev = table(spark, sf, "events").select(F.col("event_type").alias("series_id"), timegrid.slot_of(F.col("ts"), 60).alias("slot"), "value", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    ev = ev.where((F.col("slot") >= FIRST) & (F.col("slot") < LAST) & F.col("series_id").isNotNull() & F.col("value").isNotNull())
+    w = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ev.select(*key, F.struct(F.count("value").over(w).alias("n"), F.sum("value").over(w).alias("total")).alias("s"))
+    return sums.groupBy(*key).agg(F.max("s").alias("s")).select(*key, (F.col("s.total") / F.col("s.n")).alias("p"))
+
+
 @query(f"WITH {FULL}, d AS (SELECT series_id, day FROM f GROUP BY 1, 2 HAVING count(p) = 24) SELECT series_id, day, list(round(p, 6) ORDER BY h)::VARCHAR AS tensor FROM f JOIN d USING (series_id, day) GROUP BY 1, 2")
 def day_tensor(spark, sf):
-    f = full(spark, sf).where("p IS NOT NULL")
-    rows = f.groupBy("series_id", "day").agg(F.sort_array(F.collect_list(F.struct("h", F.round("p", 6).alias("p")))).alias("a"), F.count("*").alias("n")).where(F.col("n") == PER_DAY)
-    return rows.select("series_id", "day", F.concat(F.lit("["), F.array_join(F.transform("a", lambda s: s["p"].cast("string")), ", "), F.lit("]")).alias("tensor"))
+    f = with_day(_means_in_file_order(spark, sf))
+    rows = f.groupBy("series_id", "day").agg(F.sort_array(F.collect_list(F.struct("h", scalars.binary_round(F.col("p"), 6).alias("p")))).alias("a"), F.count("*").alias("n")).where(F.col("n") == PER_DAY)
+    return rows.select("series_id", "day", scalars.number_list(F.col("a.p")).alias("tensor"))
 
 
 @query(f"WITH {H} SELECT series_id, slot, round(CASE WHEN imax - imin < 5 AND slot < {TRAIN_END} THEN NULL ELSE p END, 6) AS p FROM h")
